@@ -36,7 +36,7 @@ EXCEL_READ_PREFIX = "Failed to read Excel file: "
 WORD_READ_PREFIX = "Failed to extract text from Word file: "
 
 
-def error(code: str, message: Column | str, **context: Column) -> Column:
+def error(code: str, message: Column | str, /, **context: Column) -> Column:
     """An error struct. Context entries whose value is NULL are left out."""
     if isinstance(message, str):
         message = F.lit(message)

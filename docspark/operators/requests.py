@@ -50,7 +50,7 @@ def _takes(field: str) -> Column:
 
 def apply_defaults(requests: DataFrame) -> DataFrame:
     """Fill missing fields by tool. Fields a known tool does not take become NULL."""
-    known = F.col("tool").isin(list(TOOL_FIELDS))
+    known = F.coalesce(F.col("tool").isin(list(TOOL_FIELDS)), F.lit(False))
     filled = {}
     for field in ["output_dir", "sheet_names", *DEFAULTS]:
         if field not in requests.columns:

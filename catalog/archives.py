@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import stand_ins as si
+from docspark.session import write_and_read
 
 # Customers per workbook: bounds the group that one task turns into a file.
 PER_BOOK = 50
@@ -74,7 +75,9 @@ def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = si.table(spark, sf_dir, "customer").select(
         F.expr(f"c_custkey div {PER_BOOK}").alias("book"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment"
     )
-    return customers.groupBy("book").applyInPandas(_book_builder(), _FILE)
+    tasks = spark.sparkContext.defaultParallelism
+    built = customers.repartition(tasks, "book").groupBy("book").applyInPandas(_book_builder(), _FILE)
+    return write_and_read(built, "books")
 
 
 BOOKS_SQL = f"""
@@ -163,11 +166,12 @@ def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Some are unreadable, some have the wrong extension.
     """
-    return (
-        si.table(spark, sf_dir, "documents")
-        .selectExpr("doc_id", f"{WORD_PATH} AS path", "text")
-        .mapInPandas(_docx_builder(), _FILE)
+    documents = si.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"{WORD_PATH} AS path", "text"
     )
+    tasks = spark.sparkContext.defaultParallelism
+    built = documents.repartition(tasks, "doc_id").mapInPandas(_docx_builder(), _FILE)
+    return write_and_read(built, "word-files")
 
 
 WORD_SQL = f"""

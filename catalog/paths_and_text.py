@@ -98,7 +98,7 @@ def mime_type(spark, sf_dir):
 @_query("js_trim", "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN '' ELSE text END AS trimmed FROM documents")
 def js_trim_query(spark, sf_dir):
     padded = r"""CASE doc_id % 4 WHEN 0 THEN concat(' \t', text, '\r\n') WHEN 1 THEN concat('﻿　', text, '  ')
-        WHEN 2 THEN text ELSE '\u000b\f  ' END"""
+        WHEN 2 THEN text ELSE '\u000b\u000c  ' END"""
     return (
         si.table(spark, sf_dir, "documents")
         .selectExpr("doc_id", f"{padded} AS padded")

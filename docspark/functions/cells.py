@@ -19,13 +19,15 @@ def cell_text(value: Column, result: Column) -> Column:
 
 def address_column(address: Column) -> Column:
     """Column label: the address without its digits."""
-    return F.regexp_replace(address, "[0-9]", "")
+    return F.translate(address, "0123456789", "")
 
 
 def address_row(address: Column) -> Column:
     """Row number: leading integer once letters are gone, NULL when there is none."""
-    rest = F.regexp_replace(address, "[A-Za-z]", "")
-    return F.regexp_extract(rest, r"^\s*([+-]?[0-9]+)", 1).try_cast("bigint")
+    rest = F.translate(address, _UPPER + _LOWER, "")
+    # the pattern only runs where more than an integer is left
+    leading = F.regexp_extract(rest, r"^\s*([+-]?[0-9]+)", 1)
+    return F.coalesce(rest.try_cast("bigint"), leading.try_cast("bigint"))
 
 
 def split_address(address: Column) -> Column:

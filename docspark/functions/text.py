@@ -7,21 +7,31 @@ from pyspark.sql import functions as F
 
 # Fixed value: the characters JavaScript's trim removes.
 JS_SPACE = (
-    r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+    "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
 
 def js_trim(text: Column) -> Column:
-    """Strip JavaScript white space at both ends (Spark's trim only strips spaces)."""
-    return F.regexp_replace(text, rf"^{JS_SPACE}+|{JS_SPACE}+\z", "")
+    """Strip JavaScript white space at both ends (Spark's plain trim only strips spaces)."""
+    return F.btrim(text, F.lit(JS_SPACE))
 
 
 def js_number(number: Column) -> Column:
     """A number the way ``String(v)`` prints it: 30 and not 30.0, never an exponent.
 
-    Exact from 1e-6 up to 1e21 with at most 17 digits after the point; NULL
-    where the number is not one or is too large.
+    Text is read as a double first, so 1.1000000000000001 prints 1.1. Exact from
+    1e-6 up to 1e21 with at most 17 digits after the point; NULL where the
+    input is no number or beyond that.
     """
-    digits = number.cast("string").try_cast("decimal(38,17)").cast("string")
-    return F.regexp_replace(digits, r"\.?0+$", "")
+    double = number.try_cast("double")
+    short = double.cast("string")
+    # Spark prints an exponent below 1e-3 and from 1e7 on; there the decimal has
+    # always 17 digits after the point
+    plain = F.rtrim(F.rtrim(double.try_cast("decimal(38,17)").cast("string"), F.lit("0")), F.lit("."))
+    return (
+        F.when(double == 0, F.lit("0"))
+        .when(F.contains(short, F.lit("E")), plain)
+        .when(short.endswith(".0"), F.left(short, F.length(short) - 2))
+        .otherwise(short)
+    )

@@ -1,7 +1,7 @@
 """Sparse cells to dense Markdown tables.
 
-Cells of a sheet are shuffled twice: by address, to let the last duplicate win
-with map-side combine, and by sheet (and slice, where a sheet is hot), after
+Cells of a sheet are shuffled twice: by row and column, to let the last duplicate
+win with map-side combine, and by sheet (and slice, where a sheet is hot), after
 which row building, the join to the sheet's layout, ordering and folding all
 use the same partitioning. A row is at most as wide as the sheet format allows
 (16,384 columns); the number of rows per sheet is not bounded anywhere.
@@ -165,13 +165,15 @@ def _grid_rows(
     cells and are sliced like them.
     """
     placed = place_cells(cells)
+    # a cell whose address is not its column and row put together is never looked
+    # up: it leaves no text behind, yet its row exists
+    found = F.col("address") == F.concat(F.col("col"), F.col("rn").cast("string"))
     stream = placed.filter("rn IS NOT NULL").select(
         *SHEET,
         F.lit(0).alias("kind"),
         F.col("rn").alias("at"),
-        "col",
-        "address",
-        "text",
+        F.when(found, F.col("col")).alias("col"),
+        F.when(found, F.col("text")).alias("text"),
         F.struct(
             F.col("row_ord").cast("bigint").alias("row_ord"),
             F.col("cell_ord").cast("bigint").alias("cell_ord"),
@@ -192,17 +194,13 @@ def _grid_rows(
             allowMissingColumns=True,
         )
     cut = slicing(stream, SHEET, ["kind", "at"], how)
-    # duplicates meet by address, combined map-side, before rows are put together
+    # duplicates meet by row and column, combined map-side, before rows are put together
     last = (
         cut.place(stream)
-        .groupBy(*cut.columns, "kind", "at", "col", "address")
+        .groupBy(*cut.columns, "kind", "at", "col")
         .agg(F.max_by("text", "seen").alias("text"))
     )
-    # a cell whose address is not its column and row put together is never looked
-    # up: it leaves no text behind, yet its row exists
-    shown = (F.col("kind") == 1) | (
-        F.col("address") == F.concat(F.col("col"), F.col("at").cast("string"))
-    )
+    shown = (F.col("kind") == 1) | F.col("col").isNotNull()
     entry = F.struct(
         F.coalesce(column_order(F.col("col")), F.lit("")).alias("key"),
         F.lit(1).alias("is_cell"),

@@ -96,20 +96,21 @@ def slicing(
     if how is None:
         return plain
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    fair = sizes.agg(
-        F.greatest(F.lit(how.min_rows).cast("bigint"), F.ceil(F.sum("_n") / F.lit(how.slices)))
-    ).scalar()
-    hot = sizes.filter(F.col("_n") > fair).withColumn("_fair", fair)
+    seen = sizes.agg(F.sum("_n").alias("rows"), F.max("_n").alias("largest")).first()
+    if not seen.rows:
+        return plain
+    fair = max(how.min_rows, -(-seen.rows // how.slices))
+    if seen.largest <= fair:
+        return plain
     # fewer than ``slices`` rows, whatever the size of the data
+    hot = sizes.filter(F.col("_n") > fair).select(*keys)
     found = hot.collect()
-    if not found:
-        return plain
     spark = df.sparkSession
     hot = spark.createDataFrame(found, hot.schema)
     sampled = (
         df.select(*dict.fromkeys([*keys, *order]))
         .join(F.broadcast(hot), [*keys])
-        .filter(F.pmod(F.xxhash64(*order), F.greatest(F.lit(1), F.expr(f"_fair div {_OVERSAMPLE}"))) == 0)
+        .filter(F.pmod(F.xxhash64(*order), F.lit(max(1, fair // _OVERSAMPLE))) == 0)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_set(F.struct(*order))).alias("_sampled"))
     )

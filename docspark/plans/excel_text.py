@@ -14,6 +14,7 @@ from docspark.operators.pages import (
 )
 from docspark.operators.requests import split_errors, triage
 from docspark.operators.results import result_envelope
+from docspark.session import write_and_read
 
 
 def excel_text(
@@ -34,7 +35,10 @@ def excel_text(
     )
     asked = good.select("request_id", F.col("file_path").alias("doc"))
     documents = asked.select("doc").distinct()
-    replies = normalise_responses(pages.join(documents, "doc", "left_semi"))
+    # read four times below, twice without the content
+    replies = write_and_read(
+        normalise_responses(pages.join(documents, "doc", "left_semi")), "replies"
+    )
     whole, failures = fail_whole_document(replies)
     manifest = page_manifest(documents, replies, how=how)
     listed, unrendered = split_errors(manifest, "doc")

@@ -107,6 +107,8 @@ def _block_cutter(wanted: dict[str, list[str]], required: str, block_chars: int)
         import zipfile
         from xml.parsers import expat
 
+        if content is None:
+            raise ValueError("the file is too large for one value")
         archive = zipfile.ZipFile(io.BytesIO(content))
         present = archive.namelist()
         if required not in present:

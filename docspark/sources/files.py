@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,19 +26,54 @@ def scan_files(
 
     A listing (``content=False``) is sorted by path and reads no bytes. Rows with
     bytes keep the scan's order: sorting them would shuffle every file's content.
+    Spark's scans leave out empty files; they are added from the scan's own file
+    list, without a modification time. Files too large for one value have NULL
+    content instead of failing the job.
     """
     reader = spark.read.format("binaryFile")
     if suffix:
         # prunes while listing; the filter below repeats it without glob rules
         escaped = "".join("\\" + ch if ch in r"*?[]{}\^" else ch for ch in suffix)
         reader = reader.option("pathGlobFilter", f"*{escaped}")
-    files = reader.load(root)
+    scanned = reader.load(root).select("path", "length", "content", "modificationTime")
+    files = _with_empty_files(scanned, _within_limit(scanned) if content else scanned)
+    files = files.withColumn("path", plain_path(F.col("path")))
     if suffix:
         files = files.filter(F.endswith("path", F.lit(suffix)))
-    files = files.withColumn("path", plain_path(F.col("path")))
-    if content:
-        return files.select("path", "length", "content", "modificationTime")
-    return files.select("path", "length", "modificationTime").orderBy("path")
+    return files if content else files.drop("content").orderBy("path")
+
+
+def _within_limit(scanned: DataFrame) -> DataFrame:
+    """Content up to the size one value can have; the length filter reaches the scan."""
+    limit = int(scanned.sparkSession.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    larger = scanned.filter(F.col("length") > limit)
+    return scanned.filter(F.col("length") <= limit).unionByName(
+        larger.withColumn("content", F.lit(None).cast("binary"))
+    )
+
+
+def _with_empty_files(scanned: DataFrame, files: DataFrame) -> DataFrame:
+    """Add the files in the scan's list that the scan has no row for.
+
+    The driver holds that list for the scan already. Only if the counts differ,
+    names are compared.
+    """
+    listed = scanned.inputFiles()
+    if len(listed) == scanned.count():
+        return files
+    known = scanned.select(plain_path(F.col("path")).alias("path"))
+    empty = (
+        scanned.sparkSession.createDataFrame([(unquote(n),) for n in listed], "path string")
+        .select(plain_path(F.col("path")).alias("path"))
+        .join(known, "path", "left_anti")
+        .select(
+            "path",
+            F.lit(0).cast("bigint").alias("length"),
+            F.lit(b"").alias("content"),
+            F.lit(None).cast("timestamp").alias("modificationTime"),
+        )
+    )
+    return files.unionByName(empty)
 
 
 def attachment_rows(files: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def _book_builder():
 
         (book,) = key
         path = f"/books/book-{book}.xlsx"
-        if book % 7 == 3:
+        if book % 7 == 1:
             content = b"no archive at all"
             return pd.DataFrame([(path, len(content), content)], columns=["path", "length", "content"])
         shared, sheets = [], []
@@ -87,7 +87,7 @@ books AS (
          row_number() OVER (PARTITION BY c_custkey // {PER_BOOK}, c_mktsegment ORDER BY c_custkey) AS n,
          dense_rank() OVER (PARTITION BY c_custkey // {PER_BOOK} ORDER BY c_mktsegment) - 1 AS sheet_ord
   FROM customer),
-read_books AS (SELECT * FROM books WHERE book % 7 <> 3),
+read_books AS (SELECT * FROM books WHERE book % 7 <> 1),
 book_cells AS (
   SELECT doc, sheet, sheet_ord, n - 1 AS row_ord, cell_ord, col || n AS address, n, col,
          CASE cell_ord WHEN 0 THEN c_name || CASE WHEN c_custkey % 4 = 0 THEN ' rich' ELSE '' END

@@ -142,7 +142,7 @@ def workbook_merges(spark, sf_dir):
     "workbook_errors",
     f"""WITH {ar.BOOKS_SQL} SELECT DISTINCT doc AS key, 'EXCEL_TEXT_EXTRACTION_FAILED' AS error_code,
     'Failed to read Excel file: File is not a zip file' AS error_message,
-    '{{"filePath":"' || doc || '"}}' AS error_context FROM books WHERE book % 7 = 3""",
+    '{{"filePath":"' || doc || '"}}' AS error_context FROM books WHERE book % 7 = 1""",
 )
 def workbook_errors(spark, sf_dir):
     return si.flat_error(extract_workbook_cells(ar.workbooks(spark, sf_dir)).errors, "key")

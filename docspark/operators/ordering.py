@@ -48,18 +48,27 @@ class Slicing:
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    bounds: DataFrame | None
+    bounds: DataFrame | None = None
+    most_bounds: int = 0
 
     @property
     def columns(self) -> list[str]:
         return [*self.keys] if self.bounds is None else [*self.keys, SLICE]
 
     def place(self, df: DataFrame) -> DataFrame:
-        """Add ``_slice`` if any key is hot: how many bounds lie at or below the row."""
+        """Add ``_slice`` if any key is hot: how many bounds lie at or below the row.
+
+        The bounds are searched by halving: some ten comparisons for a thousand slices.
+        """
         if self.bounds is None:
             return df
         at = F.struct(*self.order)
-        below = F.size(F.filter("_bounds", lambda b: b <= at))
+        steps = [F.lit(1 << i) for i in reversed(range(self.most_bounds.bit_length()))]
+        below = F.aggregate(
+            F.array(*steps),
+            F.lit(0),
+            lambda n, step: F.when(F.get("_bounds", n + step - 1) <= at, n + step).otherwise(n),
+        )
         return (
             df.join(F.broadcast(self.bounds), [*self.keys], "left")
             .withColumn(SLICE, F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(below))
@@ -92,7 +101,7 @@ def slicing(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], how: Splitting | None = Splitting()
 ) -> Slicing:
     """Look for hot keys and choose slice bounds for them. ``how=None`` never splits."""
-    plain = Slicing(tuple(keys), tuple(order), None)
+    plain = Slicing(tuple(keys), tuple(order))
     if how is None:
         return plain
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -104,9 +113,6 @@ def slicing(
         return plain
     # fewer than ``slices`` rows, whatever the size of the data
     hot = sizes.filter(F.col("_n") > fair).select(*keys)
-    found = hot.collect()
-    spark = df.sparkSession
-    hot = spark.createDataFrame(found, hot.schema)
     sampled = (
         df.select(*dict.fromkeys([*keys, *order]))
         .join(F.broadcast(hot), [*keys])
@@ -116,30 +122,36 @@ def slicing(
     )
     every = F.filter("_sampled", lambda _, i: i % _OVERSAMPLE == _OVERSAMPLE - 1)
     bounds = sampled.select(*keys, every.alias("_bounds"))
-    # about 2 * slices order values in all
-    return Slicing(
-        tuple(keys), tuple(order), spark.createDataFrame(bounds.collect(), bounds.schema)
-    )
+    # about 2 * slices order values in all: computed once and held by the driver
+    held = bounds.toArrow()
+    most = max(map(len, held["_bounds"].to_pylist()), default=0)
+    if not most:
+        return plain
+    table = df.sparkSession.createDataFrame(held, bounds.schema)
+    return Slicing(tuple(keys), tuple(order), table, most)
 
 
 def number_slices(df: DataFrame, cut: Slicing, name: str, single: str | None = None) -> DataFrame:
-    """Add the 1-based position within the key to rows spread by ``cut``.
+    """Spread rows by ``cut`` and add their 1-based position within the key.
 
     ``single`` names a flag column for rows that are alone under their key.
     """
     local = F.row_number().over(cut.window()).cast("bigint")
-    out = df.withColumn(name, local)
+    out = cut.spread(df).withColumn(name, local)
     if single:
         alone = F.count(F.lit(1)).over(Window.partitionBy(*cut.columns)) == 1
         out = out.withColumn(single, alone)
     if cut.bounds is None:
         return out
-    # rows in earlier slices, hot keys only: one row per slice
-    narrow = df.select(*dict.fromkeys([*cut.keys, *cut.order, SLICE]))
-    hot = narrow.join(F.broadcast(cut.bounds.select(*cut.keys)), [*cut.keys], "left_semi")
+    # rows in earlier slices, hot keys only, counted before they are shuffled: one
+    # row per slice
+    hot = df.select(*dict.fromkeys([*cut.keys, *cut.order])).join(
+        F.broadcast(cut.bounds.select(*cut.keys)), [*cut.keys], "left_semi"
+    )
     earlier = Window.partitionBy(*cut.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        hot.groupBy(*cut.columns)
+        cut.place(hot)
+        .groupBy(*cut.columns)
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*cut.columns, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
@@ -159,7 +171,7 @@ def number_in_order(
 ) -> DataFrame:
     """Add the 1-based position within ``keys`` by ``order`` (row_number semantics)."""
     cut = slicing(df, keys, order, how)
-    return number_slices(cut.spread(df), cut, name).drop(SLICE)
+    return number_slices(df, cut, name).drop(SLICE)
 
 
 def fold_slices(

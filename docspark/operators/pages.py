@@ -117,7 +117,7 @@ def assemble_pages(
     cut = slicing(pages, DOC, BY_PATH, how)
     body = F.coalesce("content", F.lit(""))
     numbered = number_slices(
-        cut.spread(pages.select("doc", "image_path", body.alias("body"))), cut, "page_no", "alone"
+        pages.select("doc", "image_path", body.alias("body")), cut, "page_no", "alone"
     )
     if headings:
         title = F.concat(F.lit("## Page "), F.col("page_no").cast("string"), F.lit("\n\n"))

@@ -26,10 +26,10 @@ def stream_triage(
 ) -> StreamingQuery:
     """Triage request files as they arrive in ``in_dir`` and append the outcome to ``out_dir``.
 
-    Each request is judged on its own against ``files``, which is read anew for
-    every micro-batch. No state is kept. The query handles what is there and
-    stops; run it again, or on a schedule, for what has arrived since. Rows gain
-    ``category`` (NULL for unknown file types) and ``error``.
+    Each request is judged on its own against ``files`` as listed when the query
+    starts. No state is kept. The query handles what is there and stops; run it
+    again, or on a schedule, for what has arrived since. Rows gain ``category``
+    (NULL for unknown file types) and ``error``.
     """
     requests = (
         spark.readStream.schema(REQUEST_SCHEMA)

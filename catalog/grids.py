@@ -23,7 +23,11 @@ def _query(name, select):
     return keep
 
 
-@_query("drop_empty_cells", "SELECT doc, sheet, row_ord, cell_ord, address, type FROM placed")
+@_query(
+    "drop_empty_cells",
+    "SELECT doc, sheet, row_ord, cell_ord, address, type FROM cells_in"
+    " WHERE NOT (value IS NULL AND result IS NULL AND formula IS NULL)",
+)
 def drop_empty_cells(spark, sf_dir):
     return grid.drop_empty_cells(si.cells(spark, sf_dir)).select(
         "doc", "sheet", "row_ord", "cell_ord", "address", "type"

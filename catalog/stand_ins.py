@@ -234,7 +234,7 @@ merges_in AS (
 placed AS (
   SELECT *, coalesce(result, value, '') AS text, regexp_replace(address, '[0-9]', '', 'g') AS col,
          TRY_CAST(regexp_extract(regexp_replace(address, '[A-Za-z]', '', 'g'), '^[0-9]+') AS BIGINT) AS rn
-  FROM cells_in WHERE value IS NOT NULL OR result IS NOT NULL OR formula IS NOT NULL),
+  FROM cells_in),
 last_cells AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY doc, sheet, address ORDER BY row_ord DESC, cell_ord DESC) AS newest

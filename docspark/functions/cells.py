@@ -41,5 +41,8 @@ def column_order(col: Column) -> Column:
     One string, so that sorting compares bytes. Labels of one length compare
     case-blind first, and lower case goes before upper case on a tie.
     """
-    swapped = F.translate(col, _UPPER + _LOWER, _LOWER + _UPPER)
+    # for labels in capitals, as nearly all are, swapped case is lower case
+    swapped = F.when(col == F.upper(col), F.lower(col)).otherwise(
+        F.translate(col, _UPPER + _LOWER, _LOWER + _UPPER)
+    )
     return F.concat(F.lpad(F.length(col).cast("string"), 6, "0"), F.lower(col), swapped)

@@ -49,8 +49,12 @@ def drop_empty_cells(cells: DataFrame) -> DataFrame:
 
 
 def place_cells(cells: DataFrame) -> DataFrame:
-    """Non-empty cells with printed text, column label ``col`` and row number ``rn``."""
-    return drop_empty_cells(cells).select(
+    """Cells with printed text, column label ``col`` and row number ``rn``.
+
+    All cells given count, also those that print nothing; readers of files leave
+    empty ones out with ``drop_empty_cells``.
+    """
+    return cells.select(
         *SHEET,
         "row_ord",
         "cell_ord",
@@ -107,10 +111,11 @@ def sheet_axes(
 
 
 def _axis(placed: DataFrame) -> DataFrame:
-    # at most 16,384 labels per sheet, combined map-side; bad addresses count as columns too
+    # labels combine map-side, at most 16,384 per sheet; bad addresses have columns too
+    labels = placed.groupBy(*SHEET, "col").agg(F.min("rn").alias("rn"))
     label = F.struct(column_order(F.col("col")).alias("key"), F.col("col").alias("col"))
-    return placed.groupBy(*SHEET).agg(
-        F.sort_array(F.collect_set(label)).alias("_keys"), F.min("rn").alias("first_rn")
+    return labels.groupBy(*SHEET).agg(
+        F.sort_array(F.collect_list(label)).alias("_keys"), F.min("rn").alias("first_rn")
     )
 
 
@@ -193,7 +198,11 @@ def _grid_rows(
             ),
             allowMissingColumns=True,
         )
-    cut = slicing(stream, SHEET, ["kind", "at"], how)
+    # counting needs no more than the keys of all rows
+    counted = cells.select(*SHEET)
+    if merges is not None:
+        counted = counted.unionAll(merges.select(*SHEET))
+    cut = slicing(stream, SHEET, ["kind", "at"], how, counted)
     # duplicates meet by row and column, combined map-side, before rows are put together
     last = (
         cut.place(stream)
@@ -300,8 +309,8 @@ def grid_to_markdown(
         sheet_ord=F.max("sheet_ord"),
         markdown=text_in_order("piece", ["kind", "at"]),
     ).select(*SHEET, "sheet_ord", "part_no", "markdown")
-    populated = place_cells(cells).filter("rn IS NOT NULL").select(*SHEET).distinct()
-    empty = sheets.join(populated, SHEET, "left_anti").select(
+    populated = _axis(place_cells(cells)).filter("first_rn IS NOT NULL")
+    empty = sheets.join(populated.select(*SHEET), SHEET, "left_anti").select(
         *SHEET,
         "sheet_ord",
         F.lit(1).cast("bigint").alias("part_no"),

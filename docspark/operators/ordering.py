@@ -98,13 +98,22 @@ class Slicing:
 
 
 def slicing(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], how: Splitting | None = Splitting()
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    how: Splitting | None = Splitting(),
+    counted: DataFrame | None = None,
 ) -> Slicing:
-    """Look for hot keys and choose slice bounds for them. ``how=None`` never splits."""
+    """Look for hot keys and choose slice bounds for them. ``how=None`` never splits.
+
+    ``counted`` is a table to count keys in, where one is cheaper to read than ``df``.
+    """
     plain = Slicing(tuple(keys), tuple(order))
     if how is None:
         return plain
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if counted is None:
+        counted = df
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     seen = sizes.agg(F.sum("_n").alias("rows"), F.max("_n").alias("largest")).first()
     if not seen.rows:
         return plain

@@ -28,7 +28,7 @@ def make(spark, sheets):
 
 def brute(sheet, listed, merges=()):
     """The format, stated on plain Python data."""
-    listed = [c for c in ((*c, None, None)[:4] for c in listed) if any(x is not None for x in c[1:])]
+    listed = [(*c, None, None)[:4] for c in listed]
     text = {a: (r if r is not None else v if v is not None else "") for a, v, r, _ in listed}
     digits = "0123456789"
     cols = sorted({"".join(ch for ch in a if ch not in digits) for a in text}, key=lambda c: (len(c), c))
@@ -68,7 +68,7 @@ ODD = {
     "padded": [("A01", "seen?"), ("B1", "x")],
     "last wins": [("A1", "old"), ("A1", "new"), ("B1", "y")],
     "last is empty": [("A1", "old"), ("A1", None, None, "F()")],
-    "gone is no duplicate": [("A1", "old"), ("A1", None)],
+    "nothing wins too": [("A1", "old"), ("A1", None)],
     "no rows": [("A", "x"), ("B", "y")],
     "column without row": [("A1", "x"), ("C", "y")],
     "gaps": [("AA7", "far"), ("C3", "near"), ("B7", "|pipe\nline")],
@@ -103,6 +103,24 @@ def test_random_sheets_with_a_hot_one(spark, how, part_bytes):
     assert "".join(p.markdown for p in whole) == "\n".join(want.values())
 
 
+def test_empty_cells_can_be_left_out(spark):
+    sheets, cells = make(spark, {"s": [("A1", "x"), ("A1", None), ("B2", None), ("C1", None, None, "F()"), ("D1", "")]})
+    kept = grid.drop_empty_cells(cells)
+    assert sorted(r.address for r in kept.collect()) == ["A1", "C1", "D1"]
+    assert markdown(grid.grid_to_markdown(sheets, kept)) == {
+        "s": "## Sheet: s\n\n| x |  |  |\n| --- | --- | --- |\n"
+    }
+
+
+def test_cells_are_shuffled_twice_and_labels_once(spark):
+    sheets, cells = make(spark, {"s": [("A1", "x")]})
+    out = grid.grid_to_markdown(sheets, cells)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("REPARTITION_BY_COL") == 1
+    assert "ReusedExchange" in final
+
+
 def test_wide_sheet(spark):
     def label(n):
         return label(n // 26 - 1) + chr(65 + n % 26) if n >= 26 else chr(65 + n)

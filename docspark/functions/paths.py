@@ -12,6 +12,11 @@ EXCEL_EXTENSIONS = [".xlsx", ".xls", ".xlsm", ".xlsb"]
 WORD_EXTENSIONS = [".docx", ".doc", ".odt"]
 PDF_EXTENSIONS = [".pdf"]
 DOCX_EXTENSION = ".docx"
+CATEGORIES = {
+    **dict.fromkeys(EXCEL_EXTENSIONS, "excel"),
+    **dict.fromkeys(WORD_EXTENSIONS, "word"),
+    **dict.fromkeys(PDF_EXTENSIONS, "pdf"),
+}
 
 # MIME types by extension; anything else counts as PNG.
 MIME_TYPES = {
@@ -32,9 +37,8 @@ def file_basename(path: Column, strip_ext: bool = False) -> Column:
 
 
 def _raw_extension(path: Column) -> Column:
-    # a dot counts only after the name's first character, so ".bashrc" has none
-    found = F.regexp_extract(path, r"(?s)^(?:.*/)?[^/]+?(\.[^./]*)/*\z", 1)
-    return F.when(file_basename(path) == "..", F.lit("")).otherwise(found)
+    # a dot counts only after the name's first character, so ".bashrc" has none, nor has ".."
+    return F.regexp_extract(path, r"(?s)^(?:.*/)?(?!\.\./*\z)[^/]+?(\.[^./]*)/*\z", 1)
 
 
 def file_extension(path: Column) -> Column:
@@ -44,12 +48,7 @@ def file_extension(path: Column) -> Column:
 
 def file_category(path: Column) -> Column:
     """``excel``, ``word`` or ``pdf``; NULL for any other extension."""
-    ext = file_extension(path)
-    return (
-        F.when(ext.isin(EXCEL_EXTENSIONS), F.lit("excel"))
-        .when(ext.isin(WORD_EXTENSIONS), F.lit("word"))
-        .when(ext.isin(PDF_EXTENSIONS), F.lit("pdf"))
-    )
+    return F.try_element_at(_mapping(CATEGORIES), file_extension(path))
 
 
 def file_category_error(path: Column) -> Column:
@@ -81,7 +80,9 @@ def is_docx(path: Column) -> Column:
 
 
 def mime_type(path: Column) -> Column:
-    by_extension = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
-    return F.coalesce(
-        F.try_element_at(by_extension, file_extension(path)), F.lit(DEFAULT_MIME_TYPE)
-    )
+    found = F.try_element_at(_mapping(MIME_TYPES), file_extension(path))
+    return F.coalesce(found, F.lit(DEFAULT_MIME_TYPE))
+
+
+def _mapping(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])

@@ -261,7 +261,8 @@ def densify_grid(
     )
     return (
         aligned.select(*SHEET, "rn", "is_header", pairs.alias("_pairs"))
-        .select(*SHEET, "rn", "is_header", F.posexplode(dense).alias("_at", "_cell"))
+        # outer, lest Spark filters on the array and so builds it twice
+        .select(*SHEET, "rn", "is_header", F.posexplode_outer(dense).alias("_at", "_cell"))
         .select(
             *SHEET, "rn", "is_header", (F.col("_at") + 1).alias("col_no"), "_cell.col", "_cell.text"
         )

@@ -63,12 +63,17 @@ def extract_workbook_cells(files: DataFrame) -> WorkbookTables:
 
 
 def _elements(blocks: DataFrame, element: str, schema: str, *keep: str) -> DataFrame:
-    """Parse blocks of one kind: a row per element with its position ``ord`` in the part."""
+    """Parse blocks of one kind: a row per element with its position ``ord`` in the part.
+
+    The outer form of explode keeps Spark from adding a filter on the array, which
+    would parse every block twice.
+    """
     parsed = F.from_xml("xml", f"{element} array<{schema}>", XML_OPTIONS)
     return (
         blocks.filter(F.col("element") == element)
         .select(*keep, "start", parsed[element].alias("_list"))
-        .select(*keep, "start", F.posexplode("_list").alias("_at", "item"))
+        .select(*keep, "start", F.posexplode_outer("_list").alias("_at", "item"))
+        .filter("_at IS NOT NULL")
         .select(*keep, (F.col("start") + F.col("_at")).cast("int").alias("ord"), "item")
     )
 
@@ -118,8 +123,8 @@ def _cells(blocks: DataFrame, sheets: DataFrame) -> DataFrame:
         "sheet",
         "sheet_ord",
         F.col("ord").alias("row_ord"),
-        F.posexplode("item.c").alias("cell_ord", "c"),
-    )
+        F.posexplode_outer("item.c").alias("cell_ord", "c"),
+    ).filter("cell_ord IS NOT NULL")
     kind = F.coalesce("c._t", F.lit("n"))
     # cells without a shared string get keys of their own below zero, so that they
     # spread over all tasks of the join and match nothing
@@ -140,6 +145,13 @@ def _cells(blocks: DataFrame, sheets: DataFrame) -> DataFrame:
         .when(F.col("kind") == "n", F.coalesce(js_number(v), v))
         .otherwise(v)
     )
+    # says where text is, without making it
+    has_text = (
+        F.when(F.col("kind") == "s", F.col("shared").isNotNull())
+        .when(F.col("kind") == "inlineStr", F.col("c.is.t").isNotNull() | F.col("c.is.r").isNotNull())
+        .when(F.col("kind") == "b", v.isin("0", "1"))
+        .otherwise(v.isNotNull())
+    )
     has_formula = F.col("c.f").isNotNull()
     code = (
         F.when(has_formula, FORMULA_TYPE)
@@ -151,6 +163,7 @@ def _cells(blocks: DataFrame, sheets: DataFrame) -> DataFrame:
     )
     return (
         keyed.join(strings, ["path", "index"], "left")
+        .filter(has_text | F.col("c.f._VALUE").isNotNull())
         .select(
             F.col("path").alias("doc"),
             "sheet",
@@ -163,7 +176,6 @@ def _cells(blocks: DataFrame, sheets: DataFrame) -> DataFrame:
             F.col("c.f._VALUE").alias("formula"),
             code.alias("type"),
         )
-        .filter("value IS NOT NULL OR result IS NOT NULL OR formula IS NOT NULL")
     )
 
 

@@ -181,19 +181,26 @@ def docx_errors(spark, sf_dir):
 # Word text requests: every document is asked for as text and as Markdown, and every
 # ninth also in a format that does not exist; some ask for a file that is not there.
 
-_ASKED = f"""SELECT doc_id * 3 + k AS request_id, 'extract_word_text' AS tool,
-  CASE WHEN doc_id % 10 = 7 THEN concat('/word/none-', doc_id, '.docx') ELSE {ar.WORD_PATH} END AS file_path,
-  CASE k WHEN 0 THEN 'text' WHEN 2 THEN 'html' END AS format"""
+_ASKED = [
+    "doc_id * 3 + k AS request_id",
+    "'extract_word_text' AS tool",
+    "CASE WHEN doc_id % 10 = 7 THEN concat('/word/none-', doc_id, '.docx')"
+    f" ELSE {ar.WORD_PATH} END AS file_path",
+    "CASE k WHEN 0 THEN 'text' WHEN 2 THEN 'html' END AS format",
+]
 
 
 def _word_requests(spark, sf_dir):
-    asked = si.table(spark, sf_dir, "documents").withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
-    asked.createOrReplaceTempView("asked_documents")
-    return spark.sql(f"{_ASKED}, cast(NULL AS double) AS dpi, cast(NULL AS string) AS output_mode FROM asked_documents")
+    three = F.explode(F.array(*map(F.lit, range(3))))
+    return (
+        si.table(spark, sf_dir, "documents")
+        .withColumn("k", three)
+        .selectExpr(*_ASKED, "cast(NULL AS double) AS dpi", "cast(NULL AS string) AS output_mode")
+    )
 
 
 _WORD = f"""WITH {ar.WORD_SQL},
-asked AS ({_ASKED}, k, doc_id FROM documents, (VALUES (0), (1), (2)) AS v(k)),
+asked AS (SELECT {', '.join(_ASKED)}, k, doc_id FROM documents, (VALUES (0), (1), (2)) AS v(k)),
 judged AS (
   SELECT a.*, w.is_docx, w.is_good, w.text, w.markdown,
          CASE WHEN k = 2 THEN 'INVALID_TOOL_INPUT'

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions.cells import address_column, address_row, cell_text, column_order
+from docspark.operators.lookup import lookup
 from docspark.operators.ordering import (
     DEFAULT_PART_BYTES,
     SLICE,
@@ -36,8 +37,11 @@ def filter_sheets(cells: DataFrame, requests: DataFrame) -> DataFrame:
     """
     names = F.col("sheet_names")
     wanted = F.when(F.size(names) > 0, F.array_contains(names, F.col("sheet"))).otherwise(True)
+    asked = requests.select("doc", "sheet_names", F.lit(True).alias("_asked"))
     return (
-        cells.join(requests.select("doc", "sheet_names"), "doc").filter(wanted).drop("sheet_names")
+        lookup(cells, asked, ["doc"])
+        .filter(F.col("_asked") & wanted)
+        .drop("sheet_names", "_asked")
     )
 
 
@@ -123,7 +127,7 @@ def mark_header(rows: DataFrame) -> DataFrame:
     """Add ``is_header``: true on the smallest populated row of each sheet."""
     first = rows.groupBy(*SHEET).agg(F.min("rn").alias("_first"))
     return (
-        rows.join(first, SHEET)
+        lookup(rows, first, SHEET)
         .withColumn("is_header", F.col("rn") == F.col("_first"))
         .drop("_first")
     )

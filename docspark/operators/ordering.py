@@ -97,6 +97,22 @@ class Slicing:
         return F.shiftleft(F.col(SLICE).cast("bigint"), _SLICE_SHIFT) + part + 1
 
 
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], how: Splitting
+) -> tuple[DataFrame, int] | None:
+    """The keys above their fair share of rows and that share, or None without such keys.
+
+    Fewer than ``slices`` keys, whatever the size of the data.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    seen = sizes.agg(F.sum("_n").alias("rows"), F.max("_n").alias("largest")).first()
+    fair = max(how.min_rows, -(-(seen.rows or 0) // how.slices))
+    if (seen.largest or 0) <= fair:
+        return None
+    hot = sizes.filter(F.col("_n") > fair).select(*keys)
+    return df.sparkSession.createDataFrame(hot.toArrow(), hot.schema), fair
+
+
 def slicing(
     df: DataFrame,
     keys: Sequence[str],
@@ -111,17 +127,10 @@ def slicing(
     plain = Slicing(tuple(keys), tuple(order))
     if how is None:
         return plain
-    if counted is None:
-        counted = df
-    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    seen = sizes.agg(F.sum("_n").alias("rows"), F.max("_n").alias("largest")).first()
-    if not seen.rows:
-        return plain
-    fair = max(how.min_rows, -(-seen.rows // how.slices))
-    if seen.largest <= fair:
+    found = hot_keys(df if counted is None else counted, keys, how)
+    if found is None:
         return plain
-    # fewer than ``slices`` rows, whatever the size of the data
-    hot = sizes.filter(F.col("_n") > fair).select(*keys)
+    hot, fair = found
     sampled = (
         df.select(*dict.fromkeys([*keys, *order]))
         .join(F.broadcast(hot), [*keys])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docspark import errors
 from docspark.functions.text import js_trim
+from docspark.operators.lookup import lookup
 from docspark.operators.ordering import (
     DEFAULT_PART_BYTES,
     SLICE,
@@ -96,8 +97,9 @@ def fail_whole_document(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy(F.col("doc").alias("key"))
         .agg(F.min_by("error", "image_path").alias("error"))
     )
-    whole = pages.join(failures.select(F.col("key").alias("doc")), "doc", "left_anti")
-    return whole.drop("error"), failures
+    failed = failures.select(F.col("key").alias("doc"), F.lit(True).alias("_failed"))
+    whole = lookup(pages, failed, DOC).filter(F.col("_failed").isNull())
+    return whole.drop("error", "_failed"), failures
 
 
 def assemble_pages(

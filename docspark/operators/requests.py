@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark import errors
 from docspark.functions.paths import is_docx
+from docspark.operators.lookup import lookup
 
 # The tools and the optional fields each of them accepts.
 TOOL_FIELDS = {
@@ -99,10 +100,10 @@ def _missing_error() -> Column:
 
 
 def _with_existence(requests: DataFrame, files: DataFrame) -> DataFrame:
-    # distinct paths combine map-side; a path asked for by many requests is a skewed
-    # left side, which adaptive execution splits when this is not a broadcast join
-    known = files.select(F.col("path").alias("file_path")).distinct().withColumn("_found", F.lit(True))
-    return requests.join(known, "file_path", "left").select(*requests.columns, "_found")
+    # distinct paths combine map-side; many requests may ask for one path
+    known = files.select(F.col("path").alias("file_path")).distinct()
+    found = lookup(requests, known.withColumn("_found", F.lit(True)), ["file_path"])
+    return found.select(*requests.columns, "_found")
 
 
 def check_exists(requests: DataFrame, files: DataFrame) -> DataFrame:
@@ -117,10 +118,10 @@ def check_exists(requests: DataFrame, files: DataFrame) -> DataFrame:
 
 def missing_files(requests: DataFrame, files: DataFrame) -> DataFrame:
     """Only the requests whose file is missing, as ``key, error``."""
-    known = files.select(F.col("path").alias("file_path")).distinct()
+    asked = requests.filter(F.col("file_path").isNotNull())
     return (
-        requests.filter(F.col("file_path").isNotNull())
-        .join(known, "file_path", "left_anti")
+        _with_existence(asked, files)
+        .filter(F.col("_found").isNull())
         .select(F.col("request_id").cast("string").alias("key"), _missing_error().alias("error"))
     )
 

@@ -15,7 +15,6 @@ from docspark.functions.text import js_trim
 from docspark.operators.lookup import lookup
 from docspark.operators.ordering import (
     DEFAULT_PART_BYTES,
-    SLICE,
     Splitting,
     fold_slices,
     list_in_order,

@@ -41,6 +41,20 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Growing:
+    """A numpy array that takes more values at little cost each."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.zeros(1024, kind), 0
+
+    def extend(self, values) -> None:
+        end = self.n + len(values)
+        if end > len(self.room):
+            self.room = np.concatenate((self.room, np.zeros(end, self.room.dtype)))
+        self.room[self.n : end] = values
+        self.n = end
+
+
 def window_hashes(word_hashes: np.ndarray, size: int) -> np.ndarray:
     """64-bit hashes of all runs of ``size`` words, from the words' own hashes."""
     n = len(word_hashes) - size + 1
@@ -138,8 +152,3 @@ def components(links: DataFrame, purpose: str) -> DataFrame:
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
-
-def schema_of(df: DataFrame, columns: list[str], extra: str = "") -> T.StructType:
-    """The fields of these columns, then those of a DDL string."""
-    fields = [df.schema[c] for c in columns]
-    return T.StructType(fields + (list(T.StructType.fromDDL(extra)) if extra else []))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import language, simhash
+from docspark.llm import decontamination, language, mixing, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +18,93 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontamination.leaks(docs, items)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenized(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+MIX_WEIGHTS = {
+    "domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1},
+    "lang": {"en": 4, "de": 2, "fr": 2, "es": 2},
+    "source": {"src0": 2},
+}
+
+
+def mix_levels() -> dict:
+    """Sources are grouped to four domains by their number."""
+    number = F.regexp_extract(F.col("source"), "[0-9]+", 0).try_cast("int")
+    domain = F.concat(F.lit("domain"), (number % 4).cast("string"))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return mixing.select(docs, mix_levels(), MIX_WEIGHTS, F.expr("total * 4 div 5")).drop("text")
+
+
+def _share_sql(name: str, nodes: str, by: str, child: str, weight: str, given: str) -> str:
+    """One level of the budget tree, as mixing.share_out() does it."""
+    part = f"PARTITION BY {by}" if by else ""
+    return f"""
+    {name}_w AS (SELECT *, {weight} AS weight FROM ({nodes})),
+    {name}_b AS (
+        SELECT *, coalesce(sum(capacity) OVER ({part} ORDER BY capacity / weight, {child}
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_,
+               sum(weight) OVER ({part} ORDER BY capacity / weight, {child}
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights_
+        FROM {name}_w),
+    {name}_f AS (SELECT *, {given} - before_ AS left_,
+        capacity::HUGEINT * weights_ <= weight::HUGEINT * greatest({given} - before_, 0) AS full_ FROM {name}_b),
+    {name}_r AS (SELECT *, max(CASE WHEN NOT full_ THEN weights_ END) OVER ({part}) AS rw,
+        max(CASE WHEN NOT full_ THEN greatest(left_, 0) END) OVER ({part}) AS rr,
+        sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER ({part} ORDER BY capacity / weight, {child}
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM {name}_f),
+    {name} AS (SELECT * EXCLUDE (before_, weights_, left_, full_, rw, rr, upto),
+        CASE WHEN full_ THEN capacity ELSE (rr * upto) // rw - (rr * (upto - weight)) // rw END AS budget FROM {name}_r)"""
+
+
+def _weight_sql(level: str) -> str:
+    cases = " ".join(f"WHEN '{n}' THEN {w}" for n, w in MIX_WEIGHTS[level].items())
+    return f"CASE {level} {cases} ELSE 1 END"
+
+
+MIX_SQL = f"""
+WITH sized AS (
+    SELECT doc_id, lang, source,
+           'domain' || (regexp_extract(source, '[0-9]+')::INT % 4)::VARCHAR AS domain,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
+    FROM documents),
+docs AS (SELECT * FROM sized WHERE n_tokens > 0),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM docs GROUP BY ALL),
+total AS (SELECT sum(tokens) * 4 // 5 AS given FROM leaf),
+{_share_sql("a", "SELECT domain, sum(tokens) AS tokens, sum(tokens) * 3 AS capacity, any_value(given) AS given FROM leaf, total GROUP BY domain", "", "domain", _weight_sql("domain"), "given")},
+{_share_sql("b", "SELECT leaf.domain, lang, sum(leaf.tokens) AS tokens, sum(leaf.tokens) * 3 AS capacity, any_value(a.budget) AS given FROM leaf JOIN a ON leaf.domain = a.domain GROUP BY ALL", "domain", "lang", _weight_sql("lang"), "given")},
+{_share_sql("c", "SELECT leaf.domain, leaf.lang, source, leaf.tokens AS tokens, leaf.tokens * 3 AS capacity, b.budget AS given FROM leaf JOIN b ON leaf.domain = b.domain AND leaf.lang = b.lang", "domain, lang", "source", _weight_sql("source"), "given")},
+keyed AS (
+    SELECT docs.*, budget // tokens AS full_epochs, budget % tokens AS rest,
+           md5('{mixing.SEED}:' || (budget // tokens + 1)::VARCHAR || ':' || doc_id::VARCHAR) AS k
+    FROM docs JOIN c USING (domain, lang, source)),
+placed AS (
+    SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) - n_tokens < rest AS extra FROM keyed)
+SELECT doc_id, lang, source, unnest(range(1, (full_epochs + extra::INT + 1)::BIGINT))::INT AS epoch, n_tokens FROM placed
+"""
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
+    "op6_decontamination": op6_decontamination,
     "op8_language": op8_language,
+    "op9_tokens": op9_tokens,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op10_mixing": MIX_SQL}

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, language, mixing, simhash, tokens
+from docspark.llm import decontamination, language, mixing, quality, simhash, tokens, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpieces.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -100,6 +108,8 @@ SELECT doc_id, lang, source, unnest(range(1, (full_epochs + extra::INT + 1)::BIG
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op3_token_counts": op3_token_counts,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
     "op8_language": op8_language,
@@ -107,4 +117,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE = {"op10_mixing": MIX_SQL}
+ORACLE = {"op2_quality": quality.SQL, "op10_mixing": MIX_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, language, mixing, quality, simhash, tokens, wordpieces
+from docspark.llm import decontamination, language, licences, mixing, quality, simhash, tokens, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpieces.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: every tenth is the licence file of its folder."""
+    name = F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE")).otherwise(F.col("doc_id").cast("string"))
+    folders = [F.col("source"), F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100 % 10").cast("string")]
+    files = _table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat_ws("/", *folders, F.concat_ws("-", name, F.col("doc_id"))).alias("path"), "text"
+    )
+    return licences.scan(files).drop("text")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -110,6 +120,7 @@ SELECT doc_id, lang, source, unnest(range(1, (full_epochs + extra::INT + 1)::BIG
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
+    "op4_licences": op4_licences,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
     "op8_language": op8_language,

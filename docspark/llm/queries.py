@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, language, licences, mixing, quality, simhash, tokens, wordpieces
+from docspark.llm import decontamination, html_text, language, licences, mixing, quality, simhash, tokens, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(docs, items)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).drop("html")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -123,6 +127,7 @@ QUERIES = {
     "op4_licences": op4_licences,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
+    "op7_html_text": op7_html_text,
     "op8_language": op8_language,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,

@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import mapped, ship, written
+from docspark.llm.common import Growing, mapped, ship, written
 
-SAMPLE_ROWS = 20_000  # labelled rows that a model is fitted on, about
+SAMPLE_ROWS = 8_000  # labelled rows that a model is fitted on, about
 MAX_WORDS = 60_000  # size of a model: its most frequent words and n-grams
 MAX_GRAMS = 60_000
 LONGEST = 5
@@ -91,7 +91,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     pieces = _most_frequent(by_unit.where("size > 0"), MAX_GRAMS)
     langs = sorted({lang for r in words + pieces for lang in r["by_lang"]})
     at = {lang: i for i, lang in enumerate(langs)}
-    table: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+    table: list[dict[str, tuple]] = [{} for _ in range(LONGEST + 1)]
     for size in range(LONGEST + 1):
         own = [r for r in words + pieces if r["size"] == size]
         if not own:
@@ -104,39 +104,53 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
         logs = np.log(smooth / smooth.sum(axis=0))
         # what a unit says of the language, not how rare it is
         logs -= logs.max(axis=1, keepdims=True)
-        table[size] = {r["unit"]: logs[i].astype(np.float32) for i, r in enumerate(own)}
+        table[size] = {r["unit"]: tuple(x) for r, x in zip(own, logs.tolist())}
     return {"langs": langs, "table": table}
 
 
-def word_scores(model: dict, word: str) -> np.ndarray:
+def word_scores(model: dict, word: str) -> tuple:
     table = model["table"]
     if word in table[0]:
         return table[0][word]
     for size in range(LONGEST, 0, -1):
-        known = [table[size][g] for g in grams(word, size) if g in table[size]]
+        own = table[size]
+        known = [own[g] for g in grams(word, size) if g in own]
         if known:
-            return np.mean(known, axis=0)
-    return np.zeros(len(model["langs"]), np.float32)
+            return tuple(sum(column) / len(known) for column in zip(*known))
+    return (0.0,) * len(model["langs"])
 
 
-def predict_text(model: dict, text: str | None, cache: dict) -> tuple[str, float]:
-    words = _WORD.findall(text.lower()) if text else []
-    if not words or not model["langs"]:
-        return UNKNOWN, 0.0
-    total = np.zeros(len(model["langs"]))
-    for word, n in Counter(words).items():
-        scores = cache.get(word)
-        if scores is None:
-            if len(cache) >= _CACHE_WORDS:
-                cache.clear()
-            scores = cache[word] = word_scores(model, word)
-        total += n * scores
-    best = int(np.argmax(total))  # ties: the first language by name
-    score = 1 / math.fsum(math.exp(max(-700.0, x - total[best])) for x in total)
-    return model["langs"][best], min(1.0, score)
+class Scorer:
+    """Scores of whole texts; those of words seen are kept, up to a fixed number."""
 
+    def __init__(self, model: dict):
+        self.model, self.langs = model, model["langs"]
+        self._clear()
 
-_caches: dict[str, dict] = {}
+    def _clear(self):
+        self.at: dict[str, int] = {}
+        self.scores = [Growing(np.float64) for _ in self.langs]
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        words = _WORD.findall(text.lower()) if text else []
+        if not words or not self.langs:
+            return UNKNOWN, 0.0
+        if len(self.at) > _CACHE_WORDS:
+            self._clear()
+        at = self.at
+        new = [w for w in dict.fromkeys(words) if w not in at]
+        if new:
+            at.update(zip(new, range(len(at), len(at) + len(new))))
+            for column, values in zip(self.scores, zip(*[word_scores(self.model, w) for w in new])):
+                column.extend(values)
+        codes = np.array([at[w] for w in words], np.int64)
+        total = [float(column.room[codes].sum()) for column in self.scores]
+        best = max(range(len(total)), key=total.__getitem__)  # ties: the first language by name
+        score = 1 / math.fsum(math.exp(max(-700.0, x - total[best])) for x in total)
+        return self.langs[best], min(1.0, score)
+
+
+_scorers: dict[str, Scorer] = {}
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -152,13 +166,11 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def column(texts: pd.Series) -> pd.DataFrame:
-        if key not in _caches:
-            _caches.clear()
-        cache = _caches.setdefault(key, {})
-        found = [
-            predict_text(shared.value, x, cache)
-            for x in texts.astype(object).where(texts.notna(), None)
-        ]
+        if key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(shared.value)
+        scorer = _scorers[key]
+        found = [scorer.predict(x) for x in texts.astype(object).where(texts.notna(), None)]
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -207,7 +207,7 @@ def features(node: Node) -> tuple:
     return (
         ("tag", node.tag, _share(node.all_links, node.all_words)),
         *[("attr", g) for g in node.groups or ("none",)],
-        ("own", own, node.stop if own else 0),
+        ("own", own, node.stop if own else 0, _share(node.links, node.words)),
         # of a leaf this would say the same a second time
         ("below", min(9, node.all_words.bit_length()) if node.all_words > node.words else 0),
     )

@@ -105,6 +105,28 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return write_and_read(df, f"llm-{purpose}")
 
 
+def id_bitmap(ids: DataFrame, bits: int = 25):
+    """A broadcast filter of the long ids of one column: 2**bits bits for any number of ids.
+
+    Bit ``mixed(id) >> (64 - bits)`` is set for each id, so the filter lets others
+    pass, the more the fuller it is, and never holds one back.
+    """
+
+    def words(batches):
+        for batch in batches:
+            at = np.unique(mixed(batch.iloc[:, 0].to_numpy(np.int64).view(np.uint64)) >> np.uint64(64 - bits))
+            word, start = np.unique(at >> np.uint64(6), return_index=True)
+            own = np.uint64(1) << (at & np.uint64(63))
+            filled = np.bitwise_or.reduceat(own, start) if len(own) else own
+            yield pd.DataFrame({"word": word.astype(np.int64), "bits": filled.view(np.int64)})
+
+    found = mapped(ids, words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    rows = found.toPandas()
+    filled = np.zeros((1 << bits) // 64, "<i8")
+    filled[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return ids.sparkSession.sparkContext.broadcast(filled.tobytes()), bits
+
+
 def components(links: DataFrame, purpose: str) -> DataFrame:
     """Connected components of undirected links ``(a, b)`` of long node ids.
 

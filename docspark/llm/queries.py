@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, html_text, language, licences, mixing, quality, simhash, tokens, wordpieces
+from docspark.llm import decontamination, html_text, language, licences, mixing, passages, quality, simhash, tokens, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -122,6 +126,7 @@ SELECT doc_id, lang, source, unnest(range(1, (full_epochs + extra::INT + 1)::BIG
 
 
 QUERIES = {
+    "op1_passages": op1_passages,
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_licences": op4_licences,

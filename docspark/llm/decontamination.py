@@ -30,10 +30,10 @@ UNITS = frozenset(
     " pound pounds percent kmh mph".split()
 )
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:e[+-]?\d+)?")
-_MEASURE = re.compile(r"[$€£]?[+-]?\d[\d.,]*(?:%|[a-z°]{1,4})?")
+_MEASURE = re.compile(r"[$€£]?[+-]?\d[\d.,]*(?:%|°?[a-z°]{0,4})?")
 _EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%€$£°]+$")
 _ENDS = re.compile(r"[.!?:]['\")\]]*$")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 800_000
 
 
 def classify(raw: str) -> tuple[int, str, bool]:
@@ -42,27 +42,41 @@ def classify(raw: str) -> tuple[int, str, bool]:
     Names are words in title case; whether one starts a sentence, and so is no
     name, is decided from the word before it.
     """
-    ends = bool(_ENDS.search(raw))
-    core = _EDGE.sub("", raw)
+    plain = raw.isalpha()
+    ends = not plain and bool(_ENDS.search(raw))
+    core = raw if plain else _EDGE.sub("", raw)
     low = core.lower()
     if not core:
         return NOTHING, "", ends
-    if _NUMBER.fullmatch(low):
-        return NUMBER, low, ends
     if low in UNITS:
         return UNIT, low, ends
-    if any(c.isdigit() for c in core) and _MEASURE.fullmatch(low):
-        return MEASURE, low, ends
+    if not core.isalpha():
+        if _NUMBER.fullmatch(low):
+            return NUMBER, low, ends
+        if _MEASURE.fullmatch(low):
+            return MEASURE, low, ends
     if len(core) > 1 and core[0].isupper() and core[1:].islower():
         return NAME, low, ends
     return LITERAL, low, ends
 
 
+class _Codes(dict):
+    """Codes of raw words; a new word gets one when it is asked for."""
+
+    def __init__(self, add):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, raw: bytes) -> int:
+        self[raw] = code = self.add(raw)
+        return code
+
+
 class Templates:
     """Template windows of texts. Known words are kept, up to a fixed number."""
 
     def __init__(self):
-        self.at: dict[bytes, int] = {}
+        self.at = _Codes(self._add)
         self.values: list[str] = []
         self.new: list[tuple[int, int, bool]] = []
         self.arrays = Growing(np.uint64), Growing(np.int8), Growing(bool)
@@ -74,9 +88,8 @@ class Templates:
             kind, value, ends = NOTHING, "", True
         else:
             kind, value, ends = classify(raw.decode("utf-8", "replace"))
-        self.values.append(value)
+        self.values.append("" if kind == LITERAL else value)  # only slots are asked for
         self.new.append((xxhash.xxh64_intdigest(value.encode("utf-8", "replace")), kind, ends))
-        self.at[raw] = len(self.values) - 1
         return len(self.values) - 1
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,8 +97,7 @@ class Templates:
         if len(self.values) > _CACHE_WORDS:
             self.__init__()
         raw = text_bytes(text).replace(b"\x00", b" ").replace(b"\n", b" \x00 ").split()
-        at, add = self.at, self._add
-        codes = np.array([at[w] if w in at else add(w) for w in raw], np.int64)
+        codes = np.fromiter(map(self.at.__getitem__, raw), np.int64, len(raw))
         if self.new:
             for array, values in zip(self.arrays, zip(*self.new)):
                 array.extend(values)
@@ -97,8 +109,8 @@ class Templates:
         kinds = np.where((kinds == NAME) & starts, LITERAL, kinds)
         real = kinds != NOTHING
         codes, kinds, hashes = codes[real], kinds[real], hashes[real]
-        for kind in _PLACEHOLDER:
-            hashes = np.where(kinds == kind, np.uint64(kind), hashes)
+        slot = kinds != LITERAL
+        hashes[slot] = kinds[slot]
         return codes, kinds, hashes
 
     def slots(self, codes: np.ndarray, kinds: np.ndarray) -> list[str]:

@@ -147,8 +147,9 @@ def _item_windows(batches):
                 return (literal[size:] - literal[:-size])[: len(windows)] >= LEAST_LITERALS
 
             if size:
-                rows += [(item, n, size, *row) for row in _rows(cut, text, size, enough)]
-        yield pd.DataFrame(rows, columns=["item_id", "n_tokens", "size", "pos", "h", "slots"])
+                own = _rows(cut, text, size, enough)
+                rows += [(item, len(own), size, *row) for row in own]
+        yield pd.DataFrame(rows, columns=["item_id", "n_windows", "size", "pos", "h", "slots"])
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -157,7 +158,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     Windows with fewer than four literal words are left out, as they say too little.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return mapped(items, _item_windows, f"item_id long, n_tokens int, size int, {_SCHEMA}")
+    return mapped(items, _item_windows, f"item_id long, n_windows int, size int, {_SCHEMA}")
 
 
 def _doc_windows(bitmap, sizes, bits):
@@ -217,15 +218,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_C
     wanted = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = mapped(wanted, _doc_windows(bitmap, sizes, BITMAP_BITS), f"doc_id long, size int, {_SCHEMA}")
     # by (size, h) for the join; a window in a third of all documents is split by Spark
-    held = items.select("item_id", "n_tokens", "size", "h", F.col("pos").alias("at"), F.col("slots").alias("own"))
+    held = items.select("item_id", "n_windows", "size", "h", F.col("pos").alias("at"), F.col("slots").alias("own"))
     slots = F.arrays_zip(F.col("own").alias("own"), F.col("slots").alias("slots"))
     occurrence = (
         found.join(held, ["size", "h"])
-        .select("doc_id", "item_id", "n_tokens", "size", "at", (F.col("pos") - F.col("at")).alias("shift"), slots.alias("pairs"))
+        .select("doc_id", "item_id", "n_windows", "at", (F.col("pos") - F.col("at")).alias("shift"), slots.alias("pairs"))
         .groupBy("doc_id", "item_id", "shift")
         .agg(
-            F.first("n_tokens").alias("n_tokens"),
-            F.first("size").alias("size"),
+            F.first("n_windows").alias("n_windows"),
             F.collect_set("at").alias("at"),
             F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
         )
@@ -235,10 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_C
     return (
         consistent.groupBy("doc_id", "item_id")
         .agg(
-            (
-                F.size(F.array_distinct(F.flatten(F.collect_list("at"))))
-                / F.first(F.col("n_tokens") - F.col("size") + 1)
-            ).alias("coverage"),
+            (F.size(F.array_distinct(F.flatten(F.collect_list("at")))) / F.first("n_windows")).alias("coverage"),
             F.every(F.forall("pairs", lambda p: p["own"] == p["slots"])).alias("same_values"),
         )
         .where(F.col("coverage") >= least_coverage)

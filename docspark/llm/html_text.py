@@ -267,7 +267,7 @@ LAYOUTS = [
     """<body><table><tr><td class="menu"><a href="/a">{1}</a><br><a href="/b">{2}</a></td><td class="main-text" data-y="1"><h2>{4}</h2>
     <p>{48}</p><p>{60}</p></td></tr></table><p class="legal">{14}</p></body>""",
     """<body><div><p><a href="/a">{2}</a> <a href="/b">{2}</a> <a href="/c">{2}</a></p></div><div data-y="1"><h1>{5}</h1><p>{90}</p>
-    <p>{44}</p><p>{62}</p></div><div><ul><li><a href="/1">{4}</a></li><li><a href="/2">{5}</a></li></ul></div><div><p>{5}</p></div></body>""",
+    <p>{44}</p><p>{62}</p></div><div><ul><li><a href="/1">{4}</a></li><li><a href="/2">{5}</a></li></ul></div><div class="foot"><p>{5}</p></div></body>""",
     """<body><article data-y="1"><h1>{4}</h1><p>{120}</p></article><section id="discussion"><ol class="replies"><li>{25}</li><li>{14}</li></ol>
     </section><aside><p>{30}</p></aside><dialog><p>{13}</p></dialog></body>""",
 ]

@@ -23,9 +23,10 @@ def _book_builder():
 
         (book,) = key
         path = f"/books/book-{book}.xlsx"
+        files = []
         if book % 7 == 1:
-            content = b"no archive at all"
-            return pd.DataFrame([(path, len(content), content)], columns=["path", "length", "content"])
+            broken = b"no archive at all"
+            files.append((f"/books/broken-{book}.xlsx", len(broken), broken))
         shared, sheets = [], []
         for segment, group in rows.sort_values("c_custkey").groupby("c_mktsegment"):
             body = []
@@ -64,19 +65,18 @@ def _book_builder():
             archive.writestr("xl/sharedStrings.xml", f"{head}<sst>{strings}</sst>")
             for i, (_, xml) in enumerate(sheets, 1):
                 archive.writestr(f"xl/worksheets/sheet{i}.xml", f"{head}<worksheet>{xml}</worksheet>")
-        content = out.getvalue()
-        return pd.DataFrame([(path, len(content), content)], columns=["path", "length", "content"])
+        files.append((path, out.tell(), out.getvalue()))
+        return pd.DataFrame(files, columns=["path", "length", "content"])
 
     return build
 
 
 def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A workbook per 50 customers with a sheet per segment; every seventh is unreadable."""
+    """A workbook per 50 customers with a sheet per segment; an unreadable one beside every seventh."""
     customers = si.table(spark, sf_dir, "customer").select(
         F.expr(f"c_custkey div {PER_BOOK}").alias("book"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment"
     )
-    tasks = spark.sparkContext.defaultParallelism
-    built = customers.repartition(tasks, "book").groupBy("book").applyInPandas(_book_builder(), _FILE)
+    built = customers.groupBy("book").applyInPandas(_book_builder(), _FILE)
     return write_and_read(built, "books")
 
 
@@ -87,7 +87,7 @@ books AS (
          row_number() OVER (PARTITION BY c_custkey // {PER_BOOK}, c_mktsegment ORDER BY c_custkey) AS n,
          dense_rank() OVER (PARTITION BY c_custkey // {PER_BOOK} ORDER BY c_mktsegment) - 1 AS sheet_ord
   FROM customer),
-read_books AS (SELECT * FROM books WHERE book % 7 <> 1),
+read_books AS (SELECT * FROM books),
 book_cells AS (
   SELECT doc, sheet, sheet_ord, n - 1 AS row_ord, cell_ord, col || n AS address, n, col,
          CASE cell_ord WHEN 0 THEN c_name || CASE WHEN c_custkey % 4 = 0 THEN ' rich' ELSE '' END
@@ -126,8 +126,7 @@ def _docx_builder():
             rows = []
             for doc_id, path, text in zip(batch["doc_id"], batch["path"], batch["text"]):
                 if doc_id % 11 == 5:
-                    rows.append((path, 4, b"PK\x03\x04"))
-                    continue
+                    rows.append((f"/word/broken-{doc_id}.docx", 4, b"PK\x03\x04"))
                 paragraphs = []
                 for i, line in enumerate(text.split("\n")):
                     style = f'<w:pPr><w:pStyle w:val="Heading{1 + doc_id % 6}"/></w:pPr>' if i == 0 else ""
@@ -153,31 +152,35 @@ def _docx_builder():
                         f"<w:body>{body}</w:body></w:document>",
                     )
                 rows.append((path, out.tell(), out.getvalue()))
+                if doc_id % 13 == 6:
+                    rows.append((path[:-1], out.tell(), out.getvalue()))
             yield pd.DataFrame(rows, columns=["path", "length", "content"])
 
     return build
 
 
-WORD_PATH = "concat('/word/', doc_id, CASE WHEN doc_id % 13 = 6 THEN '.doc' ELSE '.docx' END)"
+WORD_PATH = "concat('/word/', doc_id, '.docx')"
 
 
 def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Word file per document, a paragraph per line, the second half in a table.
 
-    Some are unreadable, some have the wrong extension.
+    Beside some stands an unreadable one, beside some a copy with the wrong extension.
     """
     documents = si.table(spark, sf_dir, "documents").selectExpr(
         "doc_id", f"{WORD_PATH} AS path", "text"
     )
-    tasks = spark.sparkContext.defaultParallelism
-    built = documents.repartition(tasks, "doc_id").mapInPandas(_docx_builder(), _FILE)
+    built = documents.repartition("doc_id").mapInPandas(_docx_builder(), _FILE)
     return write_and_read(built, "word-files")
 
 
 WORD_SQL = f"""
 word_in AS (
-  SELECT doc_id, {WORD_PATH} AS doc, doc_id % 13 <> 6 AS is_docx, doc_id % 13 <> 6 AND doc_id % 11 <> 5 AS is_good,
+  SELECT doc_id, {WORD_PATH} AS doc,
          replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) AS text,
          repeat('#', CAST(1 + doc_id % 6 AS INTEGER)) || ' '
            || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) AS markdown
-  FROM documents)"""
+  FROM documents),
+word_bad AS (
+  SELECT concat('/word/broken-', doc_id, '.docx') AS doc, true AS is_docx FROM documents WHERE doc_id % 11 = 5
+  UNION ALL SELECT concat('/word/', doc_id, '.doc'), false FROM documents WHERE doc_id % 13 = 6)"""

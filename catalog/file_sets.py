@@ -140,9 +140,10 @@ def workbook_merges(spark, sf_dir):
 
 @_query(
     "workbook_errors",
-    f"""WITH {ar.BOOKS_SQL} SELECT DISTINCT doc AS key, 'EXCEL_TEXT_EXTRACTION_FAILED' AS error_code,
+    f"""WITH {ar.BOOKS_SQL} SELECT DISTINCT replace(doc, 'book-', 'broken-') AS key,
+    'EXCEL_TEXT_EXTRACTION_FAILED' AS error_code,
     'Failed to read Excel file: File is not a zip file' AS error_message,
-    '{{"filePath":"' || doc || '"}}' AS error_context FROM books WHERE book % 7 = 1""",
+    '{{"filePath":"' || replace(doc, 'book-', 'broken-') || '"}}' AS error_context FROM books WHERE book % 7 = 1""",
 )
 def workbook_errors(spark, sf_dir):
     return si.flat_error(extract_workbook_cells(ar.workbooks(spark, sf_dir)).errors, "key")
@@ -150,7 +151,7 @@ def workbook_errors(spark, sf_dir):
 
 @_query(
     "workbooks_to_markdown",
-    f"""WITH {ar.BOOKS_SQL} SELECT doc, CAST(1 AS BIGINT) AS part_no,
+    f"""WITH {ar.BOOKS_SQL} SELECT doc, CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS part_count,
     string_agg(markdown, chr(10) ORDER BY sheet_ord) AS markdown FROM book_blocks GROUP BY doc""",
 )
 def workbooks_markdown(spark, sf_dir):
@@ -160,7 +161,7 @@ def workbooks_markdown(spark, sf_dir):
 
 @_query(
     "extract_docx",
-    f"WITH {ar.WORD_SQL} SELECT doc, CAST(1 AS BIGINT) AS part_no, text, markdown FROM word_in WHERE is_good",
+    f"WITH {ar.WORD_SQL} SELECT doc, CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS part_count, text, markdown FROM word_in",
 )
 def docx(spark, sf_dir):
     return extract_docx(ar.word_files(spark, sf_dir)).documents
@@ -172,54 +173,57 @@ def docx(spark, sf_dir):
     CASE WHEN is_docx THEN 'WORD_TEXT_EXTRACTION_FAILED' ELSE 'UNSUPPORTED_FORMAT' END AS error_code,
     CASE WHEN is_docx THEN 'Failed to extract text from Word file: File is not a zip file'
          ELSE 'Only .docx files are supported for text extraction. Received: ' || doc END AS error_message,
-    CASE WHEN is_docx THEN '{{"filePath":"' || doc || '"}}' END AS error_context FROM word_in WHERE NOT is_good""",
+    CASE WHEN is_docx THEN '{{"filePath":"' || doc || '"}}' END AS error_context FROM word_bad""",
 )
 def docx_errors(spark, sf_dir):
     return si.flat_error(extract_docx(ar.word_files(spark, sf_dir)).errors, "key")
 
 
-# Word text requests: every document is asked for as text and as Markdown, and every
-# ninth also in a format that does not exist; some ask for a file that is not there.
+# Word text requests: every document is asked for as text, as Markdown and in a format
+# that does not exist; a fourth request asks for a file that is not there, that cannot
+# be read or that has the wrong extension, and for the document itself elsewhere.
 
 _ASKED = [
-    "doc_id * 3 + k AS request_id",
+    "doc_id * 4 + k AS request_id",
     "'extract_word_text' AS tool",
-    "CASE WHEN doc_id % 10 = 7 THEN concat('/word/none-', doc_id, '.docx')"
-    f" ELSE {ar.WORD_PATH} END AS file_path",
+    f"""CASE WHEN k < 3 THEN {ar.WORD_PATH}
+        WHEN doc_id % 10 = 7 THEN concat('/word/none-', doc_id, '.docx')
+        WHEN doc_id % 11 = 5 THEN concat('/word/broken-', doc_id, '.docx')
+        WHEN doc_id % 13 = 6 THEN concat('/word/', doc_id, '.doc') ELSE {ar.WORD_PATH} END AS file_path""",
     "CASE k WHEN 0 THEN 'text' WHEN 2 THEN 'html' END AS format",
 ]
 
 
 def _word_requests(spark, sf_dir):
-    three = F.explode(F.array(*map(F.lit, range(3))))
+    four = F.explode(F.array(*map(F.lit, range(4))))
     return (
         si.table(spark, sf_dir, "documents")
-        .withColumn("k", three)
+        .withColumn("k", four)
         .selectExpr(*_ASKED, "cast(NULL AS double) AS dpi", "cast(NULL AS string) AS output_mode")
     )
 
 
 _WORD = f"""WITH {ar.WORD_SQL},
-asked AS (SELECT {', '.join(_ASKED)}, k, doc_id FROM documents, (VALUES (0), (1), (2)) AS v(k)),
+asked AS (SELECT {', '.join(_ASKED)}, k, doc_id FROM documents, (VALUES (0), (1), (2), (3)) AS v(k)),
 judged AS (
-  SELECT a.*, w.is_docx, w.is_good, w.text, w.markdown,
+  SELECT a.*, w.text, w.markdown,
          CASE WHEN k = 2 THEN 'INVALID_TOOL_INPUT'
               WHEN NOT file_path LIKE '%.docx' THEN 'UNSUPPORTED_FORMAT'
-              WHEN a.doc_id % 10 = 7 THEN 'FILE_NOT_FOUND'
-              WHEN NOT is_good THEN 'WORD_TEXT_EXTRACTION_FAILED' END AS error_code
+              WHEN file_path LIKE '/word/none-%' THEN 'FILE_NOT_FOUND'
+              WHEN file_path LIKE '/word/broken-%' THEN 'WORD_TEXT_EXTRACTION_FAILED' END AS error_code
   FROM asked a JOIN word_in w ON w.doc_id = a.doc_id)"""
 
 
 @_query(
     "word_text",
-    f"""{_WORD} SELECT request_id, CAST(1 AS BIGINT) AS part_no,
+    f"""{_WORD} SELECT request_id, CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS part_count,
     '{{"sourceType":"word","textFormat":"' || CASE k WHEN 0 THEN 'text' ELSE 'markdown' END || '","content":'
     || to_json(CASE k WHEN 0 THEN text ELSE markdown END)::VARCHAR || '}}' AS text
     FROM judged WHERE error_code IS NULL""",
 )
 def word_text_query(spark, sf_dir):
     results, _ = word_text(_word_requests(spark, sf_dir), ar.word_files(spark, sf_dir))
-    return results.select("request_id", "part_no", "text")
+    return results.select("request_id", "part_no", "part_count", "text")
 
 
 @_query(
@@ -275,14 +279,14 @@ asked AS (
 
 @_query(
     "excel_text",
-    f"""{_EXCEL} SELECT request_id, CAST(1 AS BIGINT) AS part_no,
+    f"""{_EXCEL} SELECT request_id, CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS part_count,
     '{{"sourceType":"excel","textFormat":"markdown","content":' || to_json(content)::VARCHAR
     || ',"images":[' || images || '],"pageCount":' || page_count || '}}' AS text
     FROM asked JOIN documents_out USING (doc) WHERE NOT is_invalid AND is_there AND NOT is_failed""",
 )
 def excel_text_query(spark, sf_dir):
     results, _ = excel_text(*_excel_inputs(spark, sf_dir))
-    return results.select("request_id", "part_no", "text")
+    return results.select("request_id", "part_no", "part_count", "text")
 
 
 @_query(

@@ -64,7 +64,7 @@ def dedupe_cells(spark, sf_dir):
 
 @_query(
     "sheet_axes",
-    """SELECT c.doc, c.sheet, CAST(1 AS BIGINT) AS part_no, c.columns, r.row_numbers FROM
+    """SELECT c.doc, c.sheet, CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS part_count, c.columns, r.row_numbers FROM
     (SELECT doc, sheet, string_agg(col, ',' ORDER BY col_no) AS columns FROM sheet_cols GROUP BY doc, sheet) c
     JOIN (SELECT doc, sheet, string_agg(rn, ',' ORDER BY rn) AS row_numbers FROM sheet_rows GROUP BY doc, sheet) r
     ON r.doc = c.doc AND r.sheet = c.sheet""",
@@ -74,6 +74,7 @@ def sheet_axes(spark, sf_dir):
         "doc",
         "sheet",
         "part_no",
+        "part_count",
         F.array_join("columns", ",").alias("columns"),
         F.array_join("row_numbers", ",").alias("row_numbers"),
     )
@@ -92,7 +93,7 @@ def densify_grid(spark, sf_dir):
     return grid.densify_grid(si.sheets(spark, sf_dir), si.cells(spark, sf_dir))
 
 
-_SHEETS = "SELECT doc, sheet, sheet_ord, CAST(1 AS BIGINT) AS part_no, markdown FROM sheet_texts"
+_SHEETS = "SELECT doc, sheet, sheet_ord, CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS part_count, markdown FROM sheet_texts"
 
 
 @_query("grid_to_markdown", _SHEETS)
@@ -132,7 +133,7 @@ def grid_to_markdown_one_sheet(spark, sf_dir):
 
 @_query(
     "workbook_markdown",
-    """SELECT doc, CAST(1 AS BIGINT) AS part_no, string_agg(markdown, chr(10) ORDER BY sheet_ord) AS markdown
+    """SELECT doc, CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS part_count, string_agg(markdown, chr(10) ORDER BY sheet_ord) AS markdown
     FROM sheet_texts GROUP BY doc""",
 )
 def workbook_markdown(spark, sf_dir):
@@ -147,6 +148,6 @@ def sheet_count(spark, sf_dir):
     return grid.sheet_count(si.sheets(spark, sf_dir))
 
 
-@_query("merged_note", "SELECT doc, sheet, CAST(1 AS BIGINT) AS part_no, note FROM notes")
+@_query("merged_note", "SELECT doc, sheet, CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS part_count, note FROM notes")
 def merged_note(spark, sf_dir):
     return grid.merged_note(si.merges(spark, sf_dir))

@@ -44,7 +44,7 @@ def number_pages(spark, sf_dir):
 
 @_query(
     "assemble_pages",
-    f"""{_PAGES} SELECT doc, CAST(1 AS BIGINT) AS part_no,
+    f"""{_PAGES} SELECT doc, CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS part_count,
     string_agg(block, chr(10) || chr(10) ORDER BY page_no) AS content, count(*) AS page_count
     FROM titled GROUP BY doc""",
 )
@@ -54,15 +54,42 @@ def assemble_pages(spark, sf_dir):
 
 @_query(
     "assemble_pages_in_parts",
-    f"""{_PAGES} SELECT doc, CAST(before // {PART} + 1 AS BIGINT) AS part_no,
-    string_agg(CASE WHEN page_no > 1 THEN chr(10) || chr(10) ELSE '' END || block, '' ORDER BY page_no) AS content,
-    count(*) AS page_count FROM titled GROUP BY doc, before // {PART}""",
+    f"""{_PAGES} SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY part) AS part_no,
+    count(*) OVER (PARTITION BY doc) AS part_count, content, page_count FROM (
+      SELECT doc, before // {PART} AS part, count(*) AS page_count,
+      string_agg(CASE WHEN page_no > 1 THEN chr(10) || chr(10) ELSE '' END || block, '' ORDER BY page_no) AS content
+      FROM titled GROUP BY doc, before // {PART})""",
 )
 def assemble_pages_in_parts(spark, sf_dir):
     """Parts of some 2,000 bytes, so that test documents have several."""
     return pg.assemble_pages(si.pages(spark, sf_dir), part_bytes=PART)
 
 
+_ROLES = """WITH numbered AS (
+  SELECT role AS doc, text AS content, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS page_no,
+         coalesce(sum(strlen(text)) OVER (PARTITION BY role ORDER BY conv_id, turn
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM conversations),
+parts AS (
+  SELECT doc, before // 300 AS part, count(*) AS page_count, string_agg(
+    CASE WHEN page_no > 1 THEN chr(10) || chr(10) ELSE '' END || '## Page ' || page_no || chr(10) || chr(10) || content,
+    '' ORDER BY page_no) AS content
+  FROM numbered GROUP BY doc, before // 300)"""
+
+
+@_query(
+    "assemble_pages_hot_document",
+    f"""{_ROLES} SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY part) AS part_no,
+    count(*) OVER (PARTITION BY doc) AS part_count, content, page_count FROM parts""",
+)
+def assemble_pages_hot_document(spark, sf_dir):
+    """A document per role, cut to slices; many pages outweigh the part size of 300 bytes."""
+    pages = si.table(spark, sf_dir, "conversations").selectExpr(
+        "role AS doc", "struct(conv_id, turn) AS image_path", "text AS content"
+    )
+    return pg.assemble_pages(pages, part_bytes=300, how=Splitting(slices=32, min_rows=10))
+
+
 @_query(
     "assemble_pages_unmerged",
     f"{_PAGES} SELECT doc, page_no, block AS content FROM titled",
@@ -73,7 +100,7 @@ def assemble_pages_unmerged(spark, sf_dir):
 
 @_query(
     "assemble_pages_plain",
-    f"""{_PAGES} SELECT doc, CAST(1 AS BIGINT) AS part_no,
+    f"""{_PAGES} SELECT doc, CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS part_count,
     string_agg(content, chr(10) || chr(10) ORDER BY page_no) AS content, count(*) AS page_count
     FROM numbered GROUP BY doc""",
 )
@@ -101,7 +128,7 @@ def number_pages_hot_document(spark, sf_dir):
       FROM conversations),
     listed AS (SELECT conv_id, string_agg(image_path, ',' ORDER BY image_path) AS images, count(*) AS page_count
                FROM shots GROUP BY conv_id)
-    SELECT doc_id AS doc, CAST(1 AS BIGINT) AS part_no, images, coalesce(page_count, 0) AS page_count,
+    SELECT doc_id AS doc, CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS part_count, images, coalesce(page_count, 0) AS page_count,
            CASE WHEN conv_id IS NULL THEN 'PDF_RENDER_FAILED' END AS error_code,
            CASE WHEN conv_id IS NULL THEN 'No images were generated from PDF' END AS error_message
     FROM documents LEFT JOIN listed ON conv_id = doc_id""",
@@ -115,6 +142,7 @@ def page_manifest(spark, sf_dir):
     return pg.page_manifest(documents, shots).select(
         "doc",
         "part_no",
+        "part_count",
         F.array_join("images", ",").alias("images"),
         "page_count",
         F.col("error.code").alias("error_code"),

@@ -95,14 +95,21 @@ def mime_type(spark, sf_dir):
     return si.paths(spark, sf_dir).select("doc_id", P.mime_type(F.col("path")).alias("mime_type"))
 
 
-@_query("js_trim", "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN '' ELSE text END AS trimmed FROM documents")
+@_query(
+    "js_trim",
+    """SELECT doc_id, k, CASE k WHEN 0 THEN text ELSE '' END AS trimmed
+    FROM documents, (VALUES (0), (1)) AS v(k) WHERE k = 0 OR doc_id % 4 = 3""",
+)
 def js_trim_query(spark, sf_dir):
-    padded = r"""CASE doc_id % 4 WHEN 0 THEN concat(' \t', text, '\r\n') WHEN 1 THEN concat('﻿　', text, '  ')
-        WHEN 2 THEN text ELSE '\u000b\u000c  ' END"""
+    """Every text between blanks, and rows of blanks alone beside them."""
+    padded = r"""CASE doc_id % 4 WHEN 0 THEN concat(' \t', text, '\r\n') WHEN 1 THEN concat('\ufeff\u3000', text, '  ')
+        ELSE text END"""
+    documents = si.table(spark, sf_dir, "documents")
+    blank = documents.where("doc_id % 4 = 3").selectExpr("doc_id", "1 AS k", r"'\u000b\u000c  ' AS padded")
     return (
-        si.table(spark, sf_dir, "documents")
-        .selectExpr("doc_id", f"{padded} AS padded")
-        .select("doc_id", js_trim(F.col("padded")).alias("trimmed"))
+        documents.selectExpr("doc_id", "0 AS k", f"{padded} AS padded")
+        .unionAll(blank)
+        .select("doc_id", "k", js_trim(F.col("padded")).alias("trimmed"))
     )
 
 
@@ -121,6 +128,28 @@ def js_number_query(spark, sf_dir):
     )
 
 
+# Digits and power of ten make the number, so the text can be put together without it.
+_POWERS = """WITH scaled AS (
+  SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS q, CAST((l_orderkey + l_linenumber) % 61 - 30 AS INTEGER) AS k
+  FROM lineitem),
+parts AS (SELECT *, rtrim(CAST(q AS VARCHAR), '0') AS d, length(CAST(q AS VARCHAR)) + k AS point FROM scaled)"""
+
+
+@_query(
+    "js_number_powers",
+    f"""{_POWERS} SELECT l_orderkey, l_linenumber, CASE
+      WHEN point > 21 OR point <= -6 THEN d[1] || CASE WHEN length(d) > 1 THEN '.' || d[2:] ELSE '' END
+           || CASE WHEN point > 0 THEN 'e+' ELSE 'e' END || (point - 1)
+      WHEN point >= length(d) THEN d || repeat('0', point - length(d))
+      WHEN point > 0 THEN d[1:point] || '.' || d[point + 1:]
+      ELSE '0.' || repeat('0', -point) || d END AS printed FROM parts""",
+)
+def js_number_powers(spark, sf_dir):
+    """Quantities times powers of ten from 1e-30 to 1e30, read from their text."""
+    text = F.expr("concat(cast(l_quantity AS int), 'e', (l_orderkey + l_linenumber) % 61 - 30)")
+    return si.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", js_number(text).alias("printed"))
+
+
 @_query(
     "cell_text",
     f"""WITH {si.CELLS_SQL} SELECT doc, sheet, row_ord, cell_ord,

@@ -18,20 +18,51 @@ def js_trim(text: Column) -> Column:
 
 
 def js_number(number: Column) -> Column:
-    """A number the way ``String(v)`` prints it: 30 and not 30.0, never an exponent.
+    """A number the way ``String(v)`` prints it: 30 and not 30.0, 1e+21, 1.5e-7.
 
-    Text is read as a double first, so 1.1000000000000001 prints 1.1. Exact from
-    1e-6 up to 1e21 with at most 17 digits after the point; NULL where the
-    input is no number or beyond that.
+    Text is read as a double first, so 1.1000000000000001 prints 1.1. The digits are
+    the fewest that read back as the same double, and none is cut: from 1e-6 up to
+    1e21 they stand around the point, beyond that with an exponent. NULL where the
+    input is no number.
     """
     double = number.try_cast("double")
     short = double.cast("string")
-    # Spark prints an exponent below 1e-3 and from 1e7 on; there the decimal has
-    # always 17 digits after the point
-    plain = F.rtrim(F.rtrim(double.try_cast("decimal(38,17)").cast("string"), F.lit("0")), F.lit("."))
-    return (
-        F.when(double == 0, F.lit("0"))
-        .when(F.contains(short, F.lit("E")), plain)
-        .when(short.endswith(".0"), F.left(short, F.length(short) - 2))
-        .otherwise(short)
-    )
+    # up to 15 digits around a point are the fewest; else 15, 16 or 17 are tried in turn
+    simple = ~F.contains(short, F.lit("E")) & (F.length(short) <= 16)
+    plain = F.when(short.endswith(".0"), F.left(short, F.length(short) - 2)).otherwise(short)
+    tried = [F.format_string(f"%.{n}e", double) for n in (14, 15, 16)]
+    fewest = F.coalesce(*[F.when(t.cast("double") == double, t) for t in tried], short)
+    return F.when(double == 0, F.lit("0")).when(simple, plain).otherwise(_from_exponent(fewest))
+
+
+def _from_exponent(text: Column) -> Column:
+    """``-d.ddde+NN`` as JavaScript prints it; any other text, such as NaN, as it is."""
+    pattern = r"^(-?)(\d)\.(\d+)e([+-]\d+)$"
+
+    def split(t):
+        digits = F.regexp_replace(F.concat(F.regexp_extract(t, pattern, 2), F.regexp_extract(t, pattern, 3)), "0+$", "")
+        return F.struct(
+            t.alias("text"),
+            F.regexp_extract(t, pattern, 1).alias("sign"),
+            digits.alias("digits"),
+            # the value is 0.digits * 10^point
+            (F.regexp_extract(t, pattern, 4).try_cast("int") + 1).alias("point"),
+        )
+
+    def put_together(x):
+        digits, point, n = x["digits"], x["point"], F.length(x["digits"])
+        rest = F.when(n == 1, F.lit("")).otherwise(F.concat(F.lit("."), F.substr(digits, F.lit(2))))
+        plus = F.when(point > 0, F.lit("e+")).otherwise(F.lit("e"))
+        number = (
+            F.when(
+                (point > 21) | (point <= -6),
+                F.concat(F.left(digits, F.lit(1)), rest, plus, (point - 1).cast("string")),
+            )
+            .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
+            .when(point > 0, F.concat(F.left(digits, point), F.lit("."), F.substr(digits, point + 1)))
+            .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        )
+        return F.when(point.isNull(), x["text"]).otherwise(F.concat(x["sign"], number))
+
+    # arrays of one value, so that each step is worked out once
+    return F.transform(F.transform(F.array(text), split), put_together)[0]

@@ -108,6 +108,7 @@ def sheet_axes(
         .select(
             *SHEET,
             F.coalesce("part_no", F.lit(1)).alias("part_no"),
+            F.coalesce("part_count", F.lit(1)).alias("part_count"),
             "columns",
             F.coalesce("row_numbers", F.array().cast("array<bigint>")).alias("row_numbers"),
         )
@@ -298,7 +299,7 @@ def grid_to_markdown(
     part_bytes: int = DEFAULT_PART_BYTES,
     how: Splitting | None = Splitting(),
 ) -> DataFrame:
-    """Markdown of every sheet: ``doc, sheet, sheet_ord, part_no, markdown``.
+    """Markdown of every sheet: ``doc, sheet, sheet_ord, part_no, part_count, markdown``.
 
     Blank rows and columns are left out, the smallest populated row is the
     header, values are not escaped. A sheet without valid rows says so. Without
@@ -313,12 +314,13 @@ def grid_to_markdown(
         part_bytes,
         sheet_ord=F.max("sheet_ord"),
         markdown=text_in_order("piece", ["kind", "at"]),
-    ).select(*SHEET, "sheet_ord", "part_no", "markdown")
+    ).select(*SHEET, "sheet_ord", "part_no", "part_count", "markdown")
     populated = _axis(place_cells(cells)).filter("first_rn IS NOT NULL")
     empty = sheets.join(populated.select(*SHEET), SHEET, "left_anti").select(
         *SHEET,
         "sheet_ord",
         F.lit(1).cast("bigint").alias("part_no"),
+        F.lit(1).cast("bigint").alias("part_count"),
         F.concat(F.lit("## Sheet: "), F.col("sheet"), F.lit("\n\n_Empty sheet_\n")).alias("markdown"),
     )
     return filled.unionByName(empty)
@@ -328,12 +330,18 @@ def workbook_markdown(
     sheet_parts: DataFrame,
     part_bytes: int = DEFAULT_PART_BYTES,
     how: Splitting | None = Splitting(),
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Sheets of each workbook in order, a line break between them: ``doc, part_no, markdown``."""
+    """Sheets of each workbook in order, a line break between them.
+
+    Gives ``doc, part_no, part_count, markdown``. Hot workbooks are looked for in
+    ``counted``, such as the table of sheets, so that the grid is built once; a
+    part outweighs a sheet, so sheets of a workbook bound its parts from below.
+    """
     # a sheet's first part always has number 1
     between = F.when(F.col("sheet_part") == 1, "\n").otherwise("")
     return join_in_order(
-        sheet_parts.withColumnRenamed("part_no", "sheet_part"),
+        sheet_parts.withColumnRenamed("part_no", "sheet_part").drop("part_count"),
         ["doc"],
         ["sheet_ord", "sheet_part"],
         "markdown",
@@ -341,4 +349,5 @@ def workbook_markdown(
         "markdown",
         part_bytes,
         how,
+        counted,
     )

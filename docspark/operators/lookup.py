@@ -17,26 +17,39 @@ def lookup(
 
     Without hot keys, and for streams, this is a plain join. Rows of hot keys get
     their values from a broadcast of those keys alone, fewer than ``slices`` rows,
-    and are spread over all tasks of the join that serves the other rows.
+    and are spread over all tasks of the join that serves the other rows. So are
+    rows with a NULL among their keys, which match nothing. The spread is a hash of
+    the row's own columns: a task that runs again sends its rows the same way.
     """
     keys = list(keys)
-    found = None if how is None or df.isStreaming else hot_keys(df, keys, how)
-    if found is None:
+    whole = F.lit(True)
+    for key in keys:
+        whole &= F.col(key).isNotNull()
+    found = None if how is None or df.isStreaming else hot_keys(df.where(whole), keys, how)
+    if found is None and (how is None or df.isStreaming):
         return df.join(table, keys, "left")
-    hot, _ = found
     values = [c for c in table.columns if c not in keys]
-    packed = table.select(*keys, F.struct(*values).alias("_hot"))
-    known = packed.join(F.broadcast(hot), keys)
-    served = hot.join(F.broadcast(known), keys, "left").withColumn("_is_hot", F.lit(True))
-    # what a hot row's spread is does not matter, as long as no row of the table has it
-    spread = F.when(F.col("_is_hot"), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)))
-    marked = df.join(F.broadcast(served), keys, "left").withColumn(
-        "_spread", F.coalesce(spread, F.lit(0)).cast("bigint")
-    )
+    places = 1 + F.pmod(F.xxhash64(*_hashable(df)), F.lit(1 << 20))
+    marked = df
+    if found is None:
+        marked = marked.withColumns({"_hot": F.lit(None), "_is_hot": F.lit(None).cast("boolean")})
+    else:
+        packed = table.select(*keys, F.struct(*values).alias("_hot"))
+        known = packed.join(F.broadcast(found[0]), keys)
+        served = found[0].join(F.broadcast(known), keys, "left").withColumn("_is_hot", F.lit(True))
+        marked = marked.join(F.broadcast(served), keys, "left")
+    # what the spread is does not matter, as long as no row of the table has it
+    spread = F.when(F.coalesce("_is_hot", F.lit(False)) | ~whole, places).otherwise(F.lit(0))
+    marked = marked.withColumn("_spread", spread.cast("bigint"))
     # always 0, but no constant: Spark would take a constant out of the join's keys
     zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("bigint")
     cold = table.select(*keys, zero.alias("_spread"), F.struct(*values).alias("_cold"))
-    value = F.coalesce("_hot", "_cold")
+    value = F.col("_cold") if found is None else F.coalesce("_hot", "_cold")
     return marked.join(cold, [*keys, "_spread"], "left").select(
         *df.columns, *[value[c].alias(c) for c in values]
     )
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns that have a hash: all but maps and variants."""
+    return [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]

@@ -7,8 +7,9 @@ neither a plain window per key nor one string per key is safe. Two measures:
   bounded by order values sampled by hash. One task sorts one slice, and offsets
   between slices come from counts. Whether such keys exist is asked first, by one
   aggregate over the key columns; without them the plan is a plain window.
-* Text is folded into parts of bounded size. Parts in ``part_no`` order are the
-  whole text; a text below the limit is one part.
+* Text is folded into parts of bounded size, cut by the running size over the whole
+  key and numbered 1 to ``part_count``. Parts in ``part_no`` order are the whole
+  text; a text below the limit is one part. Slices do not show in the result.
 
 Sizes: with ``slices`` = S at most S keys can exceed 1/S of the rows, and the
 expected number of slice bounds over all hot keys is at most 2 * S. That does
@@ -26,8 +27,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
-# Parts of one key keep their order across slices: slice number in the high bits.
-_SLICE_SHIFT = 32
 # Bounds are picked from a sample this many times larger, to even out slice sizes.
 _OVERSAMPLE = 8
 
@@ -91,11 +90,6 @@ class Slicing:
     def window(self):
         return Window.partitionBy(*self.columns).orderBy(*self.order)
 
-    def part_no(self, part: Column) -> Column:
-        if self.bounds is None:
-            return part + 1
-        return F.shiftleft(F.col(SLICE).cast("bigint"), _SLICE_SHIFT) + part + 1
-
 
 def hot_keys(
     df: DataFrame, keys: Sequence[str], how: Splitting
@@ -197,17 +191,48 @@ def fold_slices(
 ) -> DataFrame:
     """Aggregate rows spread by ``cut`` into parts of ``limit`` plus at most one row's weight.
 
-    Gives the keys, ``part_no`` and ``folds``. Window and aggregate use the
-    partitioning the rows already have.
+    Gives the keys, ``part_no`` from 1 without gaps, ``part_count`` and ``folds``.
+    Without hot keys, window and aggregate use the partitioning the rows already
+    have. With hot keys, the parts are the same: weights of earlier slices are
+    added, and rows meet by key and part, since a part may span two slices.
     """
     before = cut.window().rowsBetween(Window.unboundedPreceding, -1)
     weighed = df.withColumn("_weight", weight.cast("bigint"))
-    parted = weighed.withColumn("_sum", F.coalesce(F.sum("_weight").over(before), F.lit(0)))
-    parted = parted.withColumn("_part", F.expr(f"_sum div {limit}"))
+    total = F.coalesce(F.sum("_weight").over(before), F.lit(0))
+    if cut.bounds is not None:
+        earlier = _weights_before(weighed, cut)
+        weighed = weighed.join(F.broadcast(earlier), cut.columns, "left")
+        total += F.coalesce("_earlier", F.lit(0))
+    parted = weighed.withColumn("_sum", total).withColumn("_part", F.expr(f"_sum div {limit}"))
+    parts = parted.groupBy(*cut.keys, "_part").agg(*[c.alias(n) for n, c in folds.items()])
+    if cut.bounds is None:
+        return _numbered(parts, cut.keys).select(*cut.keys, "part_no", "part_count", *folds)
+    # numbers of parts are counted without their texts
+    numbers = _numbered(parted.select(*cut.keys, "_part").distinct(), cut.keys)
+    named = numbers.select(F.struct(*cut.keys, "_part").alias("_at"), "part_no", "part_count")
+    return parts.join(named, F.struct(*cut.keys, "_part").eqNullSafe(F.col("_at"))).select(
+        *cut.keys, "part_no", "part_count", *folds
+    )
+
+
+def _numbered(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A row that outweighs the limit leaves out values of ``_part``; numbers have no gaps."""
+    by = Window.partitionBy(*keys)
+    return parts.withColumn("part_no", F.row_number().over(by.orderBy("_part")).cast("bigint")).withColumn(
+        "part_count", F.count(F.lit(1)).over(by)
+    )
+
+
+def _weights_before(weighed: DataFrame, cut: Slicing) -> DataFrame:
+    """The weight of a hot key's earlier slices: one row per slice but the first."""
+    hot = weighed.join(F.broadcast(cut.bounds.select(*cut.keys)), [*cut.keys], "left_semi")
+    earlier = Window.partitionBy(*cut.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        parted.groupBy(*cut.columns, "_part")
-        .agg(*[c.alias(n) for n, c in folds.items()])
-        .select(*cut.keys, cut.part_no(F.col("_part")).alias("part_no"), *folds)
+        hot.groupBy(*cut.columns)
+        .agg(F.sum("_weight").alias("_n"))
+        .withColumn("_earlier", F.sum("_n").over(earlier))
+        .where("_earlier IS NOT NULL")
+        .drop("_n")
     )
 
 
@@ -236,12 +261,14 @@ def join_in_order(
     name: str,
     part_bytes: int = DEFAULT_PART_BYTES,
     how: Splitting | None = Splitting(),
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join texts per key in order into ``name``, one row per part of bounded size.
 
-    ``separator`` stands before every row but the key's first.
+    ``separator`` stands before every row but the key's first. ``counted`` is a
+    table to look for hot keys in, where one is cheaper to read than ``df``.
     """
-    cut = slicing(df, keys, order, how)
+    cut = slicing(df, keys, order, how, counted)
     lead = separator if isinstance(separator, Column) else F.lit(separator)
     led = (
         cut.spread(df.select(*dict.fromkeys([*keys, *order]), F.col(text).alias("_text"), lead.alias("_lead")))

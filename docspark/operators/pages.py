@@ -41,8 +41,8 @@ def page_manifest(
 ) -> DataFrame:
     """Sorted image paths and page count per document, or the error that it has none.
 
-    Gives ``doc, part_no, images, page_count, error``. A list comes in parts of
-    ``part_rows`` paths; nearly every document has one part.
+    Gives ``doc, part_no, part_count, images, page_count, error``. A list comes in
+    parts of ``part_rows`` paths; nearly every document has one part.
     """
     counts = pages.groupBy("doc").agg(F.count(F.lit(1)).alias("page_count"))
     cut = slicing(pages, DOC, BY_PATH, how)
@@ -61,6 +61,7 @@ def page_manifest(
         .select(
             "doc",
             F.coalesce("part_no", F.lit(1)).alias("part_no"),
+            F.coalesce("part_count", F.lit(1)).alias("part_count"),
             "images",
             F.coalesce("page_count", F.lit(0)).alias("page_count"),
             F.when(F.col("page_count").isNull(), missing).alias("error"),
@@ -110,7 +111,7 @@ def assemble_pages(
 ) -> DataFrame:
     """Pages to documents: one page as it is, several under ``## Page i`` headings.
 
-    Gives ``doc, part_no, content, page_count``, where ``page_count`` is the
+    Gives ``doc, part_no, part_count, content, page_count``, where ``page_count`` is the
     number of pages in the part; documents below ``part_bytes`` have one part.
     Without ``merge`` it gives ``doc, page_no, content``, a row per page, and
     without ``headings`` no heading lines.

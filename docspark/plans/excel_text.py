@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.operators.ordering import DEFAULT_PART_BYTES, Splitting
@@ -24,7 +24,7 @@ def excel_text(
     part_bytes: int = DEFAULT_PART_BYTES,
     how: Splitting | None = Splitting(),
 ) -> tuple[DataFrame, DataFrame]:
-    """Results (``request_id, part_no, structured, text``) and errors (``key, error``).
+    """Results (``request_id, part_no, part_count, structured, text``) and errors (``key, error``).
 
     ``pages`` holds model replies (``doc, image_path, content, call_error``),
     where ``doc`` is the workbook's path. A document without pages or with a
@@ -48,8 +48,11 @@ def excel_text(
     # of the other, and the longer of the two goes on alone
     result = (
         listed.join(failed.select(F.col("key").alias("doc")), "doc", "left_anti")
-        .join(content, ["doc", "part_no"], "full")
-        .select("doc", "part_no", "content", "images", "page_count")
+        .withColumnRenamed("part_count", "lists")
+        .join(content.withColumnRenamed("part_count", "texts"), ["doc", "part_no"], "full")
+        # the longer of the two says how many there are; all parts of one are in one window
+        .withColumn("part_count", F.max(F.greatest("lists", "texts")).over(Window.partitionBy("doc")))
+        .select("doc", "part_no", "part_count", "content", "images", "page_count")
     )
     results = result_envelope(
         asked.join(result, "doc"),
@@ -60,7 +63,7 @@ def excel_text(
             "images": "images",
             "pageCount": "page_count",
         },
-        ["request_id", "part_no"],
+        ["request_id", "part_no", "part_count"],
     )
     failed_requests = asked.join(
         failed.select(F.col("key").alias("doc"), "error"), "doc"

@@ -17,7 +17,7 @@ def word_text(
     part_bytes: int = DEFAULT_PART_BYTES,
     how: Splitting | None = Splitting(),
 ) -> tuple[DataFrame, DataFrame]:
-    """Results (``request_id, part_no, structured, text``) and errors (``key, error``).
+    """Results (``request_id, part_no, part_count, structured, text``) and errors (``key, error``).
 
     Requests are checked against file paths alone; only files that a valid
     request asks for are opened, each once.
@@ -33,7 +33,7 @@ def word_text(
     results = result_envelope(
         chosen,
         {"sourceType": "source_type", "textFormat": "text_format", "content": "content"},
-        ["request_id", "part_no"],
+        ["request_id", "part_no", "part_count"],
     )
     unreadable = asked.join(
         word.errors.select(F.col("key").alias("doc"), "error"), "doc"

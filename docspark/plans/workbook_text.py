@@ -32,4 +32,4 @@ def workbooks_to_markdown(
         cells = filter_sheets(cells, requests)
         merges = filter_sheets(merges, requests) if merges is not None else None
     parts = grid_to_markdown(sheets, cells, merges, part_bytes, how)
-    return workbook_markdown(parts, part_bytes, how), tables.errors
+    return workbook_markdown(parts, part_bytes, how, counted=sheets.select("doc")), tables.errors

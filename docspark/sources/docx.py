@@ -28,7 +28,7 @@ _TAB = r"<(\w+:)?tab\s*/>"
 
 @dataclass(frozen=True)
 class WordTables:
-    """``documents`` (doc, part_no, text, markdown) and ``errors`` for other files."""
+    """``documents`` (doc, part_no, part_count, text, markdown) and ``errors`` for other files."""
 
     documents: DataFrame
     errors: DataFrame
@@ -77,6 +77,7 @@ def extract_docx(
     documents = readable.join(folded, "doc", "left").select(
         "doc",
         F.coalesce("part_no", F.lit(1)).alias("part_no"),
+        F.coalesce("part_count", F.lit(1)).alias("part_count"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("markdown", F.lit("")).alias("markdown"),
     )

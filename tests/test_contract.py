@@ -24,4 +24,4 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_entry(spark):
-    assert contract.entry(spark).columns == ["doc", "part_no", "content", "page_count"]
+    assert contract.entry(spark).columns == ["doc", "part_no", "part_count", "content", "page_count"]

@@ -31,3 +31,27 @@ def test_hot_rows_are_spread(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("how", [Splitting(), HOT])
+def test_rows_without_a_key_are_spread(spark, how):
+    rows = [(None, i) for i in range(300)] + [(f"k{i % 90}", i) for i in range(700)]
+    df = spark.createDataFrame(rows, "key string, i int").repartition(4)
+    known = spark.createDataFrame([(f"k{i}", i) for i in range(80)], "key string, n int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = lookup(df, known, ["key"], how)
+        empty = joined.filter("key IS NULL").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(empty) == 300 and max(empty) < 150
+        assert joined.count() == 1000 and joined.filter("n IS NOT NULL").count() == sum(i % 90 < 80 for i in range(700))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_the_spread_depends_on_the_row_alone(spark):
+    """A plan whose map tasks may run again must not spread rows by their position."""
+    df = spark.createDataFrame([("hot", i) for i in range(50)], "key string, i int")
+    plan = lookup(df, df.limit(1).withColumnRenamed("i", "n"), ["key"], HOT)._jdf.queryExecution().toString()
+    assert "monotonically" not in plan and "rand(" not in plan

@@ -61,12 +61,24 @@ def test_parts_make_up_the_whole(table, rows, how, part_bytes):
     assert len({(p.doc, p.part_no) for p in parts}) == len(parts)
     for doc in {d for d, _, _ in rows}:
         mine = [p for p in sorted(parts, key=lambda p: p.part_no) if p.doc == doc]
-        assert mine[0].part_no == 1
+        assert [(p.part_no, p.part_count) for p in mine] == [(i + 1, len(mine)) for i in range(len(mine))]
         assert "".join(p.joined for p in mine) == ", ".join(t for d, _, t in sorted(rows) if d == doc)
     if part_bytes == 1 << 20 and how is None:
         assert len(parts) == len({d for d, _, _ in rows})
 
 
+@pytest.mark.parametrize("part_bytes", [1, 3, 50, 700])
+def test_slices_do_not_show(spark, table, part_bytes):
+    """Hot and plain settings give the same rows, also with a row larger than the limit."""
+    big = spark.createDataFrame([("hot", "p00007x", "w" * 90), (None, "p1", "no"), (None, "p2", "key")], table.schema)
+    wide = table.union(big).repartition(6)
+    plain, hot, fine = (
+        sorted(join_in_order(wide, ["doc"], ["path"], "text", "-", "t", part_bytes, how).collect(), key=str)
+        for how in (None, HOT, Splitting(slices=500, min_rows=1))
+    )
+    assert plain == hot == fine
+
+
 def test_parts_are_bounded(table):
     cut = slicing(table, ["doc"], ["path"], HOT)
     weights = F.octet_length("text")

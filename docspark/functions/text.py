@@ -22,8 +22,9 @@ def js_number(number: Column) -> Column:
 
     Text is read as a double first, so 1.1000000000000001 prints 1.1. The digits are
     the fewest that read back as the same double, and none is cut: from 1e-6 up to
-    1e21 they stand around the point, beyond that with an exponent. NULL where the
-    input is no number.
+    1e21 they stand around the point, beyond that with an exponent. Where 17 digits
+    are needed, and for subnormal numbers, digits come from the Java runtime, whose
+    last one may differ from JavaScript's by one. NULL where the input is no number.
     """
     double = number.try_cast("double")
     short = double.cast("string")
@@ -31,7 +32,7 @@ def js_number(number: Column) -> Column:
     simple = ~F.contains(short, F.lit("E")) & (F.length(short) <= 16)
     plain = F.when(short.endswith(".0"), F.left(short, F.length(short) - 2)).otherwise(short)
     tried = [F.format_string(f"%.{n}e", double) for n in (14, 15, 16)]
-    fewest = F.coalesce(*[F.when(t.cast("double") == double, t) for t in tried], short)
+    fewest = F.coalesce(*[F.when(t.try_cast("double") == double, t) for t in tried], short)
     return F.when(double == 0, F.lit("0")).when(simple, plain).otherwise(_from_exponent(fewest))
 
 

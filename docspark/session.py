@@ -1,4 +1,4 @@
-"""Session settings the operators are planned for, and the shared work folder."""
+"""The shared work folder for tables that cut lineage, and its removal."""
 
 from __future__ import annotations
 
@@ -8,24 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings for cluster jobs. Operators stay correct without them.
-RECOMMENDED = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-}
-
-
-def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
-    if master:
-        builder = builder.master(master)
-    for key, value in {**RECOMMENDED, **conf}.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
-
-
 @functools.cache
 def _local_base() -> str:
     return tempfile.mkdtemp(prefix="docspark-")
@@ -41,7 +23,25 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = _local_base()
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+_made: dict[str, list[str]] = {}
+
+
+def remove_work(spark: SparkSession) -> int:
+    """Delete the work folders this application made, once their results are read or written.
+
+    Tables made of them can't be read afterwards. Returns how many there were.
+    """
+    folders = _made.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
 
 
 def write_and_read(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:

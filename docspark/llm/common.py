@@ -137,8 +137,12 @@ def components(links: DataFrame, purpose: str) -> DataFrame:
     links never grows. Each round is written to the shared folder.
     """
 
-    def smallest(edges: DataFrame) -> DataFrame:
-        return edges.groupBy("u").agg(F.min("v").alias("m"))
+    def with_smallest(edges: DataFrame) -> DataFrame:
+        # under another name, Spark shuffles these few rows once more for the join, and
+        # so may split the rows of a node with a large share of all links
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = least.select(F.col("u").bitwiseXOR(F.lit(0)).alias("w"), "m")
+        return edges.join(least, F.col("u") == F.col("w"))
 
     def both(edges: DataFrame) -> DataFrame:
         return edges.union(edges.select("v", "u"))
@@ -156,13 +160,13 @@ def components(links: DataFrame, purpose: str) -> DataFrame:
         every = both(edges)
         # large star: neighbours above u go to the smallest of u and all its neighbours
         large = (
-            every.join(smallest(every), "u")
+            with_smallest(every)
             .where("v > u")
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
             .distinct()
         )
         # small star: u and its neighbours below u go to the smallest of these
-        small = large.join(smallest(large), "u").select(
+        small = with_smallest(large).select(
             F.explode(
                 F.array(
                     F.struct(F.col("u").alias("u"), F.col("m").alias("v")),

@@ -123,7 +123,9 @@ def near_duplicates(
     named = distinct.join(groups, distinct.fp == groups.node, "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    smallest = written(
+        named.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-smallest"
+    )
     labels = named.join(smallest, "component").select("fp", "component_id")
     return prints.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 

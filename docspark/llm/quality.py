@@ -97,8 +97,8 @@ def quality(docs: DataFrame, host_col: str = "source", line_documents: int = LIN
 
     ``doc_id``, the measures, ``removed_words`` (on lines held by more than
     ``line_documents`` distinct documents of the host), ``base_failed`` and
-    ``kept``: neither base_failed, nor fewer than 20 words left, nor more than
-    half of the words removed. Null hosts form a host of their own, null ids
+    ``kept``: neither base_failed nor depleted, which is having lost more than
+    half of its words. Null hosts form a host of their own, null ids
     count as no document. Null and empty texts have no words and fail. Repeated
     rows are judged alike and count once. Other columns are not read.
     """
@@ -127,7 +127,7 @@ def quality(docs: DataFrame, host_col: str = "source", line_documents: int = LIN
     found = measured.drop("lines").join(removed, F.struct(*key).eqNullSafe(F.col("k")), "left")
     gone = F.coalesce("removed_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    depleted = (F.col("n_words") - gone < LEAST_WORDS) | (100 * gone > MOST_REMOVED * F.col("n_words"))
+    depleted = 100 * gone > MOST_REMOVED * F.col("n_words")
     return found.select(
         "doc_id",
         *[x.split()[0] for x in _MEASURES.split(", ")],
@@ -167,6 +167,6 @@ m AS (
     FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
        NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words)
-       AND n_words - removed_words >= {LEAST_WORDS} AND 100 * removed_words <= {MOST_REMOVED} * n_words AS kept
+       AND 100 * removed_words <= {MOST_REMOVED} * n_words AS kept
 FROM m
 """

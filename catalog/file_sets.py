@@ -300,3 +300,57 @@ def excel_text_query(spark, sf_dir):
 def excel_text_errors(spark, sf_dir):
     _, failed = excel_text(*_excel_inputs(spark, sf_dir))
     return failed.select("key", F.col("error.code").alias("error_code"))
+
+
+# Requests for one speaker's pages, for all, and for a sheet that no page shows.
+
+
+@_query(
+    "excel_text_sheets",
+    f"""WITH shown AS (
+      SELECT event_id, text, image_path, row_number() OVER (PARTITION BY event_id ORDER BY image_path) AS page_no,
+             count(*) OVER (PARTITION BY event_id) AS page_count
+      FROM (SELECT event_id, event_id % 4 AS way, {_EXCEL_FILE.format('user_id')} AS doc, user_id FROM events)
+      JOIN (SELECT conv_id, role, text, concat('/out/', conv_id, '/page-', lpad(CAST(turn + 1 AS VARCHAR), 3, '0'), '.png')
+            AS image_path FROM conversations) ON conv_id = user_id
+      WHERE user_id IN (SELECT doc_id FROM documents) AND (way = 0 OR way = 1 OR (way = 2 AND role = 'user')))
+    SELECT event_id AS request_id, CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS part_count,
+      '{{"sourceType":"excel","textFormat":"markdown","content":' || to_json(string_agg(
+        CASE WHEN page_count = 1 THEN text ELSE '## Page ' || page_no || chr(10) || chr(10) || text END,
+        chr(10) || chr(10) ORDER BY page_no))::VARCHAR
+      || ',"images":[' || string_agg(to_json(image_path)::VARCHAR, ',' ORDER BY page_no) || '],"pageCount":'
+      || count(*) || '}}' AS text
+    FROM shown GROUP BY event_id""",
+)
+def excel_text_sheets(spark, sf_dir):
+    requests, files, pages = _excel_inputs(spark, sf_dir)
+    names = """CASE request_id % 4 WHEN 1 THEN cast(array() AS array<string>)
+        WHEN 2 THEN array('user', 'user', 'nobody') WHEN 3 THEN array('nobody') END"""
+    requests = requests.drop("dpi").selectExpr("*", "cast(NULL AS double) AS dpi", f"{names} AS sheet_names")
+    pages = si.table(spark, sf_dir, "conversations").selectExpr(
+        f"{_EXCEL_FILE.format('conv_id')} AS doc",
+        f"{si.PAGE_PATH} AS image_path",
+        "role AS sheet",
+        "text AS content",
+        "cast(NULL AS string) AS call_error",
+    )
+    results, _ = excel_text(requests, files, pages)
+    return results.select("request_id", "part_no", "part_count", "text")
+
+
+@_query(
+    "workbooks_to_markdown_asked",
+    f"""WITH {ar.BOOKS_SQL}, asked AS (SELECT DISTINCT concat('/books/book-', n_nationkey, '.xlsx') AS doc FROM nation)
+    SELECT doc AS key, string_agg(markdown, chr(10) ORDER BY sheet_ord) AS outcome
+    FROM book_blocks JOIN asked USING (doc) GROUP BY doc
+    UNION ALL SELECT doc, 'File not found: ' || doc FROM asked WHERE doc NOT IN (SELECT doc FROM book_blocks)""",
+)
+def workbooks_asked(spark, sf_dir):
+    """Workbooks of some numbers, of which some may not be there."""
+    asked = si.table(spark, sf_dir, "nation").selectExpr(
+        "concat('/books/book-', n_nationkey, '.xlsx') AS doc", "cast(NULL AS array<string>) AS sheet_names"
+    )
+    documents, failed = workbooks_to_markdown(ar.workbooks(spark, sf_dir), asked, merged_cells=True)
+    return documents.select(F.col("doc").alias("key"), F.col("markdown").alias("outcome")).unionAll(
+        failed.select("key", "error.message")
+    )

@@ -181,3 +181,21 @@ def fail_whole_document(spark, sf_dir):
 def surviving_pages(spark, sf_dir):
     whole, _ = pg.fail_whole_document(pg.normalise_responses(si.replies(spark, sf_dir)))
     return whole.select("doc", "image_path", "content")
+
+
+@_query(
+    "missing_images",
+    """WITH shots AS (
+      SELECT conv_id, turn, concat('/out/', conv_id, '/page-', lpad(CAST(turn + 1 AS VARCHAR), 3, '0'), '.png') AS image_path
+      FROM conversations)
+    SELECT conv_id AS doc, image_path, 'FILE_NOT_FOUND' AS error_code, 'Image file not found: ' || image_path AS error_message
+    FROM shots WHERE conv_id NOT IN (SELECT doc_id FROM labels) OR turn % 5 = 4""",
+)
+def missing_images(spark, sf_dir):
+    """Images are there for conversations whose number is labelled, but for every fifth page."""
+    shots = si.table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id AS doc", "turn", f"{si.PAGE_PATH} AS image_path"
+    )
+    labelled = si.table(spark, sf_dir, "labels").selectExpr("doc_id AS doc")
+    files = shots.where("turn % 5 <> 4").join(labelled, "doc", "left_semi").select(F.col("image_path").alias("path"))
+    return si.flat_error(pg.missing_images(shots, files), "doc", "image_path").drop("error_context")

@@ -30,6 +30,7 @@ NO_IMAGES = "No images were generated from PDF"
 HELPER_INVALID_JSON = "Python UNO helper returned invalid JSON"
 HELPER_FAILED = "Python UNO conversion failed"
 FILE_NOT_FOUND_PREFIX = "File not found: "
+IMAGE_NOT_FOUND_PREFIX = "Image file not found: "
 UNSUPPORTED_PREFIX = "Unsupported file format: "
 ONLY_DOCX_PREFIX = "Only .docx files are supported for text extraction. Received: "
 EXCEL_READ_PREFIX = "Failed to read Excel file: "

@@ -86,6 +86,18 @@ def normalise_responses(pages: DataFrame) -> DataFrame:
     return pages.withColumn("error", error).withColumn("content", text).drop("call_error")
 
 
+def missing_images(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """Pages whose image no file has the path of, as ``doc, image_path, error``."""
+    message = F.concat(F.lit(errors.IMAGE_NOT_FOUND_PREFIX), F.col("image_path"))
+    known = files.select(F.col("path").alias("image_path"))
+    return (
+        pages.where("image_path IS NOT NULL")
+        .select("doc", "image_path")
+        .join(known, "image_path", "left_anti")
+        .select("doc", "image_path", errors.error(errors.FILE_NOT_FOUND, message).alias("error"))
+    )
+
+
 def fail_whole_document(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages of documents without a failure, and the first error of every other document.
 

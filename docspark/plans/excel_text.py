@@ -27,18 +27,31 @@ def excel_text(
     """Results (``request_id, part_no, part_count, structured, text``) and errors (``key, error``).
 
     ``pages`` holds model replies (``doc, image_path, content, call_error``),
-    where ``doc`` is the workbook's path. A document without pages or with a
-    failed page yields its error for every request that asks for it.
+    where ``doc`` is the workbook's path, and may name the ``sheet`` a page shows.
+    Then requests with sheet names get the pages of these sheets alone, numbered
+    among themselves; an empty list or none means all pages. A document without
+    pages or with a failed page, of the sheets asked for, yields its error for
+    every request that asks for it.
     """
     good, refused = split_errors(
         triage(requests.filter(F.col("tool") == "extract_excel_text"), files), "request_id"
     )
-    asked = good.select("request_id", F.col("file_path").alias("doc"))
-    documents = asked.select("doc").distinct()
+    # a document is a file and the sheets asked for, whatever the number of requests for it
+    names = F.array_sort(F.array_distinct("sheet_names"))
+    by_sheet = "sheet" in pages.columns and "sheet_names" in requests.columns
+    chosen = F.when(F.size(names) > 0, F.to_json(names)) if by_sheet else F.lit(None).cast("string")
+    doc = F.when(chosen.isNull(), F.col("file_path")).otherwise(F.concat_ws("\n", "file_path", chosen))
+    asked = good.select("request_id", "file_path", doc.alias("doc"), chosen.alias("chosen"))
+    documents = asked.select("doc", "file_path", "chosen").distinct()
+    wanted = pages.withColumnRenamed("doc", "file_path").join(documents, "file_path")
+    if by_sheet:
+        listed_sheets = F.from_json("chosen", "array<string>")
+        wanted = wanted.where(F.col("chosen").isNull() | F.array_contains(listed_sheets, F.col("sheet")))
     # read four times below, twice without the content
     replies = write_and_read(
-        normalise_responses(pages.join(documents, "doc", "left_semi")), "replies"
+        normalise_responses(wanted.select("doc", "image_path", "content", "call_error")), "replies"
     )
+    asked, documents = asked.select("request_id", "doc"), documents.select("doc")
     whole, failures = fail_whole_document(replies)
     manifest = page_manifest(documents, replies, how=how)
     listed, unrendered = split_errors(manifest, "doc")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from docspark import errors
 from docspark.operators.grid import filter_sheets, grid_to_markdown, workbook_markdown
 from docspark.operators.ordering import DEFAULT_PART_BYTES, Splitting
 from docspark.session import write_and_read
@@ -19,11 +21,22 @@ def workbooks_to_markdown(
 ) -> tuple[DataFrame, DataFrame]:
     """Markdown parts of each readable workbook and the errors of the others.
 
-    ``requests`` (``doc``, ``sheet_names``) restricts documents and their sheets.
+    ``requests`` (``doc``, ``sheet_names``) restricts documents and their sheets:
+    only files asked for are opened, and those that are not there are errors.
     Cells are written once before the grid is built, since the grid asks for
     them several times.
     """
+    missing = None
+    if requests is not None:
+        paths = requests.select(F.col("doc").alias("path")).where("path IS NOT NULL").distinct()
+        gone = paths.join(files.select("path"), "path", "left_anti")
+        message = F.concat(F.lit(errors.FILE_NOT_FOUND_PREFIX), F.col("path"))
+        missing = gone.select(
+            F.col("path").alias("key"), errors.error(errors.FILE_NOT_FOUND, message).alias("error")
+        )
+        files = files.join(paths, "path", "left_semi")
     tables = extract_workbook_cells(files)
+    failed = tables.errors if missing is None else tables.errors.unionByName(missing)
     sheets = tables.sheets
     cells = write_and_read(tables.cells, "cells")
     merges = tables.merges if merged_cells else None
@@ -32,4 +45,4 @@ def workbooks_to_markdown(
         cells = filter_sheets(cells, requests)
         merges = filter_sheets(merges, requests) if merges is not None else None
     parts = grid_to_markdown(sheets, cells, merges, part_bytes, how)
-    return workbook_markdown(parts, part_bytes, how, counted=sheets.select("doc")), tables.errors
+    return workbook_markdown(parts, part_bytes, how, counted=sheets.select("doc")), failed

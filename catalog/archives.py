@@ -174,12 +174,18 @@ def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(built, "word-files")
 
 
+# The first word of a line is a link and plain, the rest is bold up to the blanks around it.
+_REST = "substr(l, position(' ' IN l) + 1)"
+_BOLD_REST = f"""CASE WHEN position(' ' IN l) = 0 OR trim({_REST}) = '' THEN l
+  ELSE left(l, position(' ' IN l)) || left({_REST}, length({_REST}) - length(ltrim({_REST})))
+    || '**' || trim({_REST}) || '**' || substr({_REST}, length(rtrim({_REST})) + 1) END"""
 WORD_SQL = f"""
 word_in AS (
   SELECT doc_id, {WORD_PATH} AS doc,
          replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) AS text,
          repeat('#', CAST(1 + doc_id % 6 AS INTEGER)) || ' '
-           || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) AS markdown
+           || array_to_string(list_transform(string_split(text, chr(10)), lambda l: {_BOLD_REST}), chr(10) || chr(10))
+           || chr(10) || chr(10) AS markdown
   FROM documents),
 word_bad AS (
   SELECT concat('/word/broken-', doc_id, '.docx') AS doc, true AS is_docx FROM documents WHERE doc_id % 11 = 5

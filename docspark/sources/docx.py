@@ -20,10 +20,18 @@ from docspark.sources.archive import XML_OPTIONS, archive_blocks
 
 PARTS = {r"word/document\.xml": ["p"]}
 REQUIRED_PART = "word/document.xml"
-_PARAGRAPH = "struct<pPr:struct<pStyle:struct<_val:string>>,r:array<struct<t:array<string>>>>"
+_PARAGRAPH = (
+    "struct<pPr:struct<pStyle:struct<_val:string>,"
+    "numPr:struct<ilvl:struct<_val:string>,numId:struct<_val:string>>>,"
+    "r:array<struct<rPr:struct<b:string,i:string>,t:array<string>>>>"
+)
 # Wrappers whose runs belong to the paragraph as if they stood in it directly.
 _WRAPPERS = r"</?(?:\w+:)?(?:hyperlink|ins|smartTag|sdt|sdtContent)(?=[\s/>])[^>]*>"
 _TAB = r"<(\w+:)?tab\s*/>"
+# Switches of a run's format: on when empty or true. Parsed text is 1 or nothing.
+_ON = r"<(?:\w+:)?([bi])(?:\s+(?:\w+:)?val\s*=\s*[\"'](?:1|true|on)[\"'])?\s*/>"
+# Marks that stand for **, ** and _, _ until neighbouring runs of one format are one.
+_BOLD, _PLAIN, _ITALIC, _UPRIGHT = "\ue000", "\ue001", "\ue002", "\ue003"
 
 
 @dataclass(frozen=True)
@@ -43,8 +51,9 @@ def extract_docx(
 
     Text is each paragraph followed by two line breaks, tables included in
     reading order. Markdown is the same with styles Heading1 to Heading6 as
-    ``#`` to ``######``; any other formatting is plain text. Files that are not
-    .docx or cannot be read give an error row each.
+    ``#`` to ``######``, list items as ``- `` with two spaces for each level above
+    them, bold runs in ``**`` and italic ones in ``_``; any other formatting is
+    plain text. Files that are not .docx or cannot be read give an error row each.
     """
     named_right = is_docx(F.col("path"))
     wrong_type = files.filter(~named_right).select(
@@ -84,23 +93,57 @@ def extract_docx(
     return WordTables(documents, wrong_type.unionByName(unreadable))
 
 
+def _run_text(r: Column) -> Column:
+    return F.coalesce(F.array_join(r["t"], ""), F.lit(""))
+
+
 def _paragraph_text(p: Column) -> Column:
-    runs = F.transform(p["r"], lambda r: F.array_join(r["t"], ""))
-    return F.coalesce(F.array_join(runs, ""), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(p["r"], _run_text), ""), F.lit(""))
+
+
+def _run_markdown(r: Column) -> Column:
+    """A run in the marks of its format; white space at its ends stays outside of them."""
+    text = _run_text(r)
+    inner = F.btrim(text)
+    bold, italic = (F.coalesce(r["rPr"][x] == "1", F.lit(False)) for x in "bi")
+    opened = F.concat(F.when(bold, _BOLD).otherwise(""), F.when(italic, _ITALIC).otherwise(""))
+    closed = F.concat(F.when(italic, _UPRIGHT).otherwise(""), F.when(bold, _PLAIN).otherwise(""))
+    lead = F.left(text, F.length(text) - F.length(F.ltrim(text)))
+    trail = F.substr(text, F.length(F.rtrim(text)) + 1)
+    marked = F.concat(lead, opened, inner, closed, trail)
+    return F.when((inner == "") | ~(bold | italic), text).otherwise(marked)
+
+
+def _paragraph_markdown(p: Column) -> Column:
+    text = F.coalesce(F.array_join(F.transform(p["r"], _run_markdown), ""), F.lit(""))
+    # runs of one format side by side are one
+    for closed, opened in ((f"{_UPRIGHT}{_PLAIN}", f"{_BOLD}{_ITALIC}"), (_PLAIN, _BOLD), (_UPRIGHT, _ITALIC)):
+        text = F.replace(text, F.lit(closed + opened), F.lit(""))
+    return F.replace(F.translate(text, _BOLD + _PLAIN + _ITALIC + _UPRIGHT, "\ue000\ue000__"), F.lit("\ue000"), F.lit("**"))
 
 
 def _paragraph_mark(p: Column) -> Column:
     level = F.regexp_extract(p["pPr"]["pStyle"]["_val"], "^Heading([1-6])$", 1).try_cast("int")
-    return F.coalesce(F.concat(F.repeat(F.lit("#"), level), F.lit(" ")), F.lit(""))
+    listed = p["pPr"]["numPr"]
+    depth = F.coalesce(listed["ilvl"]["_val"].try_cast("int"), F.lit(0))
+    item = F.when(
+        listed["numId"]["_val"].isNotNull() & (listed["numId"]["_val"] != "0"),
+        F.concat(F.repeat(F.lit("  "), depth), F.lit("- ")),
+    )
+    return F.coalesce(F.concat(F.repeat(F.lit("#"), level), F.lit(" ")), item, F.lit(""))
 
 
 def _block_texts(blocks: DataFrame) -> DataFrame:
     """Text and Markdown of each block: its paragraphs are at hand in order already."""
     flat = F.regexp_replace(F.regexp_replace("xml", _WRAPPERS, ""), _TAB, "<t>&#9;</t>")
+    flat = F.regexp_replace(flat, _ON, "<$1>1</$1>")
     paragraphs = F.from_xml(flat, f"p array<{_PARAGRAPH}>", XML_OPTIONS)["p"]
     lines = F.transform(
         "_ps",
-        lambda p: F.struct(_paragraph_text(p).alias("text"), _paragraph_mark(p).alias("mark")),
+        lambda p: F.struct(
+            _paragraph_text(p).alias("text"),
+            F.concat(_paragraph_mark(p), _paragraph_markdown(p)).alias("markdown"),
+        ),
     )
     end = F.lit("\n\n")
     return (
@@ -112,7 +155,7 @@ def _block_texts(blocks: DataFrame) -> DataFrame:
             "start",
             F.array_join(F.transform("_lines", lambda x: F.concat(x["text"], end)), "").alias("text"),
             F.array_join(
-                F.transform("_lines", lambda x: F.concat(x["mark"], x["text"], end)), ""
+                F.transform("_lines", lambda x: F.concat(x["markdown"], end)), ""
             ).alias("markdown"),
         )
     )

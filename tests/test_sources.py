@@ -114,6 +114,26 @@ def test_cell_kinds(spark, monkeypatch, block_chars):
     assert [(r.sheet, r.ref) for r in tables.merges.orderBy("merge_ord").collect()] == [("One", "A2:B2"), ("One", "A4:A5")]
 
 
+def test_word_formats(spark):
+    r = lambda text, *on: f'<w:r><w:rPr>{"".join(on)}</w:rPr><w:t xml:space="preserve">{text}</w:t></w:r>'
+    b, i = "<w:b/>", '<w:i w:val="true"/>'
+    item = lambda level, *runs: (
+        f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="3"/></w:numPr></w:pPr>{"".join(runs)}</w:p>'
+    )
+    body = [
+        f"<w:p>{r('plain ')}{r('bold ', b)}{r('more', b)}{r(' and ')}{r('both', b, i)}{r('slanted', i)}</w:p>",
+        f"""<w:p>{r('off', '<w:b w:val="0"/>', "<w:i w:val='false'/>")}{r(' ', b)}{r('end', '<w:bCs/>', '<w:iCs/>')}</w:p>""",
+        item(0, r("one")),
+        item(2, r("two", i)),
+        '<w:p><w:pPr><w:numPr><w:numId w:val="0"/></w:numPr></w:pPr><w:r><w:t>no item</w:t></w:r></w:p>',
+    ]
+    found = extract_docx(files(spark, a__docx=word(*body))).documents.first()
+    assert found.text == "plain bold more and bothslanted\n\noff end\n\none\n\ntwo\n\nno item\n\n"
+    assert found.markdown == (
+        "plain **bold** **more** and **_both_**_slanted_\n\noff end\n\n- one\n\n    - _two_\n\nno item\n\n"
+    )
+
+
 def test_unreadable_workbooks_are_rows(spark):
     broken = zipped({"xl/workbook.xml": "<workbook><sheets></workbook>"})
     cut_off = book({"S": '<sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData>'})[:-30]

@@ -11,11 +11,14 @@ gathers of bytes, without a loop over ids.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,10 @@ from docspark.session import work_folder
 END_ID = 1
 BLOCK_IDS = 1 << 20
 PIECE_BYTES = 1 << 20
-_CACHE_WORDS = 600_000
+SLICE_BYTES = 8 << 20
+_CACHE_WORDS = 800_000
+_PLAIN = re.compile(rb"[!-&(-@\[-~]+")
+_CUT = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
 
@@ -35,6 +41,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for.
+
+    Printable Latin-1 characters stand for themselves; the other bytes, in order,
+    take the code points from 256 on.
+    """
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = {chr(b): b for b in plain}
+    rest = [b for b in range(256) if b not in set(plain)]
+    return table | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit integers."""
     v = np.ascontiguousarray(values, "<u4")
@@ -75,6 +93,19 @@ def pieces(raw: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
     yield raw[at:]
 
 
+class _Words(dict):
+    """Numbers of words; a new word gets the next one and waits to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Ids of whole texts. The tokenizer sees each distinct word once.
 
@@ -85,7 +116,6 @@ class Encoder:
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -94,34 +124,51 @@ class Encoder:
         self.word_wise = "Lowercase" in repr(self.tokenizer.normalizer) and "end_of_word_suffix=\"</w>\"" in repr(
             self.tokenizer.model
         )
-        # a point or comma after an ASCII letter and before white space is a word of its own
-        self.stop = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+        self.model = self.tokenizer.model
+        self.spelt = {b: c for c, b in byte_of_char().items()}
         self._clear()
 
+    def _new(self, word: bytes) -> list[int]:
+        # The normaliser and the byte mapping leave small printable ASCII alone, and without
+        # an apostrophe it is cut to runs of letters, single digits and runs of the rest.
+        if word.isalpha() and word.islower():
+            return [t.id for t in self.model.tokenize(word.decode())]
+        if _PLAIN.fullmatch(word) and b"<|" not in word:
+            cut = [p.decode() for p in _CUT.findall(word)]
+            return [t.id for p in cut for t in self.model.tokenize(p)]
+        # so do small Latin letters, composed as they are, whose bytes are spelt out
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0250" and text == text.lower():
+            return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.spelt))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _clear(self):
-        self.at: dict[bytes, int] = {}
+        self.at = _Words()
         self.lengths, self.starts, self.flat = Growing(np.int64), Growing(np.int64), Growing(np.uint32)
-
-    def _words(self, words: list[bytes]) -> np.ndarray:
-        at = self.at
-        new = [w for w in dict.fromkeys(words) if w not in at]
-        if new:
-            if len(at) + len(new) > _CACHE_WORDS:
-                self._clear()
-                at, new = self.at, list(dict.fromkeys(words))
-            texts = [w.decode("utf-8", "replace") for w in new]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            at.update(zip(new, range(self.lengths.n, self.lengths.n + len(new))))
-            lengths = np.array([len(ids) for ids in found], np.int64)
+        self.joins = Growing(bool)  # words that may not be parted from a point after them
+        self.stops = self._codes([b".", b","])
+
+    def _codes(self, words: list[bytes]) -> np.ndarray:
+        codes = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if new := self.at.new:
+            found = [self._new(w) for w in new]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
             self.lengths.extend(lengths)
             self.starts.extend(self.flat.n + np.cumsum(lengths) - lengths)
-            self.flat.extend([i for ids in found for i in ids])
-        codes = np.array([at[w] for w in words], np.int64)
+            self.flat.extend(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())))
+            self.joins.extend([not w.decode("utf-8", "replace")[-1:].isalnum() for w in new])
+            new.clear()
+        return codes
+
+    def _ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many ids each word has."""
         size = self.lengths.room[codes]
         begin = np.cumsum(size) - size
-        return self.flat.room[np.repeat(self.starts.room[codes] - begin, size) + np.arange(int(size.sum()))]
+        at = np.repeat(self.starts.room[codes] - begin, size) + np.arange(int(size.sum()))
+        return self.flat.room[at], size
 
     def encode(self, text: str | None) -> np.ndarray:
+        """Ids of one whole text."""
         if not text:
             return np.zeros(0, np.uint32)
         if not self.word_wise:
@@ -129,47 +176,105 @@ class Encoder:
         raw = text_bytes(text)
         if b"<|" not in raw:  # names of special tokens count as they are written
             raw = raw.translate(LOWER_ASCII)
-        parts = [self._words(self.stop.sub(rb" \1", p).split()) for p in pieces(raw)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return np.concatenate([self._ids(self._codes(p.split()))[0] for p in pieces(raw)])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and how many ids each has.
+
+        Arrow splits the texts and finds their distinct words, so Python sees a
+        word of a batch once. Points and commas before white space become words of
+        their own, as the tokenizer cuts them off after letters and digits. A text
+        in which one stands after anything else, or that may hold the name of a
+        special token, is encoded by itself.
+        """
+        if len(self.at) > _CACHE_WORDS:
+            self._clear()
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.word_wise:
+            alone = np.ones(len(texts), bool)
+        else:
+            alone = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        plain = pc.ascii_lower(pc.if_else(pa.array(alone), "", texts))
+        for stop in (". ", ", ", ".\n", ",\n"):
+            plain = pc.replace_substring(plain, stop, " " + stop)
+        split = pc.ascii_split_whitespace(plain)
+        words = split.flatten().dictionary_encode()
+        known = self._codes([w.encode() for w in words.dictionary.to_pylist()])
+        codes = known[words.indices.to_numpy(zero_copy_only=False)]
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+        is_stop = (codes == self.stops[0]) | (codes == self.stops[1])
+        wrong = np.flatnonzero(is_stop[1:] & self.joins.room[codes[:-1]]) + 1
+        alone[np.searchsorted(ends, wrong, "right")] = True
+        ids, size = self._ids(codes)
+        upto = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], ends))]
+        counts = np.diff(upto)
+        if alone.any():
+            parts = np.split(ids, upto[1:-1])
+            for i in np.flatnonzero(alone):
+                parts[i] = self.encode(texts[int(i)].as_py())
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, counts
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def _encoded(path: str):
+def _slices(docs: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Consecutive rows with some SLICE_BYTES of text together, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // SLICE_BYTES
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(docs) else []
+    for a, b in zip(starts, [*starts[1:], len(docs)]):
+        yield docs.slice(a, b - a), texts.slice(a, b - a)
+
+
+def _encoded(path: str, kind: str):
     def batches(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         for frame in frames:
-            ids, counts, own, size, begin = [], [], [], 0, 0
-            for i, text in enumerate(frame.column(1)):
-                found = np.append(encoder.encode(text.as_py()), END_ID).astype("<u4")
-                ids.append(found.tobytes())
-                counts.append(len(found))
-                size += len(found)
-                if size >= BLOCK_IDS or i + 1 == frame.num_rows:
-                    own = frame.column(0).slice(begin, i + 1 - begin)
-                    yield pa.RecordBatch.from_arrays(
-                        [own, pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
-                        names=["doc_id", "n_tokens", "ids"],
-                    )
-                    ids, counts, size, begin = [], [], 0, i + 1
+            for docs, texts in _slices(frame.column(0), frame.column(1)):
+                ids, counts = encoder.encode_all(texts)
+                ends = np.cumsum(counts + 1)
+                out = np.full(int(ends[-1]), END_ID, kind)
+                inside = np.ones(len(out), bool)
+                inside[ends - 1] = False
+                out[inside] = ids
+                offsets = (np.concatenate(([0], ends)) * out.itemsize).astype(np.int32)
+                column = pa.Array.from_buffers(
+                    pa.binary(), len(docs), [None, pa.py_buffer(offsets), pa.py_buffer(out)]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [docs, pa.array(counts + 1), column], names=["doc_id", "n_tokens", "ids"]
+                )
 
     return batches
 
 
-def _counted(frames):
-    counts = np.zeros(0, np.int64)
-    for frame in frames:
-        for ids in frame.column(0):
-            own = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+def _flat(column: pa.Array, kind: str) -> np.ndarray:
+    """The values of all binary strings of a column, without a copy."""
+    if not len(column):
+        return np.zeros(0, kind)
+    _, offsets, data = column.buffers()
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, kind, (int(ends[-1]) - int(ends[0])) // np.dtype(kind).itemsize, int(ends[0])) if data else np.zeros(0, kind)
+
+
+def _counted(kind: str):
+    def batches(frames):
+        counts = np.zeros(0, np.int64)
+        for frame in frames:
+            own = np.bincount(_flat(frame.column(0), kind))
             if len(own) > len(counts):
                 own, counts = counts, own
             counts[: len(own)] += own
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
+
+    return batches
 
 
-def _blocks(ranks):
+def _blocks(ranks, kind: str):
     def batches(frames):
         from pyspark import TaskContext
 
@@ -195,7 +300,7 @@ def _blocks(ranks):
 
         for frame in frames:
             for doc, ids in zip(frame.column(0).to_pylist(), frame.column(1)):
-                held_ids.append(np.frombuffer(ids.as_buffer(), "<u4"))
+                held_ids.append(np.frombuffer(ids.as_buffer(), kind))
                 held_ids_n += len(held_ids[-1])
                 docs.append(doc)
                 lengths.append(len(held_ids[-1]))
@@ -215,6 +320,13 @@ _BLOCK = (
 )
 
 
+def _id_kind(path: str) -> str:
+    """Two bytes hold the ids of small vocabularies until their ranks are known."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None) -> str:
     """Encode ``docs (doc_id, text)`` with an end id each, to files below ``folder``.
 
@@ -222,12 +334,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     one id ordered by their ids. A null or empty text is the end id alone.
     """
     tokenizer = tokenizer or default_tokenizer()
+    kind = _id_kind(tokenizer)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     encoded = written(
-        mapped(narrow, _encoded(tokenizer), "doc_id long, n_tokens long, ids binary", arrow=True), "token-ids"
+        mapped(narrow, _encoded(tokenizer, kind), "doc_id long, n_tokens long, ids binary", arrow=True), "token-ids"
     )
     # one row per id of the vocabulary, whatever the number of documents
-    counts = mapped(encoded.select("ids"), _counted, "id long, n long", arrow=True).groupBy("id").agg(F.sum("n").alias("n"))
+    counts = mapped(encoded.select("ids"), _counted(kind), "id long, n long", arrow=True).groupBy("id").agg(F.sum("n").alias("n"))
     counts = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])
     id_of = counts["id"].to_numpy(np.int64).astype("<u4")
     rank_of = np.zeros(int(id_of.max()) + 1 if len(id_of) else 0, "<u4")
@@ -237,7 +350,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     spark.createDataFrame(ranks, "id long, rank long").coalesce(1).write.parquet(f"{folder}/ranks")
     ordered = encoded.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     shared = spark.sparkContext.broadcast(rank_of.tobytes())
-    mapped(ordered, _blocks(shared), _BLOCK, arrow=True).write.parquet(f"{folder}/blocks")
+    mapped(ordered, _blocks(shared, kind), _BLOCK, arrow=True).write.parquet(f"{folder}/blocks")
     return folder
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import per_text, text_bytes
-from docspark.llm.tokens import pieces
+from docspark.llm.tokens import byte_of_char, pieces
 
 _CACHE_WORDS = 600_000
 ROOT = 0
@@ -30,18 +30,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def byte_of_char() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for.
-
-    Printable Latin-1 characters stand for themselves; the other bytes, in order,
-    take the code points from 256 on.
-    """
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    table = {chr(b): b for b in plain}
-    rest = [b for b in range(256) if b not in set(plain)]
-    return table | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def read_vocabulary(path: str) -> list[bytes]:
     """The pieces of a byte-level tokenizer file that can match inside a word."""
     with open(path, encoding="utf-8") as file:
@@ -122,8 +110,9 @@ def text_tokens(text: str | None, path: str) -> tuple[int, int]:
         counts = Counter(words)
         if len(known) > _CACHE_WORDS:
             known.clear()
-        for word in counts.keys() - known.keys():
-            known[word] = abs(automaton.count(b" " + word))
+        for word in counts:
+            if word not in known:
+                known[word] = abs(automaton.count(b" " + word))
         n_tokens += sum(known[word] * n for word, n in counts.items())
     return n_words, n_tokens
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -23,6 +24,9 @@ ENCODER = tokens.Encoder(tokens.default_tokenizer())
 def test_encoding_equals_the_tokenizer(text):
     want = ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
     assert ENCODER.encode(text).tolist() == want
+    ids, counts = ENCODER.encode_all(pa.array([text, None, "one, two. Three", text]))
+    more = ENCODER.tokenizer.encode("one, two. Three", add_special_tokens=False).ids
+    assert ids.tolist() == want + more + want and counts.tolist() == [len(want), 0, len(more), len(want)]
 
 
 def test_pieces_are_cut_at_white_space():

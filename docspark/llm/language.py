@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from docspark.llm.common import Growing, mapped, ship, written
 
 SAMPLE_ROWS = 8_000  # labelled rows that a model is fitted on, about
-MAX_WORDS = 60_000  # size of a model: its most frequent words and n-grams
-MAX_GRAMS = 60_000
+MAX_WORDS = 40_000  # size of a model: its most frequent words and n-grams
+MAX_GRAMS = 40_000
 LONGEST = 5
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,7 +55,7 @@ def _counted(batches):
         yield pd.DataFrame(rows, columns=["lang", "size", "unit", "n"])
 
 
-def _most_frequent(units: DataFrame, most: int) -> list:
+def _most_frequent(units: DataFrame, most: int) -> DataFrame:
     """The units above the count that leaves at most ``most`` of them; ties stay together."""
     least, size = None, 0
     for total, n in sorted(units.groupBy("total").count().collect(), reverse=True):
@@ -63,7 +63,7 @@ def _most_frequent(units: DataFrame, most: int) -> list:
         if size > most:
             break
         least = total
-    return [] if least is None else units.where(F.col("total") >= least).collect()
+    return units.where(F.lit(False) if least is None else F.col("total") >= least)
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
@@ -83,28 +83,29 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
         .agg(F.sum("n").alias("n"))
     )
     by_unit = counts.groupBy("size", "unit").agg(
-        F.sum("n").alias("total"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "n")))).alias("by_lang"),
+        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")
     )
     by_unit = written(by_unit, "language-units")
-    words = _most_frequent(by_unit.where("size = 0"), MAX_WORDS)
-    pieces = _most_frequent(by_unit.where("size > 0"), MAX_GRAMS)
-    langs = sorted({lang for r in words + pieces for lang in r["by_lang"]})
-    at = {lang: i for i, lang in enumerate(langs)}
+    kept = _most_frequent(by_unit.where("size = 0"), MAX_WORDS).unionAll(
+        _most_frequent(by_unit.where("size > 0"), MAX_GRAMS)
+    )
+    names = kept.select(F.explode(F.map_keys("by_lang")).alias("lang")).distinct()
+    langs = sorted(r["lang"] for r in names.collect())
+    n_of = [F.coalesce(F.col("by_lang")[lang], F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    found = kept.select("size", "unit", *n_of).toArrow()
+    sizes = found["size"].to_numpy()
+    counts_of = np.zeros((len(langs), len(sizes)))
+    for i in range(len(langs)):
+        counts_of[i] = found[f"n{i}"].to_numpy()
     table: list[dict[str, tuple]] = [{} for _ in range(LONGEST + 1)]
     for size in range(LONGEST + 1):
-        own = [r for r in words + pieces if r["size"] == size]
-        if not own:
-            continue
-        counts_of = np.zeros((len(own), len(langs)))
-        for i, r in enumerate(own):
-            for lang, n in r["by_lang"].items():
-                counts_of[i, at[lang]] = n
-        smooth = counts_of + 0.5
-        logs = np.log(smooth / smooth.sum(axis=0))
-        # what a unit says of the language, not how rare it is
-        logs -= logs.max(axis=1, keepdims=True)
-        table[size] = {r["unit"]: tuple(x) for r, x in zip(own, logs.tolist())}
+        at = np.flatnonzero(sizes == size)
+        if len(at):
+            smooth = counts_of[:, at] + 0.5
+            logs = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+            # what a unit says of the language, not how rare it is
+            logs -= logs.max(axis=0)
+            table[size] = dict(zip(found["unit"].take(at).to_pylist(), zip(*logs.tolist())))
     return {"langs": langs, "table": table}
 
 

@@ -41,6 +41,7 @@ def page_manifest(
 ) -> DataFrame:
     """Sorted image paths and page count per document, or the error that it has none.
 
+    ``documents`` has one row per ``doc``.
     Gives ``doc, part_no, part_count, images, page_count, error``. A list comes in
     parts of ``part_rows`` paths; nearly every document has one part.
     """
@@ -53,18 +54,16 @@ def page_manifest(
         part_rows,
         images=list_in_order("image_path", BY_PATH),
     )
+    known = documents.select("doc").join(counts, "doc", "left")
+    # parts look their document up, so those of a large one never meet in one task
+    listed = lookup(lists, known.where("page_count IS NOT NULL"), DOC, how).where("page_count IS NOT NULL")
     missing = errors.error(errors.PDF_RENDER_FAILED, errors.NO_IMAGES)
-    return (
-        documents.select("doc")
-        .join(counts, "doc", "left")
-        .join(lists, "doc", "left")
-        .select(
-            "doc",
-            F.coalesce("part_no", F.lit(1)).alias("part_no"),
-            F.coalesce("part_count", F.lit(1)).alias("part_count"),
-            "images",
-            F.coalesce("page_count", F.lit(0)).alias("page_count"),
-            F.when(F.col("page_count").isNull(), missing).alias("error"),
+    one, none = F.lit(1).cast("bigint"), F.lit(None).cast("array<string>")
+    return listed.select(
+        "doc", "part_no", "part_count", "images", "page_count", errors.no_error().alias("error")
+    ).unionAll(
+        known.where("page_count IS NULL").select(
+            "doc", one, one, none, F.lit(0).cast("bigint"), missing.alias("error")
         )
     )
 

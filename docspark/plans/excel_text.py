@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.operators.lookup import lookup
 from docspark.operators.ordering import DEFAULT_PART_BYTES, Splitting
 from docspark.operators.pages import (
     assemble_pages,
@@ -78,7 +79,10 @@ def excel_text(
         },
         ["request_id", "part_no", "part_count"],
     )
-    failed_requests = asked.join(
-        failed.select(F.col("key").alias("doc"), "error"), "doc"
-    ).select(F.col("request_id").cast("string").alias("key"), "error")
+    # one error per document, which any number of requests may ask for
+    failed_requests = (
+        lookup(asked, failed.select(F.col("key").alias("doc"), "error"), ["doc"], how)
+        .where("error IS NOT NULL")
+        .select(F.col("request_id").cast("string").alias("key"), "error")
+    )
     return results, refused.unionByName(failed_requests)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.operators.lookup import lookup
 from docspark.operators.ordering import DEFAULT_PART_BYTES, Splitting
 from docspark.operators.requests import split_errors, triage
 from docspark.operators.results import result_envelope, select_format
@@ -35,7 +36,10 @@ def word_text(
         {"sourceType": "source_type", "textFormat": "text_format", "content": "content"},
         ["request_id", "part_no", "part_count"],
     )
-    unreadable = asked.join(
-        word.errors.select(F.col("key").alias("doc"), "error"), "doc"
-    ).select(F.col("request_id").cast("string").alias("key"), "error")
+    # one error per file, which any number of requests may ask for
+    unreadable = (
+        lookup(asked, word.errors.select(F.col("key").alias("doc"), "error"), ["doc"], how)
+        .where("error IS NOT NULL")
+        .select(F.col("request_id").cast("string").alias("key"), "error")
+    )
     return results, refused.unionByName(unreadable)

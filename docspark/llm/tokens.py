@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import LOWER_ASCII, Growing, mapped, text_bytes
+from docspark.llm.common import LOWER_ASCII, Growing, mapped, text_bytes, written
 from docspark.session import work_folder
 
 END_ID = 1
@@ -336,17 +336,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     tokenizer = tokenizer or default_tokenizer()
     kind = _id_kind(tokenizer)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
-    held, schema = work_folder(spark, "llm-token-ids"), "doc_id long, n_tokens long, ids binary"
-    encoded = mapped(narrow, _encoded(tokenizer, kind), schema, arrow=True)
-    encoded.write.option("compression", "zstd").parquet(held)  # ids have some ten bits of sixteen
-    encoded = spark.read.schema(schema).parquet(held)
+    encoded = written(
+        mapped(narrow, _encoded(tokenizer, kind), "doc_id long, n_tokens long, ids binary", arrow=True), "token-ids"
+    )
     # one row per id of the vocabulary, whatever the number of documents
     counts = mapped(encoded.select("ids"), _counted(kind), "id long, n long", arrow=True).groupBy("id").agg(F.sum("n").alias("n"))
     counts = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])
     id_of = counts["id"].to_numpy(np.int64).astype("<u4")
     rank_of = np.zeros(int(id_of.max()) + 1 if len(id_of) else 0, "<u4")
     rank_of[id_of] = np.arange(len(id_of))
+    spark = docs.sparkSession
     ranks = [(int(i), int(r)) for r, i in enumerate(id_of)]
     spark.createDataFrame(ranks, "id long, rank long").coalesce(1).write.parquet(f"{folder}/ranks")
     ordered = encoded.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")

@@ -15,12 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import Growing, mapped, text_bytes, window_hashes, written
+from docspark.llm.common import MIX, Growing, mapped, mixed, text_bytes, window_hashes, written
 
 WINDOW = 8
 LEAST_COVERAGE = 0.3
 LEAST_LITERALS = 4
 BITMAP_BITS = 25  # the filter sent to tasks has 2**25 bits (4 MiB) for any benchmark
+# names after the first word of a sentence, all in title case, or none (so that case counts for nothing)
+FORMS = INNER_NAMES, ALL_NAMES, NO_NAMES = range(3)
 LITERAL, NUMBER, UNIT, NAME, MEASURE, NOTHING = range(6)
 _PLACEHOLDER = {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>", MEASURE: "<measure>"}
 UNITS = frozenset(
@@ -92,8 +94,8 @@ class Templates:
         self.new.append((xxhash.xxh64_intdigest(value.encode("utf-8", "replace")), kind, ends))
         return len(self.values) - 1
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, kinds and canonical hashes of a text's tokens."""
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, kinds and value hashes of a text's tokens, and which start a sentence."""
         if len(self.values) > _CACHE_WORDS:
             self.__init__()
         raw = text_bytes(text).replace(b"\x00", b" ").replace(b"\n", b" \x00 ").split()
@@ -103,15 +105,16 @@ class Templates:
                 array.extend(values)
             self.new = []
         if not len(codes):
-            return codes, np.zeros(0, np.int8), np.zeros(0, np.uint64)
+            return codes, np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, bool)
         hashes, kinds, ends = (a.room[codes] for a in self.arrays)
         starts = np.concatenate(([True], ends[:-1]))
-        kinds = np.where((kinds == NAME) & starts, LITERAL, kinds)
         real = kinds != NOTHING
-        codes, kinds, hashes = codes[real], kinds[real], hashes[real]
-        slot = kinds != LITERAL
-        hashes[slot] = kinds[slot]
-        return codes, kinds, hashes
+        return codes[real], kinds[real], hashes[real], starts[real]
+
+    def tokens(self, text: str | None, form: int = INNER_NAMES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, kinds and canonical hashes of a text's tokens."""
+        codes, *rest = self.read(text)
+        return codes, *_as_form(*rest, form)
 
     def slots(self, codes: np.ndarray, kinds: np.ndarray) -> list[str]:
         return [
@@ -124,14 +127,26 @@ class Templates:
 _SCHEMA = "pos int, h long, slots array<string>"
 
 
-def _rows(cut: Templates, text: str | None, size: int, wanted) -> list:
-    codes, kinds, hashes = cut.tokens(text)
+def _as_form(kinds, values, starts, form: int) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds and canonical hashes in one of the forms."""
+    if form == INNER_NAMES:
+        kinds = np.where((kinds == NAME) & starts, LITERAL, kinds)
+    elif form == NO_NAMES:
+        kinds = np.where(kinds == NAME, LITERAL, kinds)
+    return kinds, np.where(kinds != LITERAL, kinds.astype(np.uint64), values)
+
+
+def _windows(kinds: np.ndarray, hashes: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows and which of them are templates.
+
+    A window with too few literal words stands for its own values alone.
+    """
     windows = window_hashes(hashes, size)
-    at = np.flatnonzero(wanted(windows, kinds)) if len(windows) else ()
-    return [
-        (int(i), int(windows[i].view(np.int64)), cut.slots(codes[i : i + size], kinds[i : i + size]))
-        for i in at
-    ]
+    literal = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
+    enough = (literal[size:] - literal[:-size])[: len(windows)] >= LEAST_LITERALS
+    if not enough.all():
+        windows = np.where(enough, windows, mixed(window_hashes(values, size) ^ MIX))
+    return windows, enough
 
 
 def _item_windows(batches):
@@ -139,45 +154,55 @@ def _item_windows(batches):
     for batch in batches:
         rows = []
         for item, text in zip(batch["item_id"], batch["text"]):
-            n = len(cut.tokens(text)[0])
-            size = min(WINDOW, n)
-
-            def enough(windows, kinds, size=size):
-                literal = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
-                return (literal[size:] - literal[:-size])[: len(windows)] >= LEAST_LITERALS
-
-            if size:
-                own = _rows(cut, text, size, enough)
-                rows += [(item, len(own), size, *row) for row in own]
-        yield pd.DataFrame(rows, columns=["item_id", "n_windows", "size", "pos", "h", "slots"])
+            codes, kinds, values, starts = cut.read(text)
+            size = min(WINDOW, len(codes))
+            for form in FORMS if size else ():
+                own, hashes = _as_form(kinds, values, starts, form)
+                windows, enough = _windows(own, hashes, values, size)
+                n = len(windows), int(enough.sum())
+                rows += [
+                    (item, form, *n, size, e, i, h, cut.slots(codes[i : i + size], own[i : i + size]))
+                    for i, (h, e) in enumerate(zip(windows.view(np.int64).tolist(), enough.tolist()))
+                ]
+        yield pd.DataFrame(
+            rows, columns=["item_id", "form", "n_windows", "n_templates", "size", "template", "pos", "h", "slots"]
+        )
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """Windows of the items' templates; an item below the window is one window by itself.
 
-    Windows with fewer than four literal words are left out, as they say too little.
+    Each item is there in three forms. Windows with fewer than four literal words say too
+    little as templates and stand for their own values, so they match verbatim copies only.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return mapped(items, _item_windows, f"item_id long, n_windows int, size int, {_SCHEMA}")
+    return mapped(items, _item_windows, f"item_id long, form int, n_windows int, n_templates int, size int, template boolean, {_SCHEMA}")
 
 
 def _doc_windows(bitmap, sizes, bits):
+    names = ["doc_id", "form", "size", "pos", "h", "slots"]
+
     def batches(frames):
         cut, filled = Templates(), np.frombuffer(bitmap.value, np.uint8)
 
-        def known(windows, kinds):
-            at = windows >> np.uint64(64 - bits)
-            return (filled[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-
         for frame in frames:
             rows = []
             for doc, text in zip(frame["doc_id"], frame["text"]):
-                for size in sizes:
-                    rows += [(doc, size, *row) for row in _rows(cut, text, size, known)]
+                codes, kinds, values, starts = cut.read(text)
+                for form in FORMS:
+                    own, hashes = _as_form(kinds, values, starts, form)
+                    for size in sizes:
+                        windows, _ = _windows(own, hashes, values, size)
+                        top = windows >> np.uint64(64 - bits)
+                        known = (filled[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1
+                        rows += [
+                            (doc, form, size, i, int(windows[i].view(np.int64)), cut.slots(codes[i : i + size], own[i : i + size]))
+                            for i in np.flatnonzero(known).tolist()
+                        ]
                 if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "size", "pos", "h", "slots"])
+                    yield pd.DataFrame(rows, columns=names)
                     rows = []
-            yield pd.DataFrame(rows, columns=["doc_id", "size", "pos", "h", "slots"])
+            yield pd.DataFrame(rows, columns=names)
 
     return batches
 
@@ -199,13 +224,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_C
     """Pairs of a document and a benchmark item whose template it holds.
 
     ``(doc_id, item_id, coverage, same_values)``: the share of the item's template
-    windows found in occurrences with consistent slots, at least
-    ``least_coverage``, and whether all slots of these kept the item's values.
+    windows, or of all its windows, found in occurrences with consistent slots, in
+    the first form that reaches ``least_coverage``, and whether all slots of these kept the item's values.
     An occurrence is inconsistent if one value of the item is replaced by two.
 
     Each document is filtered by a bitmap of fixed size before the join, whatever
-    the size of the benchmark. Null, empty and all-placeholder texts match
-    nothing; rows with a null id take no part; repeated rows count once; empty
+    the size of the benchmark. Null and empty texts match nothing, all-placeholder
+    texts their verbatim copies; rows with a null id take no part; repeated rows count once; empty
     tables give an empty result. Only ids and texts are read.
     """
     spark = docs.sparkSession
@@ -216,29 +241,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_C
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
     wanted = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = mapped(wanted, _doc_windows(bitmap, sizes, BITMAP_BITS), f"doc_id long, size int, {_SCHEMA}")
+    found = mapped(wanted, _doc_windows(bitmap, sizes, BITMAP_BITS), f"doc_id long, form int, size int, {_SCHEMA}")
     # by (size, h) for the join; a window in a third of all documents is split by Spark
-    held = items.select("item_id", "n_windows", "size", "h", F.col("pos").alias("at"), F.col("slots").alias("own"))
+    of_item = ["item_id", "form", "n_windows", "n_templates"]
+    held = items.select(*of_item, "template", "size", "h", F.col("pos").alias("at"), F.col("slots").alias("own"))
     slots = F.arrays_zip(F.col("own").alias("own"), F.col("slots").alias("slots"))
     occurrence = (
-        found.join(held, ["size", "h"])
-        .select("doc_id", "item_id", "n_windows", "at", (F.col("pos") - F.col("at")).alias("shift"), slots.alias("pairs"))
-        .groupBy("doc_id", "item_id", "shift")
+        found.join(held, ["form", "size", "h"])
+        .select("doc_id", *of_item, "template", "at", (F.col("pos") - F.col("at")).alias("shift"), slots.alias("pairs"))
+        .groupBy("doc_id", *of_item, "shift")
         .agg(
-            F.first("n_windows").alias("n_windows"),
             F.collect_set("at").alias("at"),
+            F.collect_set(F.when(F.col("template"), F.col("at"))).alias("as_template"),
             F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
         )
     )
     own = F.array_distinct(F.transform("pairs", lambda p: p["own"]))
     consistent = occurrence.where(F.size(own) == F.size("pairs"))
+
+    def n_of(lists):
+        return F.size(F.array_distinct(F.flatten(F.collect_list(lists))))
+
+    by_form = consistent.groupBy("doc_id", *of_item).agg(
+        F.greatest(
+            n_of("at") / F.col("n_windows"),
+            F.when(F.col("n_templates") > 0, n_of("as_template") / F.col("n_templates")),
+        ).alias("coverage"),
+        F.every(F.forall("pairs", lambda p: p["own"] == p["slots"])).alias("same_values"),
+    )
+    enough = F.when(F.col("coverage") >= least_coverage, F.col("form"))
     return (
-        consistent.groupBy("doc_id", "item_id")
-        .agg(
-            (F.size(F.array_distinct(F.flatten(F.collect_list("at")))) / F.first("n_windows")).alias("coverage"),
-            F.every(F.forall("pairs", lambda p: p["own"] == p["slots"])).alias("same_values"),
-        )
-        .where(F.col("coverage") >= least_coverage)
+        by_form.groupBy("doc_id", "item_id")
+        .agg(F.min_by("coverage", enough).alias("coverage"), F.every("same_values").alias("same_values"))
+        .where("coverage is not null")
     )
 
 

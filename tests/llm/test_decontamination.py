@@ -73,3 +73,30 @@ def test_odd_rows(spark, odd_docs, no_docs):
     texts = odd_docs.where("doc_id = 2").selectExpr("doc_id AS item_id", "text", "text AS h", "text AS pos")
     assert {r.doc_id for r in dec.leaks(odd_docs, texts).collect()} == {1, 2}
     assert dec.leaks(no_docs, items).count() == 0 and dec.leaks(odd_docs, texts.limit(0)).count() == 0
+
+
+def leaks_of(spark, items, docs):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id): (r.coverage, r.same_values) for r in dec.leaks(docs, items).collect()}
+
+
+def test_leading_names_and_changed_case(spark):
+    tom = "Tom buys 12 pens. Tom sells 5 pens. Tom finds 3 pens. How many pens has he?"
+    german = "Der Bauer bringt Korn, Hafer, Mais und Heu zum Markt nach Ulm"
+    docs = [tom.replace("Tom", "Ann"), german.lower(), german.upper(), QUESTION.upper(), tom.replace("Tom", "Ann", 2)]
+    rows = leaks_of(spark, [tom, german, QUESTION], docs)
+    assert rows[0, 0] == (1, False)
+    assert rows[1, 1][0] == rows[2, 1][0] == 1 and rows[3, 2][1]
+    assert rows.get((4, 0), (0,))[0] < 1  # a name became two
+
+
+def test_windows_of_few_literals_match_verbatim(spark):
+    names = "Anna, Bert, Carl, Dora and Emil"
+    docs = ["so 12 14 16 it is", "so 12 14 17 it is", f"with {names} there", "with Anna, Bert, Carl, Dora and Otto there"]
+    rows = leaks_of(spark, ["12 14 16", f"for {names}"], [*docs, f"for {names}"])
+    assert rows[0, 0] == (1, True) and rows[4, 1] == (1, True)
+    assert set(rows) == {(0, 0), (4, 1)}
+    # a question with other values stays found by its templates, however many numbers follow
+    item = "we count the apples of the old tree: " + " ".join(map(str, range(40)))
+    assert leaks_of(spark, [item], [item.replace("3", "7 ")])[0, 0][0] >= 0.3

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import LOWER_ASCII, Growing, mapped, text_bytes, written
+from docspark.llm.common import Growing, mapped, text_bytes, written
 from docspark.session import work_folder
 
 END_ID = 1
@@ -93,6 +93,11 @@ def pieces(raw: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
     yield raw[at:]
 
 
+def _small(words: list[bytes]) -> list[bytes]:
+    """ASCII words in small letters; others as they are, since the tokenizer composes letters first."""
+    return [w.lower() if w.isascii() else w for w in words]
+
+
 class _Words(dict):
     """Numbers of words; a new word gets the next one and waits to be encoded."""
 
@@ -174,9 +179,9 @@ class Encoder:
         if not self.word_wise:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         raw = text_bytes(text)
-        if b"<|" not in raw:  # names of special tokens count as they are written
-            raw = raw.translate(LOWER_ASCII)
-        return np.concatenate([self._ids(self._codes(p.split()))[0] for p in pieces(raw)])
+        # names of special tokens count as they are written
+        small = _small if b"<|" not in raw else list
+        return np.concatenate([self._ids(self._codes(small(p.split())))[0] for p in pieces(raw)])
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after another, and how many ids each has.
@@ -194,12 +199,12 @@ class Encoder:
             alone = np.ones(len(texts), bool)
         else:
             alone = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
-        plain = pc.ascii_lower(pc.if_else(pa.array(alone), "", texts))
+        plain = pc.if_else(pa.array(alone), "", texts)
         for stop in (". ", ", ", ".\n", ",\n"):
             plain = pc.replace_substring(plain, stop, " " + stop)
         split = pc.ascii_split_whitespace(plain)
         words = split.flatten().dictionary_encode()
-        known = self._codes([w.encode() for w in words.dictionary.to_pylist()])
+        known = self._codes(_small([w.encode() for w in words.dictionary.to_pylist()]))
         codes = known[words.indices.to_numpy(zero_copy_only=False)]
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
         is_stop = (codes == self.stops[0]) | (codes == self.stops[1])

@@ -69,3 +69,11 @@ def test_odd_rows(odd_docs, no_docs):
     end = zlib.crc32(np.array([1], "<u4").tobytes())
     assert {(r.n_tokens, r.ids_crc32) for r in rows if r.doc_id in (3, 4, 5)} == {(1, end)}
     assert tokens.tokenized(no_docs).count() == 0
+
+
+def test_decomposed_capitals_as_the_tokenizer_reads_them():
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    for text in ("J\u030c", "Plain T\u0308x H\u0331 and W\u030a, Y\u030a. J\u030c END"):
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text).tolist() == want
+        assert encoder.encode_all(pa.array([text]))[0].tolist() == want

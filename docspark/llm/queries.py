@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, html_text, language, licences, mixing, passages, quality, simhash, tokens, wordpieces
+from docspark.llm import (
+    decontamination,
+    divergence,
+    html_text,
+    language,
+    licences,
+    mixing,
+    passages,
+    quality,
+    resampling,
+    simhash,
+    tokens,
+    vectors,
+    wordpieces,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +139,18 @@ SELECT doc_id, lang, source, unnest(range(1, (full_epochs + extra::INT + 1)::BIG
 """
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_passages": op1_passages,
     "op2_quality": op2_quality,
@@ -136,6 +162,15 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
+    "op11_divergence": op11_divergence,
+    "op12_resampling": op12_resampling,
+    "op13_vectors": op13_vectors,
 }
 
-ORACLE = {"op2_quality": quality.SQL, "op10_mixing": MIX_SQL}
+ORACLE = {
+    "op2_quality": quality.SQL,
+    "op10_mixing": MIX_SQL,
+    "op11_divergence": divergence.SQL,
+    "op12_resampling": resampling.SQL,
+    "op13_vectors": vectors.SQL,
+}

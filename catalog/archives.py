@@ -179,14 +179,17 @@ _REST = "substr(l, position(' ' IN l) + 1)"
 _BOLD_REST = f"""CASE WHEN position(' ' IN l) = 0 OR trim({_REST}) = '' THEN l
   ELSE left(l, position(' ' IN l)) || left({_REST}, length({_REST}) - length(ltrim({_REST})))
     || '**' || trim({_REST}) || '**' || substr({_REST}, length(rtrim({_REST})) + 1) END"""
+# The first half of the lines are paragraphs, the rest are one cell of a table.
+_CELL = f"""replace(array_to_string(list_filter(list_transform(lines[len(lines) // 2 + 1:], lambda l: {_BOLD_REST}),
+  lambda t: t <> ''), '<br>'), '|', '\\|')"""
+_HALF = f"""array_to_string(list_transform(lines[:len(lines) // 2], lambda l, i: CASE WHEN i = 1 THEN
+  repeat('#', CAST(1 + doc_id % 6 AS INTEGER)) || ' ' ELSE '' END || {_BOLD_REST} || chr(10) || chr(10)), '')"""
 WORD_SQL = f"""
 word_in AS (
   SELECT doc_id, {WORD_PATH} AS doc,
          replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) AS text,
-         repeat('#', CAST(1 + doc_id % 6 AS INTEGER)) || ' '
-           || array_to_string(list_transform(string_split(text, chr(10)), lambda l: {_BOLD_REST}), chr(10) || chr(10))
-           || chr(10) || chr(10) AS markdown
-  FROM documents),
+         {_HALF} || '| ' || {_CELL} || ' |' || chr(10) || '| --- |' || chr(10) || chr(10) AS markdown
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents)),
 word_bad AS (
   SELECT concat('/word/broken-', doc_id, '.docx') AS doc, true AS is_docx FROM documents WHERE doc_id % 11 = 5
   UNION ALL SELECT concat('/word/', doc_id, '.doc'), false FROM documents WHERE doc_id % 13 = 6)"""

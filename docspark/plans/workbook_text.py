@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark import errors
-from docspark.operators.grid import filter_sheets, grid_to_markdown, workbook_markdown
+from docspark.operators.grid import grid_to_markdown, workbook_markdown
 from docspark.operators.ordering import DEFAULT_PART_BYTES, Splitting
 from docspark.session import write_and_read
 from docspark.sources.workbook import extract_workbook_cells
@@ -21,9 +21,10 @@ def workbooks_to_markdown(
 ) -> tuple[DataFrame, DataFrame]:
     """Markdown parts of each readable workbook and the errors of the others.
 
-    ``requests`` (``doc``, ``sheet_names``) restricts documents and their sheets:
-    only files asked for are opened, and those that are not there are errors.
-    Cells are written once before the grid is built, since the grid asks for
+    ``files`` has ``path`` alone, as a listing does, or ``content`` too. ``requests``
+    (``doc``, ``sheet_names``) restricts documents and their sheets: only files asked for
+    are opened, by path only sheets asked for are inflated, and files that are not there are
+    errors. Cells are written once before the grid is built, since the grid asks for
     them several times.
     """
     missing = None
@@ -35,14 +36,10 @@ def workbooks_to_markdown(
             F.col("path").alias("key"), errors.error(errors.FILE_NOT_FOUND, message).alias("error")
         )
         files = files.join(paths, "path", "left_semi")
-    tables = extract_workbook_cells(files)
+    tables = extract_workbook_cells(files, requests)
     failed = tables.errors if missing is None else tables.errors.unionByName(missing)
     sheets = tables.sheets
-    cells = write_and_read(tables.cells, "cells")
+    cells = write_and_read(tables.cells.drop("formula", "type", "sheet_ord"), "cells")
     merges = tables.merges if merged_cells else None
-    if requests is not None:
-        sheets = filter_sheets(sheets, requests)
-        cells = filter_sheets(cells, requests)
-        merges = filter_sheets(merges, requests) if merges is not None else None
     parts = grid_to_markdown(sheets, cells, merges, part_bytes, how)
     return workbook_markdown(parts, part_bytes, how, counted=sheets.select("doc")), failed

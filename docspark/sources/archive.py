@@ -1,14 +1,20 @@
 """Zipped office files to blocks of XML elements.
 
-Python opens archives, checks that the parts wanted are well formed, and cuts
-their text into blocks of whole elements. All that follows (parsing, ordering,
-joins) is Spark's. A part is read as a stream, and blocks have bounded size, so
-a large sheet never is one value.
+Python opens archives, checks that the parts read are well formed, and cuts their text
+into blocks of whole elements in the same pass. All that follows (parsing, ordering,
+joins) is Spark's. A part is read as a stream, and blocks have bounded size, so a large
+sheet never is one value.
+
+Files come by path or with their content. By path an archive is a seekable stream of its
+file system, of any size: its bytes are in no column, and only the parts asked for are
+read. ``archive_index`` reads the small parts that say what is in an archive,
+``part_blocks`` then reads parts of it, each in a task of its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docspark.session import write_and_read
 
@@ -17,6 +23,9 @@ BLOCK_SCHEMA = (
 )
 BLOCK_CHARS = 256 * 1024
 XML_OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
+# How a part is cut: to elements of some names, or to the paragraphs, table rows and table
+# ends of a text.
+TEXT_ITEMS = ["text-items"]
 
 
 def archive_blocks(
@@ -29,43 +38,105 @@ def archive_blocks(
     """One row per block of whole elements, and one for each file.
 
     The file's own row has element ``file`` if it is readable, else ``error``
-    and a ``message``.
+    and a ``message``; a file with an error has no other rows.
 
-    ``wanted`` maps patterns of part names to the elements to cut from them, and
-    ``required`` names a part that must exist. ``start`` is the position of the
-    block's first element among its kind in the part. The blocks are written to
+    ``files`` has ``path`` and maybe ``content``; without, or where it is NULL, the path is
+    opened. ``wanted`` maps patterns of part names to the elements to cut from them, or to
+    TEXT_ITEMS, and ``required`` names a part that must exist. ``start`` is the position of
+    the block's first element among its kind in the part. The blocks are written to
     the shared work folder, so that each table made of them reads its own kind
     of block and no file is unzipped twice.
     """
-    cut = _block_cutter(wanted, required, block_chars)
-    blocks = files.select("path", "content").mapInPandas(cut, BLOCK_SCHEMA)
-    return write_and_read(blocks, purpose, "element")
+    cut = _cutter(wanted, required, block_chars)
+    return _kept(_opened(files, cut), purpose)
+
+
+def archive_index(
+    files: DataFrame,
+    head: dict[str, list[str]],
+    body: list[str],
+    required: str,
+    purpose: str,
+) -> DataFrame:
+    """Blocks of the parts in ``head``, and a row ``part`` for each part that ``body`` matches.
+
+    ``start`` of a ``part`` row is the part's size. No other part is inflated.
+    """
+    return _kept(_opened(files, _cutter(head, required, BLOCK_CHARS, body)), purpose)
 
 
-def _block_cutter(wanted: dict[str, list[str]], required: str, block_chars: int):
+def part_blocks(
+    parts: DataFrame,
+    wanted: dict[str, list[str]],
+    purpose: str,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """Blocks of ``parts`` (``path, part``), which are spread over tasks by path and part.
+
+    A part that cannot be read gives an ``error`` row and its file no others.
+    """
+    cut = _cutter(wanted, None, block_chars)
+    spread = parts.select("path", "part").distinct().repartition("path", "part")
+    return _kept(spread.mapInPandas(cut, BLOCK_SCHEMA), purpose)
+
+
+def without_failed(blocks: DataFrame, failed: DataFrame) -> DataFrame:
+    """Blocks of files without an error row: failed files are few beside all blocks."""
+    return blocks.join(failed.select("path").distinct(), "path", "left_anti")
+
+
+def _opened(files: DataFrame, cut) -> DataFrame:
+    names = ["path", "content"] if "content" in files.columns else ["path"]
+    return files.select(*names).mapInPandas(cut, BLOCK_SCHEMA)
+
+
+def _kept(blocks: DataFrame, purpose: str) -> DataFrame:
+    held = write_and_read(blocks, purpose, "element")
+    bad = F.col("element") == "error"
+    return without_failed(held.where(~bad), held.where(bad)).unionByName(held.where(bad))
+
+
+def _cutter(
+    wanted: dict[str, list[str]], required: str | None, block_chars: int, listed: list[str] = ()
+):
     # Nested so that tasks receive the functions themselves: executors need no copy
     # of this package.
     names = ["path", "part", "element", "start", "xml", "message"]
+    attributes = r"""(?:[^>"']|"[^"]*"|'[^']*')*?"""
+    skipped = r"<!--.*?-->|<!\[CDATA\[.*?\]\]>"
 
-    def elements(stream, tags):
-        """Outermost elements with one of these names, in order, as (tag, text)."""
-        import codecs
+    def tags_of(tags):
         import re
 
-        attributes = r"""(?:[^>"']|"[^"]*"|'[^']*')*?"""
-        pattern = re.compile(
-            r"<!--.*?-->|<!\[CDATA\[.*?\]\]>"
-            rf"|<(?:[\w.-]+:)?(?P<open>{'|'.join(tags)})(?=[\s/>]){attributes}(?P<empty>/?)>"
+        return re.compile(
+            rf"{skipped}|<(?:[\w.-]+:)?(?P<open>{'|'.join(tags)})(?=[\s/>]){attributes}(?P<empty>/?)>"
             rf"|</(?:[\w.-]+:)?(?P<close>{'|'.join(tags)})\s*>",
             re.S,
         )
+
+    def checked_text(stream):
+        """The text of a part in pieces; the parser sees the same bytes and finds faults."""
+        import codecs
+        from xml.parsers import expat
+
+        parser = expat.ParserCreate()
         head = stream.read(2)
         wide = head in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)
         decoder = codecs.getincrementaldecoder("utf-16" if wide else "utf-8-sig")()
-        text, at, depth, begin, tag = decoder.decode(head), 0, 0, 0, None
         while True:
-            chunk = stream.read(1 << 20)
-            text += decoder.decode(chunk, final=not chunk)
+            chunk = head + stream.read(1 << 20)
+            head = b""
+            parser.Parse(chunk, not chunk)
+            yield decoder.decode(chunk, final=not chunk), not chunk
+            if not chunk:
+                return
+
+    def elements(stream, tags):
+        """Outermost elements with one of these names, in order, as (tag, text)."""
+        pattern = tags_of(tags)
+        text, at, depth, begin, tag = "", 0, 0, 0, None
+        for piece, _ in checked_text(stream):
+            text += piece
             for found in pattern.finditer(text, at):
                 at = found.end()
                 if found["open"] and (depth == 0 or found["open"] == tag):
@@ -80,69 +151,132 @@ def _block_cutter(wanted: dict[str, list[str]], required: str, block_chars: int)
                     yield tag, text[begin:at]
             keep = begin if depth else at
             text, at, begin = text[keep:], at - keep, 0
-            if not chunk:
-                return
+
+    def text_items(stream, _):
+        """Paragraphs outside tables (k=p), rows of outermost tables with their number (k=r), table ends (k=e).
+
+        A row holds its cells, a cell all paragraphs in it, those of inner tables too.
+        A paragraph's inner elements stay as they are.
+        """
+        pattern = tags_of(["tbl", "tr", "tc", "p"])
+        text, at, begin = "", 0, 0
+        tables = paragraphs = cells = row = 0  # how deep, and the row's number
+        row_open, own, cell = False, [], []
+        for piece, _ in checked_text(stream):
+            text += piece
+            for found in pattern.finditer(text, at):
+                at = found.end()
+                name = found["open"] or found["close"]
+                opens, closes = bool(found["open"]), bool(found["close"] or found["empty"])
+                if name is None:
+                    continue
+                if name == "p" or paragraphs:
+                    if name != "p":  # a table in a text box of a paragraph
+                        continue
+                    if opens and not paragraphs:
+                        begin = found.start()
+                    paragraphs += opens - closes
+                    if paragraphs == 0 and closes:
+                        if cells:
+                            cell.append(text[begin:at])
+                        elif not tables:
+                            yield "i", f'<i k="p">{text[begin:at]}</i>'
+                elif name == "tbl":
+                    tables += opens - closes
+                    if tables == 0:
+                        if row:
+                            yield "i", '<i k="e"/>'
+                        row = 0
+                elif name == "tr" and tables == 1:
+                    if opens:
+                        own = []
+                    if closes:
+                        yield "i", f'<i k="r" n="{row}">{"".join(own)}</i>'
+                        row += 1
+                elif name == "tc":
+                    cells += opens - closes
+                    if tables == 1 and closes:
+                        own.append(f"<tc>{''.join(cell)}</tc>")
+                        cell = []
+            keep = begin if paragraphs else at
+            text, at, begin = text[keep:], at - keep, 0
 
     def blocks(archive, part, tags):
         """Elements of a part gathered to blocks, as (tag, start, xml)."""
-        held = {tag: [] for tag in tags}
-        size = dict.fromkeys(tags, 0)
-        start = dict.fromkeys(tags, 0)
+        of = text_items if tags == ["text-items"] else elements
+        kinds = ["i"] if of is text_items else tags
+        held = {tag: [] for tag in kinds}
+        size = dict.fromkeys(kinds, 0)
+        start = dict.fromkeys(kinds, 0)
         with archive.open(part) as stream:
-            for tag, text in elements(stream, tags):
+            for tag, text in of(stream, tags):
                 held[tag].append(text)
                 size[tag] += len(text)
                 if size[tag] >= block_chars:
                     yield tag, start[tag], f"<b>{''.join(held[tag])}</b>"
                     start[tag] += len(held[tag])
                     held[tag], size[tag] = [], 0
-        for tag in tags:
+        for tag in kinds:
             if held[tag]:
                 yield tag, start[tag], f"<b>{''.join(held[tag])}</b>"
 
-    def open_checked(content):
-        """The archive and its wanted parts, once all of them proved readable."""
+    def opened(path, content):
+        """The archive of a file: its bytes if they are given, else a stream of its path."""
         import io
         import re
         import zipfile
-        from xml.parsers import expat
 
-        if content is None:
-            raise ValueError("the file is too large for one value")
-        archive = zipfile.ZipFile(io.BytesIO(content))
-        present = archive.namelist()
-        if required not in present:
-            raise ValueError(f"{required} is missing")
-        parts = [
-            (part, tags)
-            for part in present
-            for pattern, tags in wanted.items()
-            if re.fullmatch(pattern, part)
-        ]
-        for part, _ in parts:
-            with archive.open(part) as stream:
-                expat.ParserCreate().ParseFile(stream)
-        return archive, parts
+        if content is not None:
+            return zipfile.ZipFile(io.BytesIO(content))
+        from pyarrow import fs
+
+        if "://" in path and not path.startswith("file:"):
+            system, path = fs.FileSystem.from_uri(path)
+        else:
+            system, path = fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+        return zipfile.ZipFile(system.open_input_file(path))
+
+    def tags_for(part):
+        import re
+
+        return next((tags for pattern, tags in wanted.items() if re.fullmatch(pattern, part)), None)
+
+    def rows_of(path, part, content):
+        """Rows of one part, or of all parts wanted of a file."""
+        import re
+
+        with opened(path, content) as archive:
+            if part is not None:
+                chosen = [part]
+            else:
+                chosen = [p for p in archive.namelist() if tags_for(p)]
+                if required not in archive.namelist():
+                    raise ValueError(f"{required} is missing")
+                yield path, None, "file", 0, None, None
+                for info in archive.infolist():
+                    if any(re.fullmatch(pattern, info.filename) for pattern in listed):
+                        yield path, info.filename, "part", info.file_size, None, None
+            for one in chosen:
+                for tag, start, xml in blocks(archive, one, tags_for(one)):
+                    yield path, one, tag, start, xml, None
 
     def cut(batches):
         import pandas as pd
 
         rows, size = [], 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            nothing = [None] * len(batch)
+            parts, contents = (batch[c] if c in batch else nothing for c in ("part", "content"))
+            for path, part, content in zip(batch["path"], parts, contents):
                 try:
-                    archive, parts = open_checked(content)
-                except Exception as problem:  # any unreadable file is an error row
-                    rows.append((path, None, "error", 0, None, str(problem)))
-                    continue
-                rows.append((path, None, "file", 0, None, None))
-                for part, tags in parts:
-                    for tag, start, xml in blocks(archive, part, tags):
-                        rows.append((path, part, tag, start, xml, None))
-                        size += len(xml)
+                    for row in rows_of(path, part, content):
+                        rows.append(row)
+                        size += len(row[4] or "")
                         if size > (1 << 24):
                             yield pd.DataFrame(rows, columns=names)
                             rows, size = [], 0
+                except Exception as problem:  # any unreadable file is an error row
+                    rows.append((path, part, "error", 0, None, str(problem)))
         if rows:
             yield pd.DataFrame(rows, columns=names)
 

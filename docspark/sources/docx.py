@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark import errors
@@ -16,22 +16,30 @@ from docspark.operators.ordering import (
     slicing,
     text_in_order,
 )
-from docspark.sources.archive import XML_OPTIONS, archive_blocks
+from docspark.session import write_and_read
+from docspark.sources.archive import BLOCK_CHARS, TEXT_ITEMS, XML_OPTIONS, archive_blocks
 
-PARTS = {r"word/document\.xml": ["p"]}
+PARTS = {
+    r"word/document\.xml": TEXT_ITEMS,
+    r"word/_rels/document\.xml\.rels": ["Relationship"],
+    r"word/numbering\.xml": ["abstractNum", "num"],
+}
 REQUIRED_PART = "word/document.xml"
-_PARAGRAPH = (
-    "struct<pPr:struct<pStyle:struct<_val:string>,"
-    "numPr:struct<ilvl:struct<_val:string>,numId:struct<_val:string>>>,"
-    "r:array<struct<rPr:struct<b:string,i:string>,t:array<string>>>>"
-)
+LEVELS = 9  # of a list, fixed by the format
+_RUN = "struct<rPr:struct<b:string,i:string>,t:array<string>>"
+_LIST = "struct<ilvl:struct<_val:string>,numId:struct<_val:string>>"
+# a paragraph's runs in groups: those of a link, and those between links
+_GROUP = f"struct<_id:string,_anchor:string,pPr:struct<pStyle:struct<_val:string>,numPr:{_LIST}>,r:array<{_RUN}>>"
+_PARAGRAPH = f"struct<g:array<{_GROUP}>>"
+_ITEM = f"struct<_k:string,_n:int,p:array<{_PARAGRAPH}>,tc:array<struct<p:array<{_PARAGRAPH}>>>>"
 # Wrappers whose runs belong to the paragraph as if they stood in it directly.
-_WRAPPERS = r"</?(?:\w+:)?(?:hyperlink|ins|smartTag|sdt|sdtContent)(?=[\s/>])[^>]*>"
+_WRAPPERS = r"</?(?:\w+:)?(?:ins|smartTag|sdt|sdtContent)(?=[\s/>])[^>]*>"
 _TAB = r"<(\w+:)?tab\s*/>"
 # Switches of a run's format: on when empty or true. Parsed text is 1 or nothing.
 _ON = r"<(?:\w+:)?([bi])(?:\s+(?:\w+:)?val\s*=\s*[\"'](?:1|true|on)[\"'])?\s*/>"
-# Marks that stand for **, ** and _, _ until neighbouring runs of one format are one.
-_BOLD, _PLAIN, _ITALIC, _UPRIGHT = "\ue000", "\ue001", "\ue002", "\ue003"
+_EMPTY_LINK = r"<(?:\w+:)?hyperlink(?:\s[^>]*)?/>"
+_LINK, _LINK_END = r"<(?:\w+:)?hyperlink(?=[\s>])([^>]*)>", r"</(?:\w+:)?hyperlink\s*>"
+_OPEN, _CLOSE = r"<((?:\w+:)?p(?:\s(?:[^>]*[^/>])?)?)>", r"</((?:\w+:)?p)\s*>"
 
 
 @dataclass(frozen=True)
@@ -46,14 +54,23 @@ def extract_docx(
     files: DataFrame,
     part_bytes: int = DEFAULT_PART_BYTES,
     how: Splitting | None = Splitting(),
+    tables: bool = True,
+    block_chars: int = BLOCK_CHARS,
 ) -> WordTables:
-    """Raw text and Markdown of every .docx in ``files`` (``path``, ``content``).
+    """Raw text and Markdown of every .docx in ``files`` (``path``, and ``content`` if at hand).
 
     Text is each paragraph followed by two line breaks, tables included in
     reading order. Markdown is the same with styles Heading1 to Heading6 as
-    ``#`` to ``######``, list items as ``- `` with two spaces for each level above
-    them, bold runs in ``**`` and italic ones in ``_``; any other formatting is
-    plain text. Files that are not .docx or cannot be read give an error row each.
+    ``#`` to ``######``, list items as ``- `` or, in a numbered list, with their number,
+    indented by two spaces for each level above, links as ``[text](target)``, runs in
+    ``**`` if bold and in ``_`` if italic; any other formatting is plain text. A table is
+    one in Markdown, with its first row as the header, ``<br>`` between the paragraphs of a
+    cell and ``\\|`` for ``|``; inner tables are paragraphs of their cell. Without
+    ``tables``, its paragraphs stand one after another. Files that are not .docx or cannot
+    be read give an error row each.
+
+    An item's number counts the items of its list and level since the last item of a level
+    above, from the level's first number on.
     """
     named_right = is_docx(F.col("path"))
     wrong_type = files.filter(~named_right).select(
@@ -62,7 +79,7 @@ def extract_docx(
             errors.UNSUPPORTED_FORMAT, F.concat(F.lit(errors.ONLY_DOCX_PREFIX), F.col("path"))
         ).alias("error"),
     )
-    blocks = archive_blocks(files.filter(named_right), PARTS, REQUIRED_PART, "docx")
+    blocks = archive_blocks(files.filter(named_right), PARTS, REQUIRED_PART, "docx", block_chars)
     unreadable = blocks.filter(F.col("element") == "error").select(
         F.col("path").alias("key"),
         errors.error(
@@ -71,8 +88,8 @@ def extract_docx(
             filePath=F.col("path"),
         ).alias("error"),
     )
-    texts = _block_texts(blocks)
-    cut = slicing(texts, ["doc"], ["start"], how)
+    texts = _block_texts(blocks, tables)
+    cut = slicing(texts, ["doc"], ["start"], how, counted=_item_blocks(blocks).select(F.col("path").alias("doc"), "start"))
     folded = fold_slices(
         cut.spread(texts),
         cut,
@@ -83,79 +100,276 @@ def extract_docx(
     )
     # a readable file without paragraphs still is a document
     readable = blocks.filter(F.col("element") == "file").select(F.col("path").alias("doc"))
-    documents = readable.join(folded, "doc", "left").select(
-        "doc",
-        F.coalesce("part_no", F.lit(1)).alias("part_no"),
-        F.coalesce("part_count", F.lit(1)).alias("part_count"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce("markdown", F.lit("")).alias("markdown"),
-    )
-    return WordTables(documents, wrong_type.unionByName(unreadable))
+    none = readable.join(_item_blocks(blocks).select(F.col("path").alias("doc")).distinct(), "doc", "left_anti")
+    one = F.lit(1).cast("bigint")
+    empty = none.select("doc", one.alias("part_no"), one.alias("part_count"), F.lit("").alias("text"), F.lit("").alias("markdown"))
+    return WordTables(folded.unionByName(empty), wrong_type.unionByName(unreadable))
+
+
+def _item_blocks(blocks: DataFrame) -> DataFrame:
+    return blocks.filter(F.col("element") == "i")
+
+
+def _items(xml: Column) -> Column:
+    """Items of a block with the runs of each paragraph in groups, one for each link."""
+    flat = F.regexp_replace(F.regexp_replace(xml, _WRAPPERS, ""), _TAB, "<t>&#9;</t>")
+    flat = F.regexp_replace(flat, _ON, "<$1>1</$1>")
+    flat = F.regexp_replace(flat, _EMPTY_LINK, "")
+    flat = F.regexp_replace(F.regexp_replace(flat, _OPEN, "<$1><g>"), _CLOSE, "</g></$1>")
+    flat = F.regexp_replace(F.regexp_replace(flat, _LINK, "</g><g$1>"), _LINK_END, "</g><g>")
+    return F.from_xml(flat, f"i array<{_ITEM}>", XML_OPTIONS)["i"]
+
+
+def _paragraphs(item: Column) -> Column:
+    """All paragraphs of an item: itself, or those of a row's cells."""
+    nothing = F.array().cast(f"array<{_PARAGRAPH}>")
+    in_cells = F.flatten(F.transform(item["tc"], lambda c: F.coalesce(c["p"], nothing)))
+    return F.coalesce(item["p"], in_cells, nothing)
 
 
 def _run_text(r: Column) -> Column:
     return F.coalesce(F.array_join(r["t"], ""), F.lit(""))
 
 
+def _runs(g: Column) -> Column:
+    return F.coalesce(g["r"], F.array().cast(f"array<{_RUN}>"))
+
+
 def _paragraph_text(p: Column) -> Column:
-    return F.coalesce(F.array_join(F.transform(p["r"], _run_text), ""), F.lit(""))
+    groups = F.transform(p["g"], lambda g: F.array_join(F.transform(_runs(g), _run_text), ""))
+    return F.coalesce(F.array_join(groups, ""), F.lit(""))
 
 
-def _run_markdown(r: Column) -> Column:
-    """A run in the marks of its format; white space at its ends stays outside of them."""
-    text = _run_text(r)
+def _marked(text: Column, bold: Column, italic: Column) -> Column:
+    """Text in the marks of its format; white space at its ends stays outside of them."""
     inner = F.btrim(text)
-    bold, italic = (F.coalesce(r["rPr"][x] == "1", F.lit(False)) for x in "bi")
-    opened = F.concat(F.when(bold, _BOLD).otherwise(""), F.when(italic, _ITALIC).otherwise(""))
-    closed = F.concat(F.when(italic, _UPRIGHT).otherwise(""), F.when(bold, _PLAIN).otherwise(""))
     lead = F.left(text, F.length(text) - F.length(F.ltrim(text)))
     trail = F.substr(text, F.length(F.rtrim(text)) + 1)
-    marked = F.concat(lead, opened, inner, closed, trail)
-    return F.when((inner == "") | ~(bold | italic), text).otherwise(marked)
+    opened = F.concat(F.when(bold, "**").otherwise(""), F.when(italic, "_").otherwise(""))
+    closed = F.concat(F.when(italic, "_").otherwise(""), F.when(bold, "**").otherwise(""))
+    return F.when((inner == "") | ~(bold | italic), text).otherwise(F.concat(lead, opened, inner, closed, trail))
 
 
-def _paragraph_markdown(p: Column) -> Column:
-    text = F.coalesce(F.array_join(F.transform(p["r"], _run_markdown), ""), F.lit(""))
-    # runs of one format side by side are one
-    for closed, opened in ((f"{_UPRIGHT}{_PLAIN}", f"{_BOLD}{_ITALIC}"), (_PLAIN, _BOLD), (_UPRIGHT, _ITALIC)):
-        text = F.replace(text, F.lit(closed + opened), F.lit(""))
-    return F.replace(F.translate(text, _BOLD + _PLAIN + _ITALIC + _UPRIGHT, "\ue000\ue000__"), F.lit("\ue000"), F.lit("**"))
+def _group_markdown(g: Column, targets: Column) -> Column:
+    """A group's runs, those of one format side by side as one, in a link if it is one."""
+    runs = F.transform(
+        F.filter(_runs(g), lambda r: _run_text(r) != ""),
+        lambda r: F.struct(
+            F.coalesce(r["rPr"]["b"] == "1", F.lit(False)).alias("bold"),
+            F.coalesce(r["rPr"]["i"] == "1", F.lit(False)).alias("italic"),
+            _run_text(r).alias("text"),
+        ),
+    )
 
+    def stretches(runs):
+        same = lambda a, b: (a["bold"] == b["bold"]) & (a["italic"] == b["italic"])
+        at = F.transform(runs, lambda _, i: i)
+        first = F.filter(at, lambda i: (i == 0) | ~same(F.get(runs, i), F.get(runs, i - 1)))
 
-def _paragraph_mark(p: Column) -> Column:
-    level = F.regexp_extract(p["pPr"]["pStyle"]["_val"], "^Heading([1-6])$", 1).try_cast("int")
-    listed = p["pPr"]["numPr"]
-    depth = F.coalesce(listed["ilvl"]["_val"].try_cast("int"), F.lit(0))
-    item = F.when(
-        listed["numId"]["_val"].isNotNull() & (listed["numId"]["_val"] != "0"),
-        F.concat(F.repeat(F.lit("  "), depth), F.lit("- ")),
-    )
-    return F.coalesce(F.concat(F.repeat(F.lit("#"), level), F.lit(" ")), item, F.lit(""))
+        def stretch(i, k):
+            after = F.coalesce(F.get(first, k + 1), F.size(runs))
+            text = F.array_join(F.transform(F.slice(runs, i + 1, after - i), lambda r: r["text"]), "")
+            return _marked(text, F.get(runs, i)["bold"], F.get(runs, i)["italic"])
+
+        return F.array_join(F.transform(first, stretch), "")
 
+    # arrays of one value, so that the runs are made once
+    text = F.get(F.transform(F.array(runs), stretches), 0)
+    target = F.coalesce(F.element_at(targets, g["_id"]), F.when(g["_id"].isNull(), F.concat(F.lit("#"), g["_anchor"])))
+    linked = lambda t: F.when(
+        target.isNotNull() & (F.btrim(t) != ""), F.concat(F.lit("["), t, F.lit("]("), target, F.lit(")"))
+    ).otherwise(t)
+    return F.get(F.transform(F.array(text), linked), 0)
 
-def _block_texts(blocks: DataFrame) -> DataFrame:
+
+def _paragraph_markdown(p: Column, targets: Column) -> Column:
+    return F.coalesce(F.array_join(F.transform(p["g"], lambda g: _group_markdown(g, targets)), ""), F.lit(""))
+
+
+def _properties(p: Column) -> Column:
+    return F.get(p["g"], 0)["pPr"]
+
+
+def _list_of(p: Column) -> tuple[Column, Column]:
+    """The list and the level of a list item; NULL for other paragraphs."""
+    listed = _properties(p)["numPr"]
+    number = F.when(listed["numId"]["_val"] != "0", listed["numId"]["_val"])
+    level = F.coalesce(listed["ilvl"]["_val"].try_cast("int"), F.lit(0))
+    return number, F.least(F.greatest(level, F.lit(0)), F.lit(LEVELS - 1))
+
+
+def _list_mark(p: Column, number: Column) -> Column:
+    """``number`` is that of the item in a numbered list, NULL in any other."""
+    list_id, level = _list_of(p)
+    mark = F.coalesce(F.concat(number.cast("string"), F.lit(". ")), F.lit("- "))
+    return F.when(list_id.isNotNull(), F.concat(F.repeat(F.lit("  "), level), mark))
+
+
+def _heading_mark(p: Column) -> Column:
+    level = F.regexp_extract(_properties(p)["pStyle"]["_val"], "^Heading([1-6])$", 1).try_cast("int")
+    return F.concat(F.repeat(F.lit("#"), level), F.lit(" "))
+
+
+def _block_texts(blocks: DataFrame, tables: bool) -> DataFrame:
     """Text and Markdown of each block: its paragraphs are at hand in order already."""
-    flat = F.regexp_replace(F.regexp_replace("xml", _WRAPPERS, ""), _TAB, "<t>&#9;</t>")
-    flat = F.regexp_replace(flat, _ON, "<$1>1</$1>")
-    paragraphs = F.from_xml(flat, f"p array<{_PARAGRAPH}>", XML_OPTIONS)["p"]
-    lines = F.transform(
-        "_ps",
-        lambda p: F.struct(
-            _paragraph_text(p).alias("text"),
-            F.concat(_paragraph_mark(p), _paragraph_markdown(p)).alias("markdown"),
-        ),
+    side = _numbers(blocks).join(_targets(blocks), ["path", "start"], "full")
+    parsed = (
+        _item_blocks(blocks)
+        .select("path", "start", _items(F.col("xml")).alias("_items"))
+        .join(side, ["path", "start"], "left")
+        .select(
+            F.col("path").alias("doc"),
+            "start",
+            "_items",
+            F.coalesce("_numbers", F.create_map().cast("map<int,bigint>")).alias("_numbers"),
+            F.coalesce("_targets", F.create_map().cast("map<string,string>")).alias("_targets"),
+        )
     )
-    end = F.lit("\n\n")
+    # an item's first paragraph has the number of all paragraphs before it
+    sizes = F.transform("_items", lambda i: F.size(_paragraphs(i)))
+    before = F.transform("_items", lambda _, k: F.aggregate(F.slice("_sizes", F.lit(1), k), F.lit(0), lambda s, n: s + n))
+    end, targets = F.lit("\n\n"), F.col("_targets")
+
+    def line(p, at):
+        mark = F.coalesce(_heading_mark(p), _list_mark(p, F.element_at("_numbers", at)), F.lit(""))
+        return F.concat(mark, _paragraph_markdown(p, targets), end)
+
+    def cell(ps, at):
+        lines = F.transform(
+            ps, lambda p, k: F.concat(F.coalesce(_list_mark(p, F.element_at("_numbers", at + k)), F.lit("")), _paragraph_markdown(p, targets))
+        )
+        return F.replace(F.array_join(F.filter(lines, lambda t: t != ""), "<br>"), F.lit("|"), F.lit("\\|"))
+
+    def row(item, at):
+        cells = F.coalesce(item["tc"], F.array().cast(f"array<struct<p:array<{_PARAGRAPH}>>>"))
+        of = lambda c: F.coalesce(c["p"], F.array().cast(f"array<{_PARAGRAPH}>"))
+        place = lambda k: at + F.aggregate(F.slice(cells, F.lit(1), k), F.lit(0), lambda s, c: s + F.size(of(c)))
+        texts = F.array_join(F.transform(cells, lambda c, k: cell(of(c), place(k))), " | ")
+        rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(cells)), F.lit("\n"))
+        drawn = F.concat(F.lit("| "), texts, F.lit(" |\n"), F.when(item["_n"] == 0, rule).otherwise(""))
+        return F.when(F.size(cells) > 0, drawn).otherwise("")
+
+    def markdown(item, k):
+        at = F.get("_before", k)
+        lines = F.array_join(F.transform(_paragraphs(item), lambda p, j: line(p, at + j)), "")
+        if not tables:
+            return lines
+        return F.when(item["_k"] == "r", row(item, at)).when(item["_k"] == "e", F.lit("\n")).otherwise(lines)
+
+    def text(item):
+        return F.array_join(F.transform(_paragraphs(item), lambda p: F.concat(_paragraph_text(p), end)), "")
+
     return (
-        blocks.filter(F.col("element") == "p")
-        .select(F.col("path").alias("doc"), "start", paragraphs.alias("_ps"))
-        .select("doc", "start", lines.alias("_lines"))
+        parsed.withColumn("_sizes", sizes)
+        .withColumn("_before", before)
         .select(
             "doc",
             "start",
-            F.array_join(F.transform("_lines", lambda x: F.concat(x["text"], end)), "").alias("text"),
-            F.array_join(
-                F.transform("_lines", lambda x: F.concat(x["markdown"], end)), ""
-            ).alias("markdown"),
+            F.array_join(F.transform("_items", text), "").alias("text"),
+            F.array_join(F.transform("_items", markdown), "").alias("markdown"),
         )
     )
+
+
+def _targets(blocks: DataFrame) -> DataFrame:
+    """``path, start, _targets``: where the links of a block lead, for blocks that have some."""
+    ids = F.regexp_extract_all("xml", F.lit(r"<(?:\w+:)?hyperlink\s[^>]*?\bid\s*=\s*[\"']([^\"']*)[\"']"), 1)
+    asked = (
+        _item_blocks(blocks)
+        .where(F.contains("xml", F.lit("hyperlink")))
+        .select("path", "start", F.explode(F.array_distinct(ids)).alias("id"))
+    )
+    known = _parsed(blocks, "Relationship", "array<struct<_Id:string,_Target:string>>").select(
+        "path", F.col("item._Id").alias("id"), F.col("item._Target").alias("target")
+    )
+    one = known.where("target is not null").groupBy("path", "id").agg(F.min("target").alias("target"))
+    pairs = F.array_sort(F.collect_list(F.struct("id", "target")))
+    return asked.join(one, ["path", "id"]).groupBy("path", "start").agg(F.map_from_entries(pairs).alias("_targets"))
+
+
+def _parsed(blocks: DataFrame, element: str, schema: str) -> DataFrame:
+    found = F.from_xml("xml", f"{element} {schema}", XML_OPTIONS)[element]
+    return blocks.filter(F.col("element") == element).select("path", F.explode_outer(found).alias("item"))
+
+
+def _levels(blocks: DataFrame) -> DataFrame:
+    """``path, list, level, is_numbered, first`` of every level that a list defines."""
+    kinds = (
+        _parsed(
+            blocks,
+            "abstractNum",
+            "array<struct<_abstractNumId:string,lvl:array<struct<_ilvl:int,start:struct<_val:string>,numFmt:struct<_val:string>>>>>",
+        )
+        .select("path", F.col("item._abstractNumId").alias("kind"), F.explode("item.lvl").alias("l"))
+        .select(
+            "path", "kind", F.col("l._ilvl").alias("level"), (F.coalesce("l.numFmt._val", F.lit("decimal")) != "bullet").alias("is_numbered"),
+            F.col("l.start._val").try_cast("bigint").alias("start"),
+        )
+    )
+    lists = _parsed(
+        blocks,
+        "num",
+        "array<struct<_numId:string,abstractNumId:struct<_val:string>,"
+        "lvlOverride:array<struct<_ilvl:int,startOverride:struct<_val:string>>>>>",
+    ).select("path", F.col("item._numId").alias("list"), F.col("item.abstractNumId._val").alias("kind"), F.col("item.lvlOverride").alias("over"))
+    own = F.get(F.filter("over", lambda o: (o["_ilvl"] == F.col("level")) & o["startOverride"].isNotNull()), 0)
+    first = F.coalesce(own["startOverride"]["_val"].try_cast("bigint"), "start", F.lit(1))
+    return lists.join(kinds, ["path", "kind"]).groupBy("path", "list", "level").agg(
+        F.max("is_numbered").alias("is_numbered"), F.max(first).alias("first")
+    )
+
+
+def _numbers(blocks: DataFrame) -> DataFrame:
+    """``path, start, _numbers``: of a block's paragraphs that are items of numbered lists, their numbers.
+
+    Within a block, items of a level are counted since the last item of a level above. What
+    a block hands on is, for each level, whether it had an item of a level above and how
+    many items came after the last one: two blocks' states make one, so a list goes on
+    from block to block by a running sum over one row for each block, list and level.
+    """
+    inside = F.flatten(F.transform(_items(F.col("xml")), _paragraphs))
+    number, level = _list_of(F.col("p"))
+    items = (
+        _item_blocks(blocks)
+        .where(F.contains("xml", F.lit("numPr")))
+        .select("path", "start", F.posexplode(inside).alias("at", "p"))
+        .select("path", "start", "at", number.alias("list"), level.alias("level"))
+        .where("list is not null")
+    )
+    items = write_and_read(items, "list-items")
+    block = ["path", "start", "list"]
+    so_far = Window.partitionBy(*block).orderBy("at")
+    above = F.array(*[F.count(F.when(F.col("level") < n, 1)).over(so_far) for n in range(LEVELS)])
+    own = (
+        items.withColumn("stretch", F.get(above, F.col("level")))
+        .withColumn("nth", F.row_number().over(Window.partitionBy(*block, "level", "stretch").orderBy("at")))
+    )
+    # a block's state: a row for each level from the highest in it downwards
+    held = items.groupBy(*block, "level").agg(F.count(F.lit(1)).alias("k"))
+    per_level = F.transform(
+        F.sequence(F.lit(0), F.lit(LEVELS - 1)),
+        lambda n: F.struct(n.alias("level"), F.aggregate("held", F.lit(0).cast("bigint"), lambda s, h: s + F.when(h["level"] < n, h["k"]).otherwise(0)).alias("stretches")),
+    )
+    state = (
+        held.groupBy(*block)
+        .agg(F.collect_list(F.struct("level", "k")).alias("held"))
+        .select(*block, F.explode(per_level).alias("s"))
+        .select(*block, "s.level", "s.stretches")
+        .join(own.groupBy(*block, "level", "stretch").agg(F.max("nth").alias("n")).withColumnRenamed("stretch", "stretches"), [*block, "level", "stretches"], "left")
+        .select(*block, "level", (F.col("stretches") > 0).alias("fresh"), F.coalesce("n", F.lit(0)).alias("n"))
+    )
+    in_list = Window.partitionBy("path", "list", "level").orderBy("start")
+    carried = (
+        state.withColumn("run", F.sum(F.col("fresh").cast("int")).over(in_list))
+        .withColumn("sum", F.sum("n").over(Window.partitionBy("path", "list", "level", "run").orderBy("start")))
+        .withColumn("before", F.coalesce(F.lag("sum").over(in_list), F.lit(0)))
+        .select(*block, "level", "before")
+    )
+    number = F.col("first") - 1 + F.col("nth") + F.when(F.col("stretch") == 0, F.col("before")).otherwise(0)
+    numbered = (
+        own.join(carried, [*block, "level"])
+        .join(_levels(blocks).where("is_numbered"), ["path", "list", "level"])
+        .select("path", "start", "at", number.cast("bigint").alias("number"))
+    )
+    pairs = F.array_sort(F.collect_list(F.struct("at", "number")))
+    return numbered.groupBy("path", "start").agg(F.map_from_entries(pairs).alias("_numbers"))

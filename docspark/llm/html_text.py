@@ -13,7 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,7 +25,7 @@ SAMPLE_PAGES = 2_000  # pages with labels by their markup that a model is fitted
 LAYOUT_WEIGHT = 8  # what a labelled layout counts beside a page
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)",  # quotes count after = only
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
@@ -98,6 +98,7 @@ def parse(page: str | None, labels: bool = False) -> tuple[list[Node], list[tupl
     nodes = [Node("page", -1, (), 0 if labels else None)]
     blocks: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open elements with the node that holds their text
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a tag are
     text: list[str] = []
     linked: list[int] = []
     at, silent, here, links = 0, 0, 0, 0
@@ -117,6 +118,7 @@ def parse(page: str | None, labels: bool = False) -> tuple[list[Node], list[tupl
     def pop_to(depth):
         nonlocal here, silent, links
         for tag, _ in stack[depth:]:
+            places[tag].pop()
             silent -= tag in _SILENT
             links -= tag == "a"
         if any(tag in _BLOCK or tag in _SILENT for tag, _ in stack[depth:]):
@@ -125,12 +127,8 @@ def parse(page: str | None, labels: bool = False) -> tuple[list[Node], list[tupl
         here = stack[-1][1] if stack else 0
 
     def last_open(tags, border):
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in border:
-                return -1
-        return -1
+        last = max((places[t][-1] for t in tags if places.get(t)), default=-1)
+        return last if all(places[t][-1] <= last for t in border if places.get(t)) else -1
 
     size = len(page)
     while at < size:
@@ -171,7 +169,7 @@ def parse(page: str | None, labels: bool = False) -> tuple[list[Node], list[tupl
             close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
             at = close.end() if close else size
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
         if tag in _BLOCK and not silent:
             flush()
@@ -186,6 +184,7 @@ def parse(page: str | None, labels: bool = False) -> tuple[list[Node], list[tupl
             flush()
             silent += 1
         links += tag == "a"
+        places[tag].append(len(stack))
         stack.append((tag, here))
     flush()
     for node in reversed(nodes):

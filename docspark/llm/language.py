@@ -14,20 +14,28 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import Growing, mapped, ship, written
 
 SAMPLE_ROWS = 8_000  # labelled rows that a model is fitted on, about
-MAX_WORDS = 40_000  # size of a model: its most frequent words and n-grams
-MAX_GRAMS = 40_000
+MAX_WORDS = 20_000  # of each language: its most frequent words, and as many n-grams
+MAX_GRAMS = 20_000
 LONGEST = 5
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")  # letters, and numbers that are no digits such as \u00b2
 _CACHE_WORDS = 400_000
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in small letters."""
+    found = _WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
+
+
 def grams(word: str, size: int) -> list[str]:
     marked = f"<{word}>" if size > 1 else word
     return [marked[i : i + size] for i in range(len(marked) - size + 1)]
@@ -43,7 +51,7 @@ def _counted(batches):
         counts: dict[tuple[str, str], int] = Counter()
         for lang, text in zip(batch["lang"], batch["text"]):
             if text is not None:
-                for word, n in Counter(_WORD.findall(text.lower())).items():
+                for word, n in Counter(words_of(text)).items():
                     counts[lang, word] += n
         found = Counter()
         for (lang, word), n in counts.items():
@@ -55,23 +63,14 @@ def _counted(batches):
         yield pd.DataFrame(rows, columns=["lang", "size", "unit", "n"])
 
 
-def _most_frequent(units: DataFrame, most: int) -> DataFrame:
-    """The units above the count that leaves at most ``most`` of them; ties stay together."""
-    least, size = None, 0
-    for total, n in sorted(units.groupBy("total").count().collect(), reverse=True):
-        size += n
-        if size > most:
-            break
-        least = total
-    return units.where(F.lit(False) if least is None else F.col("total") >= least)
-
-
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     """A model from labelled rows ``(doc_id, text, lang)``; rows with a null lang go.
 
     Above ``sample_rows`` labelled rows, about so many are taken by the hash of
-    their id, whole texts each. The model keeps the most frequent units, so its
-    size has a bound whatever the size of the table.
+    their id, whole texts each. The model keeps the ``MAX_WORDS`` most frequent words
+    and ``MAX_GRAMS`` n-grams of every language that has a word, ties by the unit, so its size
+    has a bound whatever the size of the table, and no language is lost beside a large
+    one. Repeated rows count each; a table without words gives a model without languages.
     """
     rows = labelled.where("lang is not null").select("doc_id", "text", "lang")
     share = min(1.0, sample_rows / max(1, rows.count()))
@@ -82,17 +81,20 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
         .groupBy("lang", "size", "unit")
         .agg(F.sum("n").alias("n"))
     )
-    by_unit = counts.groupBy("size", "unit").agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")
-    )
-    by_unit = written(by_unit, "language-units")
-    kept = _most_frequent(by_unit.where("size = 0"), MAX_WORDS).unionAll(
-        _most_frequent(by_unit.where("size > 0"), MAX_GRAMS)
+    counts = written(counts, "language-units")
+    kind = F.col("size") > 0
+    by_count = Window.partitionBy("lang", kind).orderBy(F.desc("n"), "size", "unit")
+    most = F.when(kind, MAX_GRAMS).otherwise(MAX_WORDS)
+    kept = counts.withColumn("nth", F.row_number().over(by_count)).where(F.col("nth") <= most)
+    # a unit that one language keeps counts in all
+    by_unit = (
+        counts.join(kept.select("size", "unit").distinct(), ["size", "unit"], "left_semi")
+        .groupBy("size", "unit")
+        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
     )
-    names = kept.select(F.explode(F.map_keys("by_lang")).alias("lang")).distinct()
-    langs = sorted(r["lang"] for r in names.collect())
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     n_of = [F.coalesce(F.col("by_lang")[lang], F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
-    found = kept.select("size", "unit", *n_of).toArrow()
+    found = by_unit.select("size", "unit", *n_of).toArrow()
     sizes = found["size"].to_numpy()
     counts_of = np.zeros((len(langs), len(sizes)))
     for i in range(len(langs)):
@@ -133,7 +135,7 @@ class Scorer:
         self.scores = [Growing(np.float64) for _ in self.langs]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
         if len(self.at) > _CACHE_WORDS:
@@ -183,7 +185,8 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Fit on the rows that are not held out, then predict all rows of ``docs``.
 
     Adds ``held_out``, ``lang_pred`` and ``score``. A row with a null doc_id is
-    neither held out nor learned from.
+    neither held out nor learned from. Repeated rows are predicted each, texts of any length
+    are read whole, and an empty table gives an empty result.
     """
     marked = docs.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     learned = docs.where(~held_out(F.col("doc_id")))

@@ -147,10 +147,21 @@ class Encoder:
             return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.spelt))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _joins(self, word: bytes) -> bool:
+        """Whether a point or comma after this word may be one piece with its last characters."""
+        if not word or word[-1] < 128:
+            return not word[-1:].isalnum()
+        text = word.decode("utf-8", "replace")
+        # a small letter that stays one when composed and lowered
+        if "\u00df" <= text[-1] <= "\u024f" and text[-1].islower():
+            return False
+        apart = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        return any(apart(text + stop) != apart(text) + apart(stop) for stop in ".,")
+
     def _clear(self):
         self.at = _Words()
         self.lengths, self.starts, self.flat = Growing(np.int64), Growing(np.int64), Growing(np.uint32)
-        self.joins = Growing(bool)  # words that may not be parted from a point after them
+        self.joins = Growing(bool)
         self.stops = self._codes([b".", b","])
 
     def _codes(self, words: list[bytes]) -> np.ndarray:
@@ -161,7 +172,7 @@ class Encoder:
             self.lengths.extend(lengths)
             self.starts.extend(self.flat.n + np.cumsum(lengths) - lengths)
             self.flat.extend(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())))
-            self.joins.extend([not w.decode("utf-8", "replace")[-1:].isalnum() for w in new])
+            self.joins.extend(list(map(self._joins, new)))
             new.clear()
         return codes
 
@@ -204,7 +215,7 @@ class Encoder:
             plain = pc.replace_substring(plain, stop, " " + stop)
         split = pc.ascii_split_whitespace(plain)
         words = split.flatten().dictionary_encode()
-        known = self._codes(_small([w.encode() for w in words.dictionary.to_pylist()]))
+        known = self._codes(_small([w.encode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()]))
         codes = known[words.indices.to_numpy(zero_copy_only=False)]
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
         is_stop = (codes == self.stops[0]) | (codes == self.stops[1])

@@ -76,3 +76,22 @@ def test_odd_rows(spark, model):
     assert len(found) == 6 and by[1] == by[2] == by[3] == "" and len(by[4]) == 12 * 50_000 - 1
     assert by[None] == " ".join(["word"] * 20)
     assert H.extract(pages).count() == 6 and H.extract(pages.limit(0)).count() == 0
+
+
+def test_quotes_count_in_values_only():
+    blocks = lambda page: [t for _, t in H.parse(page)[1]]
+    assert blocks('<p>a <img alt="5" wide"> b</p><p title=it\'s>c</p><p x = "a > b" y=\'>\'>d</p>') == ["a b", "c", "d"]
+    assert blocks("<p class='a'b'>e</p><p a='open>h</p>") == ["e", "h"]
+
+
+def test_many_open_elements_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<div><p>" + "<b>x<i>" * n + "<div>y</div></i></b><p>z" * n
+        began = time.process_time()
+        H.parse(page)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 40 * max(seconds(1_000), 0.005)

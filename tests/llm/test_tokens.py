@@ -29,6 +29,26 @@ def test_encoding_equals_the_tokenizer(text):
     assert ids.tolist() == want + more + want and counts.tolist() == [len(want), 0, len(more), len(want)]
 
 
+ODD = "aI\u0130\u0958\ufb1d\ufb2aJ\u030c\u0301\u0307\u00e9\u00df\u00b2\u00bd\u2167\u216e\u2460\u6f22\u30cf\u3099\u0e33\ufb01\U0001f600.,;' \n"
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(alphabet=ODD, max_size=8), max_size=6))
+def test_points_after_letters_that_change(parts):
+    texts = [p + stop for p in parts for stop in (". x", ", ", ".\n", "")]
+    want = [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = ENCODER.encode_all(pa.array(texts, pa.string()))
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_every_letter_before_a_point():
+    """All characters of the first planes, in one text each that the tokenizer reads whole."""
+    texts = [f"a{chr(c)}. b{chr(c)}, c" for c in [*range(33, 0xD800), *range(0xE000, 0x11000), *range(0x1D400, 0x1D800)]]
+    want = [e.ids for e in ENCODER.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, counts = ENCODER.encode_all(pa.array(texts, pa.string()))
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
 def test_pieces_are_cut_at_white_space():
     raw = b"aa bb\ncc" + b"d" * 50 + b" ee  ff"
     for size in range(1, 70):

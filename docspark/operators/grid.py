@@ -331,12 +331,13 @@ def workbook_markdown(
     part_bytes: int = DEFAULT_PART_BYTES,
     how: Splitting | None = Splitting(),
     counted: DataFrame | None = None,
+    counted_weight: Column | None = None,
 ) -> DataFrame:
     """Sheets of each workbook in order, a line break between them.
 
     Gives ``doc, part_no, part_count, markdown``. Hot workbooks are looked for in
-    ``counted``, such as the table of sheets, so that the grid is built once; a
-    part outweighs a sheet, so sheets of a workbook bound its parts from below.
+    ``counted``, such as the table of cells with the bytes that each prints as
+    ``counted_weight``, so that the grid is built once unless a workbook is hot.
     """
     # a sheet's first part always has number 1
     between = F.when(F.col("sheet_part") == 1, "\n").otherwise("")
@@ -350,4 +351,6 @@ def workbook_markdown(
         part_bytes,
         how,
         counted,
+        F.octet_length("markdown"),
+        counted_weight,
     )

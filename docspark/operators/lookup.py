@@ -1,4 +1,4 @@
-"""Joins to a table with one row per key, whatever share of the rows a key has."""
+"""Joins to a table by key, whatever share of the rows a key has."""
 
 from __future__ import annotations
 
@@ -35,8 +35,9 @@ def lookup(
         marked = marked.withColumns({"_hot": F.lit(None), "_is_hot": F.lit(None).cast("boolean")})
     else:
         packed = table.select(*keys, F.struct(*values).alias("_hot"))
-        known = packed.join(F.broadcast(found[0]), keys)
-        served = found[0].join(F.broadcast(known), keys, "left").withColumn("_is_hot", F.lit(True))
+        hot = found.table.select(*keys)
+        known = packed.join(F.broadcast(hot), keys)
+        served = hot.join(F.broadcast(known), keys, "left").withColumn("_is_hot", F.lit(True))
         marked = marked.join(F.broadcast(served), keys, "left")
     # what the spread is does not matter, as long as no row of the table has it
     spread = F.when(F.coalesce("_is_hot", F.lit(False)) | ~whole, places).otherwise(F.lit(0))
@@ -50,6 +51,31 @@ def lookup(
     )
 
 
+def expand(
+    df: DataFrame, table: DataFrame, keys: Sequence[str], how: Splitting | None = Splitting()
+) -> DataFrame:
+    """Inner join of ``df`` to all rows of ``table`` with its key, such as a document's parts.
+
+    A key that holds more than its fair share of ``df`` is cut to slices of a fair share by a
+    hash of the row, and its rows in ``table`` are repeated for each slice: so many times
+    as rows of ``df`` make a fair share, over all keys ``2 * slices`` times at most. One task
+    joins one slice. The hot keys, fewer than ``slices``, are broadcast.
+    """
+    keys = list(keys)
+    found = None if how is None or df.isStreaming else hot_keys(df, keys, how)
+    if found is None:
+        return df.join(table, keys)
+    sliced = found.table.select(*keys, F.ceil(F.col("_n") / found.fair_rows).cast("int").alias("_slices"))
+    n = F.coalesce("_slices", F.lit(1))
+    own = F.pmod(F.xxhash64(*_hashable(df)), n).cast("int").alias("_slice")
+    spread = df.join(F.broadcast(sliced), keys, "left").select(*df.columns, own)
+    each = F.explode(F.sequence(F.lit(0), n - 1)).alias("_slice")
+    repeated = table.join(F.broadcast(sliced), keys, "left").select(*table.columns, each)
+    # by key and slice: partitioning by key alone would satisfy the join as well
+    spread, repeated = (side.repartition(*keys, "_slice") for side in (spread, repeated))
+    return spread.join(repeated, [*keys, "_slice"]).drop("_slice")
+
+
 def _hashable(df: DataFrame) -> list[str]:
     """Columns that have a hash: all but maps and variants."""
     return [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]

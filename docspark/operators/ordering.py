@@ -3,16 +3,17 @@
 A page list, a sheet or a document can hold a large share of all rows, so
 neither a plain window per key nor one string per key is safe. Two measures:
 
-* Keys above a fair share are cut into slices: ranges of the order columns,
-  bounded by order values sampled by hash. One task sorts one slice, and offsets
+* Keys above a fair share of the rows, or of the bytes where rows are weighed, are cut
+  into slices: ranges of the order columns, bounded by order values sampled by hash, in
+  proportion to rows and bytes. One task sorts one slice, and offsets
   between slices come from counts. Whether such keys exist is asked first, by one
   aggregate over the key columns; without them the plan is a plain window.
 * Text is folded into parts of bounded size, cut by the running size over the whole
   key and numbered 1 to ``part_count``. Parts in ``part_no`` order are the whole
   text; a text below the limit is one part. Slices do not show in the result.
 
-Sizes: with ``slices`` = S at most S keys can exceed 1/S of the rows, and the
-expected number of slice bounds over all hot keys is at most 2 * S. That does
+Sizes: with ``slices`` = S at most S keys can exceed 1/S of the rows and as many 1/S of
+the bytes, and the expected number of slice bounds over all hot keys is at most 4 * S. That does
 not grow with the data, so the driver may hold the bounds and joins to them
 are broadcast. Sampling by hash is a function of the row's order value, so the
 bounds are the same whenever they are asked for.
@@ -35,10 +36,11 @@ DEFAULT_PART_BYTES = 16 * 1024 * 1024
 
 @dataclass(frozen=True)
 class Splitting:
-    """A key is hot above ``min_rows`` rows and above 1/``slices`` of all rows."""
+    """A key is hot above ``min_rows`` rows and 1/``slices`` of all rows, or the same in bytes."""
 
     slices: int = 2048
     min_rows: int = 200_000
+    min_bytes: int = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -91,20 +93,33 @@ class Slicing:
         return Window.partitionBy(*self.columns).orderBy(*self.order)
 
 
+@dataclass(frozen=True)
+class HotKeys:
+    """Keys above their fair share (``table``: keys, ``_n`` rows) and these shares."""
+
+    table: DataFrame
+    fair_rows: int
+    fair_bytes: int
+
+
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], how: Splitting
-) -> tuple[DataFrame, int] | None:
-    """The keys above their fair share of rows and that share, or None without such keys.
+    df: DataFrame, keys: Sequence[str], how: Splitting, weight: Column | None = None
+) -> HotKeys | None:
+    """The keys above their fair share of rows, or of ``weight`` in bytes; None without such keys.
 
-    Fewer than ``slices`` keys, whatever the size of the data.
+    Fewer than ``slices`` keys by each measure, whatever the size of the data.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    seen = sizes.agg(F.sum("_n").alias("rows"), F.max("_n").alias("largest")).first()
+    heavy = F.lit(0) if weight is None else F.coalesce(weight, F.lit(0))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(heavy.cast("bigint")).alias("_w"))
+    seen = sizes.agg(
+        F.sum("_n").alias("rows"), F.max("_n").alias("largest"), F.sum("_w").alias("bytes"), F.max("_w").alias("heaviest")
+    ).first()
     fair = max(how.min_rows, -(-(seen.rows or 0) // how.slices))
-    if (seen.largest or 0) <= fair:
+    fair_bytes = max(how.min_bytes, -(-(seen.bytes or 0) // how.slices))
+    if (seen.largest or 0) <= fair and (seen.heaviest or 0) <= fair_bytes:
         return None
-    hot = sizes.filter(F.col("_n") > fair).select(*keys)
-    return df.sparkSession.createDataFrame(hot.toArrow(), hot.schema), fair
+    hot = sizes.filter((F.col("_n") > fair) | (F.col("_w") > fair_bytes)).select(*keys, "_n")
+    return HotKeys(df.sparkSession.createDataFrame(hot.toArrow(), hot.schema), fair, fair_bytes)
 
 
 def slicing(
@@ -113,28 +128,37 @@ def slicing(
     order: Sequence[str],
     how: Splitting | None = Splitting(),
     counted: DataFrame | None = None,
+    weight: Column | None = None,
+    counted_weight: Column | None = None,
 ) -> Slicing:
     """Look for hot keys and choose slice bounds for them. ``how=None`` never splits.
 
-    ``counted`` is a table to count keys in, where one is cheaper to read than ``df``.
+    ``weight`` is the bytes of a row. ``counted`` is a table to count keys in, where one is
+    cheaper to read than ``df``, and ``counted_weight`` the bytes that one of its rows stands for.
     """
     plain = Slicing(tuple(keys), tuple(order))
     if how is None:
         return plain
-    found = hot_keys(df if counted is None else counted, keys, how)
+    found = hot_keys(df, keys, how, weight) if counted is None else hot_keys(counted, keys, how, counted_weight)
     if found is None:
         return plain
-    hot, fair = found
+    # a row is drawn as often as its part of a fair share, in rows or bytes, asks for
+    share = F.lit(_OVERSAMPLE / found.fair_rows)
+    if weight is not None:
+        share = F.greatest(share, F.coalesce(weight, F.lit(0)) * F.lit(_OVERSAMPLE / found.fair_bytes))
+    chance = F.pmod(F.xxhash64(*order), F.lit(1 << 30)) / F.lit(1 << 30)
+    copies = F.floor(share) + F.when(chance < share - F.floor(share), 1).otherwise(0)
+    at = F.array_repeat(F.struct(*order), F.least(copies, F.lit(_OVERSAMPLE)).cast("int"))
+    wanted = df if weight is not None else df.select(*dict.fromkeys([*keys, *order]))
     sampled = (
-        df.select(*dict.fromkeys([*keys, *order]))
-        .join(F.broadcast(hot), [*keys])
-        .filter(F.pmod(F.xxhash64(*order), F.lit(max(1, fair // _OVERSAMPLE))) == 0)
+        wanted.join(F.broadcast(found.table.select(*keys)), [*keys])
+        .select(*keys, F.explode(at).alias("_at"))
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set(F.struct(*order))).alias("_sampled"))
+        .agg(F.sort_array(F.collect_list("_at")).alias("_sampled"))
     )
     every = F.filter("_sampled", lambda _, i: i % _OVERSAMPLE == _OVERSAMPLE - 1)
-    bounds = sampled.select(*keys, every.alias("_bounds"))
-    # about 2 * slices order values in all: computed once and held by the driver
+    bounds = sampled.select(*keys, F.array_distinct(every).alias("_bounds"))
+    # about 4 * slices order values in all at most: computed once and held by the driver
     held = bounds.toArrow()
     most = max(map(len, held["_bounds"].to_pylist()), default=0)
     if not most:
@@ -262,13 +286,16 @@ def join_in_order(
     part_bytes: int = DEFAULT_PART_BYTES,
     how: Splitting | None = Splitting(),
     counted: DataFrame | None = None,
+    weight: Column | None = None,
+    counted_weight: Column | None = None,
 ) -> DataFrame:
     """Join texts per key in order into ``name``, one row per part of bounded size.
 
     ``separator`` stands before every row but the key's first. ``counted`` is a
-    table to look for hot keys in, where one is cheaper to read than ``df``.
+    table to look for hot keys in, where one is cheaper to read than ``df``, and weights are
+    bytes of a row, as for ``slicing``.
     """
-    cut = slicing(df, keys, order, how, counted)
+    cut = slicing(df, keys, order, how, counted, weight, counted_weight)
     lead = separator if isinstance(separator, Column) else F.lit(separator)
     led = (
         cut.spread(df.select(*dict.fromkeys([*keys, *order]), F.col(text).alias("_text"), lead.alias("_lead")))

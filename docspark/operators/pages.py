@@ -125,9 +125,12 @@ def assemble_pages(
     Gives ``doc, part_no, part_count, content, page_count``, where ``page_count`` is the
     number of pages in the part; documents below ``part_bytes`` have one part.
     Without ``merge`` it gives ``doc, page_no, content``, a row per page, and
-    without ``headings`` no heading lines.
+    without ``headings`` no heading lines. A column ``octets`` with the bytes of
+    ``content`` spares reading the content to look for large documents.
     """
-    cut = slicing(pages, DOC, BY_PATH, how)
+    octets = F.col("octets") if "octets" in pages.columns else F.octet_length("content")
+    weighed = pages.select("doc", "image_path", octets.alias("octets"))
+    cut = slicing(weighed, DOC, BY_PATH, how, weight=F.col("octets"))
     body = F.coalesce("content", F.lit(""))
     numbered = number_slices(
         pages.select("doc", "image_path", body.alias("body")), cut, "page_no", "alone"

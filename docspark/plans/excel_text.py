@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.operators.lookup import lookup
+from docspark.operators.lookup import expand, lookup
 from docspark.operators.ordering import DEFAULT_PART_BYTES, Splitting
 from docspark.operators.pages import (
     assemble_pages,
@@ -44,14 +44,13 @@ def excel_text(
     doc = F.when(chosen.isNull(), F.col("file_path")).otherwise(F.concat_ws("\n", "file_path", chosen))
     asked = good.select("request_id", "file_path", doc.alias("doc"), chosen.alias("chosen"))
     documents = asked.select("doc", "file_path", "chosen").distinct()
-    wanted = pages.withColumnRenamed("doc", "file_path").join(documents, "file_path")
+    wanted = expand(pages.withColumnRenamed("doc", "file_path"), documents, ["file_path"], how)
     if by_sheet:
         listed_sheets = F.from_json("chosen", "array<string>")
         wanted = wanted.where(F.col("chosen").isNull() | F.array_contains(listed_sheets, F.col("sheet")))
     # read four times below, twice without the content
-    replies = write_and_read(
-        normalise_responses(wanted.select("doc", "image_path", "content", "call_error")), "replies"
-    )
+    answered = normalise_responses(wanted.select("doc", "image_path", "content", "call_error"))
+    replies = write_and_read(answered.withColumn("octets", F.octet_length("content")), "replies")
     asked, documents = asked.select("request_id", "doc"), documents.select("doc")
     whole, failures = fail_whole_document(replies)
     manifest = page_manifest(documents, replies, how=how)
@@ -64,12 +63,12 @@ def excel_text(
         listed.join(failed.select(F.col("key").alias("doc")), "doc", "left_anti")
         .withColumnRenamed("part_count", "lists")
         .join(content.withColumnRenamed("part_count", "texts"), ["doc", "part_no"], "full")
-        # the longer of the two says how many there are; all parts of one are in one window
-        .withColumn("part_count", F.max(F.greatest("lists", "texts")).over(Window.partitionBy("doc")))
+        # the longer of the two says how many there are: it has each part that the other has
+        .withColumn("part_count", F.greatest("lists", "texts"))
         .select("doc", "part_no", "part_count", "content", "images", "page_count")
     )
     results = result_envelope(
-        asked.join(result, "doc"),
+        expand(asked, result, ["doc"], how),
         {
             "sourceType": F.lit("excel"),
             "textFormat": F.lit("markdown"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.operators.lookup import lookup
+from docspark.operators.lookup import expand, lookup
 from docspark.operators.ordering import DEFAULT_PART_BYTES, Splitting
 from docspark.operators.requests import split_errors, triage
 from docspark.operators.results import result_envelope, select_format
@@ -30,7 +30,7 @@ def word_text(
     wanted = good.select(F.col("file_path").alias("path")).distinct()
     word = extract_docx(files.join(wanted, "path", "left_semi"), part_bytes, how)
     asked = good.select("request_id", F.col("file_path").alias("doc"), "format")
-    chosen = select_format(asked.join(word.documents, "doc"), F.col("format"))
+    chosen = select_format(expand(asked, word.documents, ["doc"], how), F.col("format"))
     results = result_envelope(
         chosen,
         {"sourceType": "source_type", "textFormat": "text_format", "content": "content"},

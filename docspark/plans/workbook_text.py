@@ -42,4 +42,6 @@ def workbooks_to_markdown(
     cells = write_and_read(tables.cells.drop("formula", "type", "sheet_ord"), "cells")
     merges = tables.merges if merged_cells else None
     parts = grid_to_markdown(sheets, cells, merges, part_bytes, how)
-    return workbook_markdown(parts, part_bytes, how, counted=sheets.select("doc")), failed
+    # a cell prints its text and three characters around it
+    printed = F.octet_length(F.coalesce("result", "value", F.lit(""))) + 3
+    return workbook_markdown(parts, part_bytes, how, cells, printed), failed

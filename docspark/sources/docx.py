@@ -89,7 +89,9 @@ def extract_docx(
         ).alias("error"),
     )
     texts = _block_texts(blocks, tables)
-    cut = slicing(texts, ["doc"], ["start"], how, counted=_item_blocks(blocks).select(F.col("path").alias("doc"), "start"))
+    # a block has about as many bytes as characters in XML: nothing is read to weigh it
+    placed = _item_blocks(blocks).select(F.col("path").alias("doc"), "start")
+    cut = slicing(placed, ["doc"], ["start"], how, weight=F.lit(block_chars))
     folded = fold_slices(
         cut.spread(texts),
         cut,

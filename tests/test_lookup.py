@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from docspark.operators.lookup import lookup
+from docspark.operators.lookup import expand, lookup
 from docspark.operators.ordering import Splitting
 
 HOT = Splitting(slices=8, min_rows=10)
@@ -55,3 +56,30 @@ def test_the_spread_depends_on_the_row_alone(spark):
     df = spark.createDataFrame([("hot", i) for i in range(50)], "key string, i int")
     plan = lookup(df, df.limit(1).withColumnRenamed("i", "n"), ["key"], HOT)._jdf.queryExecution().toString()
     assert "monotonically" not in plan and "rand(" not in plan
+
+
+def test_rows_of_a_hot_key_meet_many_parts_in_many_tasks(spark):
+    """A file that a third of the requests ask for, with several parts."""
+    requests = [(i, "hot" if i % 3 == 0 else f"f{i % 400}" if i % 3 == 1 else None) for i in range(6000)]
+    asked = spark.createDataFrame(requests, "request_id int, doc string").repartition(3)
+    parts = [("hot", n) for n in range(5)] + [(f"f{i}", n) for i in range(0, 400, 2) for n in range(i % 3)]
+    table = spark.createDataFrame(parts, "doc string, part_no int")
+    how = Splitting(slices=200, min_rows=50)
+    by_doc = {}
+    for doc, n in parts:
+        by_doc.setdefault(doc, []).append(n)
+    want = sorted((i, doc, n) for i, doc in requests for n in by_doc.get(doc, []))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for given in (how, None, Splitting()):
+            found = expand(asked, table, ["doc"], given)
+            assert sorted((r.request_id, r.doc, r.part_no) for r in found.collect()) == want
+        spread = expand(asked, table, ["doc"], how).where("doc = 'hot'")
+        per_task = spread.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in per_task) < 0.25 * 10_000 and len(per_task) > 8
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -92,3 +92,31 @@ def test_one_shuffle_without_hot_keys(table):
     # the table's own repartition(5) is the other one
     assert text.count("Exchange hashpartitioning(doc") == 1
     assert "Join" not in text
+
+
+def test_heavy_keys_are_cut_by_bytes(spark):
+    """Few rows of many bytes are as hot as many rows; the parts are the same."""
+    chance = random.Random(3)
+    data = [("heavy", f"p{i:04d}", "x" * 1000) for i in range(1000)]
+    data += [("uneven", f"p{i:04d}", "y" * (20_000 if i == 50 else 10)) for i in range(100)]
+    data += [(f"k{i % 50}", f"p{i:04d}", "z" * 40) for i in range(2000)]
+    chance.shuffle(data)
+    table = spark.createDataFrame(data, "doc string, path string, text string").repartition(4)
+    how = Splitting(slices=64, min_rows=10_000, min_bytes=15_000)
+    weight = F.octet_length("text")
+    assert slicing(table, ["doc"], ["path"], how).bounds is None
+    cut = slicing(table, ["doc"], ["path"], how, weight=weight)
+    assert {r.doc for r in cut.bounds.collect()} == {"heavy", "uneven"}
+    sizes = cut.place(table).groupBy("doc", "_slice").agg(F.sum(weight).alias("w")).collect()
+    heavy = [r.w for r in sizes if r.doc == "heavy"]
+    assert len(heavy) > 30 and max(heavy) < 3 * 1_000_000 / 64
+    # a row larger than a fair share is a slice with little beside it
+    assert max(r.w for r in sizes if r.doc == "uneven") <= 21_000
+    plain, by_bytes = (
+        sorted(join_in_order(table, ["doc"], ["path"], "text", "-", "t", 50_000, h, weight=weight).collect())
+        for h in (None, how)
+    )
+    assert plain == by_bytes
+    cheap = table.select("doc", F.octet_length("text").alias("n"))
+    again = slicing(table, ["doc"], ["path"], how, cheap, weight, F.col("n"))
+    assert again.bounds.collect() == cut.bounds.collect()

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from docspark.operators import requests as rq
 from docspark.operators import results as rs
-from docspark.streaming.triage import REQUEST_SCHEMA, stream_triage
+from docspark.streaming import triage as triage_module
+from docspark.streaming.triage import REQUEST_SCHEMA, batch_triage, stream_triage
 
 
 def asked(spark, *requests):
@@ -111,6 +112,39 @@ def test_stream_equals_batch_and_handles_only_what_is_new(spark, folder):
     assert [r.category for r in out.orderBy("request_id").collect()] == ["word", "word", "word", "pdf"]
 
 
+def test_a_batch_that_runs_again_gives_no_row_twice(spark, folder):
+    files = spark.createDataFrame([("/a.docx",)] * 3, "path string")
+    requests = asked(spark, {"tool": "extract_word_text"}, {"tool": "x"})
+    handle = batch_triage(files, folder)
+    for number in (0, 0, 1, 1, 0):
+        handle(requests, number)
+    out = spark.read.parquet(folder)
+    assert out.count() == 4 and sorted(r.batch for r in out.collect()) == [0, 0, 1, 1]
+
+
+def test_a_failed_stream_goes_on_without_rows_twice(spark, folder, monkeypatch):
+    files = spark.createDataFrame([("/a.docx",)], "path string")
+    where = [f"{folder}/{x}" for x in ("in", "out", "checkpoint")]
+    asked(spark, {"tool": "extract_word_text"}, {"tool": "x"}).write.parquet(where[0])
+    whole = triage_module.batch_triage
+
+    def failing(*given):
+        handle = whole(*given)
+
+        def fails_after_writing(requests, number):
+            handle(requests, number)
+            raise RuntimeError("lost")
+
+        return fails_after_writing
+
+    monkeypatch.setattr(triage_module, "batch_triage", failing)
+    with pytest.raises(Exception, match="lost"):
+        stream_triage(spark, *where, files).awaitTermination()
+    monkeypatch.undo()
+    stream_triage(spark, *where, files).awaitTermination()
+    assert spark.read.parquet(where[1]).count() == 2
+
+
 def test_helper_results(spark):
     failed = "Python UNO conversion failed"
     invalid = "Python UNO helper returned invalid JSON"

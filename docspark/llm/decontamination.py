@@ -86,7 +86,15 @@ class Templates:
     def _add(self, raw: bytes) -> int:
         import xxhash
 
-        if raw == b"\x00":  # a line break
+        if raw.isalpha():  # letters of ASCII alone, as most words are
+            low = raw.lower()
+            value, ends = low.decode(), False
+            title = len(raw) > 1 and raw[:1].isupper() and raw[1:].islower()
+            kind = UNIT if value in UNITS else NAME if title else LITERAL
+            self.values.append("" if kind == LITERAL else value)
+            self.new.append((xxhash.xxh64_intdigest(low), kind, ends))
+            return len(self.values) - 1
+        if raw in (b"\x00", _BETWEEN):  # a line break, or the end of a text
             kind, value, ends = NOTHING, "", True
         else:
             kind, value, ends = classify(raw.decode("utf-8", "replace"))
@@ -94,22 +102,27 @@ class Templates:
         self.new.append((xxhash.xxh64_intdigest(value.encode("utf-8", "replace")), kind, ends))
         return len(self.values) - 1
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, kinds and value hashes of a text's tokens, and which start a sentence."""
+    def read_all(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Codes, kinds and value hashes of all tokens of texts, which start a sentence, and whose they are."""
         if len(self.values) > _CACHE_WORDS:
             self.__init__()
-        raw = text_bytes(text).replace(b"\x00", b" ").replace(b"\n", b" \x00 ").split()
+        joined = b" \xff ".join(t.replace(b"\x00", b" ") for t in texts)
+        raw = joined.replace(b"\n", b" \x00 ").split()
         codes = np.fromiter(map(self.at.__getitem__, raw), np.int64, len(raw))
+        between = self.at[_BETWEEN]
         if self.new:
             for array, values in zip(self.arrays, zip(*self.new)):
                 array.extend(values)
             self.new = []
-        if not len(codes):
-            return codes, np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, bool)
         hashes, kinds, ends = (a.room[codes] for a in self.arrays)
-        starts = np.concatenate(([True], ends[:-1]))
+        starts = np.concatenate(([True], ends[:-1]))[: len(codes)]
+        own = np.cumsum(codes == between)
         real = kinds != NOTHING
-        return codes[real], kinds[real], hashes[real], starts[real]
+        return codes[real], kinds[real], hashes[real], starts[real], own[real]
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, kinds and value hashes of a text's tokens, and which start a sentence."""
+        return self.read_all([text_bytes(text)])[:4]
 
     def tokens(self, text: str | None, form: int = INNER_NAMES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes, kinds and canonical hashes of a text's tokens."""
@@ -179,29 +192,110 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return mapped(items, _item_windows, f"item_id long, form int, n_windows int, n_templates int, size int, template boolean, {_SCHEMA}")
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of MIX and of its inverse: with them a running sum gives the hashes of all windows."""
+    up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
+    up[1:], down[1:] = MIX, np.uint64(pow(int(MIX), -1, 1 << 64))
+    return np.cumprod(up), np.cumprod(down)
+
+
+class _Sums:
+    """Hashes of windows as ``window_hashes`` gives them, for tokens that share most of their windows."""
+
+    def __init__(self):
+        self.up, self.down = _powers(1 << 12)
+
+    def totals(self, hashes: np.ndarray) -> np.ndarray:
+        if len(hashes) + 64 > len(self.up):
+            self.up, self.down = _powers(2 * len(hashes) + 64)
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * self.down[: len(hashes)])))
+
+    def windows(self, totals: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        return mixed((totals[at + size] - totals[at]) * self.up[at + size - 1])
+
+
+def _form_windows(sums: _Sums, kinds, values, starts, at: np.ndarray, size: int):
+    """``(form, positions, hashes, kinds)``: the windows at ``at`` in every form, each hashed once.
+
+    Forms differ at names only: a window without one is the same in all, and one whose
+    names all start sentences is the same with inner names as without any.
+    """
+    named = kinds == NAME
+    inner = named & ~starts
+    upto = lambda flags: np.concatenate(([0], np.cumsum(flags)))
+    names, inners, literals = upto(named), upto(inner), upto(kinds == LITERAL)
+    within = lambda counts, i: counts[i + size] - counts[i]
+    plain = sums.totals(values)
+
+    def hashed(of, literal, i):
+        found = sums.windows(sums.totals(of), i, size)
+        few = within(literal, i) < LEAST_LITERALS
+        if few.any():
+            found[few] = mixed(sums.windows(plain, i[few], size) ^ MIX)
+        return found
+
+    slot = kinds.astype(np.uint64)
+    every = hashed(np.where(kinds == LITERAL, values, slot), literals, at)
+    some = np.flatnonzero(within(names, at))
+    bare = every.copy()
+    if len(some):
+        bare[some] = hashed(np.where((kinds == LITERAL) | named, values, slot), literals + names, at[some])
+    mid = bare.copy()
+    some = np.flatnonzero(within(inners, at))
+    if len(some):
+        literal = (kinds == LITERAL) | (named & starts)
+        mid[some] = hashed(np.where(literal, values, slot), upto(literal), at[some])
+    return {INNER_NAMES: mid, ALL_NAMES: every, NO_NAMES: bare}
+
+
+_BETWEEN = b"\xff"  # no text has this byte
+_GROUP_BYTES = 1 << 20  # of texts that are read together
+
+
+def _groups(frames):
+    """Ids and texts of a batch's documents, so many together as make a good part of work."""
+    for frame in frames:
+        held, size = [], 0
+        for doc, text in zip(frame["doc_id"], frame["text"]):
+            held.append((doc, text_bytes(text)))
+            size += len(held[-1][1])
+            if size >= _GROUP_BYTES:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+
 def _doc_windows(bitmap, sizes, bits):
     names = ["doc_id", "form", "size", "pos", "h", "slots"]
 
     def batches(frames):
-        cut, filled = Templates(), np.frombuffer(bitmap.value, np.uint8)
+        cut, sums, filled = Templates(), _Sums(), np.frombuffer(bitmap.value, np.uint8)
 
-        for frame in frames:
+        for held in _groups(frames):
+            codes, kinds, values, starts, doc = cut.read_all([text for _, text in held])
+            first = np.searchsorted(doc, np.arange(len(held)))
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
-                codes, kinds, values, starts = cut.read(text)
-                for form in FORMS:
-                    own, hashes = _as_form(kinds, values, starts, form)
-                    for size in sizes:
-                        windows, _ = _windows(own, hashes, values, size)
-                        top = windows >> np.uint64(64 - bits)
-                        known = (filled[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1
-                        rows += [
-                            (doc, form, size, i, int(windows[i].view(np.int64)), cut.slots(codes[i : i + size], own[i : i + size]))
-                            for i in np.flatnonzero(known).tolist()
-                        ]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
+            for size in sizes:
+                at = np.arange(max(0, len(codes) - size + 1))
+                at = at[doc[at] == doc[at + size - 1]]
+                if not len(at):
+                    continue
+                for form, windows in _form_windows(sums, kinds, values, starts, at, size).items():
+                    top = windows >> np.uint64(64 - bits)
+                    known = np.flatnonzero((filled[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1)
+                    own, _ = _as_form(kinds, values, starts, form) if len(known) else (kinds, None)
+                    rows += [
+                        (
+                            held[doc[i]][0],
+                            form,
+                            size,
+                            int(i - first[doc[i]]),
+                            int(h),
+                            cut.slots(codes[i : i + size], own[i : i + size]),
+                        )
+                        for i, h in zip(at[known].tolist(), windows[known].view(np.int64))
+                    ]
             yield pd.DataFrame(rows, columns=names)
 
     return batches
@@ -272,7 +366,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_C
     enough = F.when(F.col("coverage") >= least_coverage, F.col("form"))
     return (
         by_form.groupBy("doc_id", "item_id")
-        .agg(F.min_by("coverage", enough).alias("coverage"), F.every("same_values").alias("same_values"))
+        .agg(F.min_by("coverage", enough).alias("coverage"), F.min_by("same_values", enough).alias("same_values"))
         .where("coverage is not null")
     )
 

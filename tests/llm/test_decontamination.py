@@ -1,3 +1,5 @@
+import numpy as np
+
 from docspark.llm import decontamination as dec
 
 QUESTION = "A train leaves Leeds with 120 passengers and arrives in York after 45 minutes, losing 30 passengers; how many passengers of the 120 remain on board?"
@@ -100,3 +102,22 @@ def test_windows_of_few_literals_match_verbatim(spark):
     # a question with other values stays found by its templates, however many numbers follow
     item = "we count the apples of the old tree: " + " ".join(map(str, range(40)))
     assert leaks_of(spark, [item], [item.replace("3", "7 ")])[0, 0][0] >= 0.3
+
+
+def test_windows_hashed_once_equal_those_of_each_form(documents):
+    cut, sums = dec.Templates(), dec._Sums()
+    texts = [r.text.encode() for r in documents.limit(80).collect()] + [b"", b"Tom", b"Tom Ann 12 km 3. Bob said Eve 4"]
+    codes, kinds, values, starts, doc = cut.read_all(texts)
+    first = np.searchsorted(doc, np.arange(len(texts)))
+    for size in (1, 3, 8):
+        at = np.arange(len(codes) - size + 1)
+        at = at[doc[at] == doc[at + size - 1]]
+        got = dec._form_windows(sums, kinds, values, starts, at, size)
+        for i, text in enumerate(texts):
+            own = dec.Templates().read(text.decode())
+            here = at[doc[at] == i]
+            assert (here - first[i] == np.arange(max(0, len(own[0]) - size + 1))).all()
+            for form in dec.FORMS:
+                form_kinds, hashes = dec._as_form(*own[1:], form)
+                want, _ = dec._windows(form_kinds, hashes, own[2], size)
+                assert (got[form][doc[at] == i] == want).all()

@@ -79,14 +79,16 @@ def attachments(spark, sf_dir):
 
 @_query(
     "valid_png",
-    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 4 + strlen(text) WHEN doc_id % 3 = 1 THEN strlen(text) ELSE 0 END"
-    " AS length, doc_id % 3 = 0 AS is_png FROM documents",
+    """SELECT doc_id, CASE kind WHEN 'png' THEN 4 + strlen(text) WHEN 'text' THEN strlen(text) ELSE 0 END AS length,
+    kind = 'png' AS is_png FROM documents, (VALUES ('png'), ('text'), ('empty')) AS k(kind)""",
 )
 def valid_png_query(spark, sf_dir):
-    files = si.table(spark, sf_dir, "documents").selectExpr(
+    """Each document as an image, as a text and as an empty file."""
+    kinds = F.explode(F.array(F.lit("png"), F.lit("text"), F.lit("empty")))
+    files = si.table(spark, sf_dir, "documents").withColumn("kind", kinds).selectExpr(
         "doc_id",
-        """CASE doc_id % 3 WHEN 0 THEN concat(X'89504E47', encode(text, 'UTF-8'))
-           WHEN 1 THEN encode(text, 'UTF-8') ELSE X'' END AS content""",
+        """CASE kind WHEN 'png' THEN concat(X'89504E47', encode(text, 'UTF-8'))
+           WHEN 'text' THEN encode(text, 'UTF-8') ELSE X'' END AS content""",
     )
     files = files.withColumn("length", F.octet_length("content").cast("bigint"))
     return valid_png(files).select("doc_id", "length", "is_png")
@@ -235,35 +237,47 @@ def word_text_errors(spark, sf_dir):
     return failed.select("key", F.col("error.code").alias("error_code"))
 
 
-# Workbook text requests: three per labelled or paged document; conversations are the pages.
+# Workbook text requests: events ask for the documents of their users; conversations are the pages.
+# Every conversation is a good document, and some are failing ones too, which other events ask for.
 
 _EXCEL_FILE = "concat('/in/', {0}, '.xlsx')"
+_ASKED_FILE = "concat('/in/', CASE WHEN event_id % 4 = 3 THEN 'bad-' ELSE '' END, user_id, '.xlsx')"
 
 
 def _excel_inputs(spark, sf_dir):
     requests = si.table(spark, sf_dir, "events").selectExpr(
         "event_id AS request_id",
         "'extract_excel_text' AS tool",
-        f"{_EXCEL_FILE.format('user_id')} AS file_path",
+        f"{_ASKED_FILE} AS file_path",
         "CASE event_id % 4 WHEN 0 THEN 71.0 WHEN 1 THEN 300.0 END AS dpi",
         "cast(NULL AS string) AS format",
         "cast(NULL AS string) AS output_mode",
     )
-    files = si.table(spark, sf_dir, "documents").selectExpr(f"{_EXCEL_FILE.format('doc_id')} AS path")
-    pages = si.table(spark, sf_dir, "conversations").selectExpr(
+    documents = si.table(spark, sf_dir, "documents")
+    files = documents.selectExpr("explode(array('', 'bad-')) AS kind", "doc_id").selectExpr(
+        "concat('/in/', kind, doc_id, '.xlsx') AS path"
+    )
+    turns = si.table(spark, sf_dir, "conversations")
+    good = turns.selectExpr(
         f"{_EXCEL_FILE.format('conv_id')} AS doc",
         f"{si.PAGE_PATH} AS image_path",
+        "text AS content",
+        "cast(NULL AS string) AS call_error",
+    )
+    bad = turns.where("conv_id % 5 = 2 OR conv_id % 7 = 3").selectExpr(
+        "concat('/in/bad-', conv_id, '.xlsx') AS doc",
+        f"{si.PAGE_PATH} AS image_path",
         "CASE WHEN conv_id % 5 = 2 AND turn = 1 THEN '' ELSE text END AS content",
         "CASE WHEN conv_id % 7 = 3 THEN concat('no answer ', turn) END AS call_error",
     )
-    return requests, files, pages
+    return requests, files, good.unionAll(bad)
 
 
 _EXCEL = f"""WITH replies AS (
-  SELECT {_EXCEL_FILE.format('conv_id')} AS doc, text,
+  SELECT concat('/in/', kind, conv_id, '.xlsx') AS doc, text,
          concat('/out/', conv_id, '/page-', lpad(CAST(turn + 1 AS VARCHAR), 3, '0'), '.png') AS image_path,
-         conv_id % 7 = 3 AS is_broken, conv_id % 5 = 2 AND turn = 1 AS is_empty
-  FROM conversations),
+         kind = 'bad-' AND conv_id % 7 = 3 AS is_broken, kind = 'bad-' AND conv_id % 5 = 2 AND turn = 1 AS is_empty
+  FROM conversations, (VALUES (''), ('bad-')) AS k(kind) WHERE kind = '' OR conv_id % 5 = 2 OR conv_id % 7 = 3),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY image_path) AS page_no FROM replies),
 documents_out AS (
   SELECT doc, count(*) AS page_count, string_agg(to_json(image_path)::VARCHAR, ',' ORDER BY page_no) AS images,
@@ -273,7 +287,7 @@ documents_out AS (
               END AS content
   FROM numbered GROUP BY doc),
 asked AS (
-  SELECT event_id AS request_id, event_id % 4 = 0 AS is_invalid, {_EXCEL_FILE.format('user_id')} AS doc,
+  SELECT event_id AS request_id, event_id % 4 = 0 AS is_invalid, {_ASKED_FILE} AS doc,
          user_id IN (SELECT doc_id FROM documents) AS is_there FROM events)"""
 
 
@@ -324,9 +338,12 @@ def excel_text_errors(spark, sf_dir):
 )
 def excel_text_sheets(spark, sf_dir):
     requests, files, pages = _excel_inputs(spark, sf_dir)
+    requests = requests.withColumn("_path", F.col("file_path"))
     names = """CASE request_id % 4 WHEN 1 THEN cast(array() AS array<string>)
         WHEN 2 THEN array('user', 'user', 'nobody') WHEN 3 THEN array('nobody') END"""
-    requests = requests.drop("dpi").selectExpr("*", "cast(NULL AS double) AS dpi", f"{names} AS sheet_names")
+    requests = requests.drop("dpi", "file_path").selectExpr(
+        "*", "cast(NULL AS double) AS dpi", f"{names} AS sheet_names", "replace(_path, 'bad-', '') AS file_path"
+    )
     pages = si.table(spark, sf_dir, "conversations").selectExpr(
         f"{_EXCEL_FILE.format('conv_id')} AS doc",
         f"{si.PAGE_PATH} AS image_path",

@@ -44,29 +44,43 @@ pages_in AS (
          text AS content
   FROM conversations)"""
 
-# Replies of the model: missing, empty, blank, failed and padded ones by arithmetic.
+# Replies of the model: every text padded with blanks; beside these, by arithmetic, blank
+# ones, and documents of their own with a missing, empty or failed reply and a good one.
+
+_VARIANTS = """CASE WHEN (conv_id * 5 + turn) % 23 IN (0, 1, 3) THEN {0}'good', 'bad', 'more'{1}
+  WHEN (conv_id * 5 + turn) % 23 = 2 THEN {0}'good', 'blank'{1} ELSE {0}'good'{1} END"""
+_REPLY_DOC = f"concat({PAGE_DOC}, CASE WHEN variant IN ('bad', 'more') THEN '-bad' ELSE '' END)"
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").selectExpr(
-        f"{PAGE_DOC} AS doc",
-        f"{PAGE_PATH} AS image_path",
-        r"""CASE (conv_id * 5 + turn) % 23 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' \t\n '
+    """Rows ``doc, image_path, content, call_error``."""
+    own = table(spark, sf_dir, "conversations").withColumn(
+        "variant", F.explode(F.expr(_VARIANTS.format("array(", ")")))
+    )
+    return own.selectExpr(
+        f"{_REPLY_DOC} AS doc",
+        f"replace({PAGE_PATH}, '.png', concat('-', variant, '.png')) AS image_path",
+        r"""CASE WHEN variant = 'blank' THEN ' \t\n '
+            WHEN variant = 'bad' AND (conv_id * 5 + turn) % 23 = 0 THEN NULL
+            WHEN variant = 'bad' AND (conv_id * 5 + turn) % 23 = 1 THEN ''
             ELSE concat('﻿ \n', text, '\t\r\n') END AS content""",
-        "CASE WHEN (conv_id * 5 + turn) % 23 = 3 THEN concat('timeout on turn ', turn) END AS call_error",
+        "CASE WHEN variant = 'bad' AND (conv_id * 5 + turn) % 23 = 3 THEN concat('timeout on turn ', turn) END AS call_error",
     )
 
 
-REPLIES_SQL = """
+REPLIES_SQL = f"""
+reply_variants AS (
+  SELECT *, unnest({_VARIANTS.format("[", "]")}) AS variant FROM conversations),
 replies_in AS (
-  SELECT CASE WHEN conv_id % 3 = 0 THEN concat(conv_id, '-', turn) ELSE concat(conv_id, '') END AS doc,
-         concat('/out/', conv_id, '/page-', lpad(CAST(turn + 1 AS VARCHAR), 3, '0'), '.png') AS image_path,
-         CASE (conv_id * 5 + turn) % 23 WHEN 0 THEN NULL WHEN 1 THEN ''
-              WHEN 2 THEN concat(' ', chr(9), chr(10), chr(160))
+  SELECT {_REPLY_DOC} AS doc,
+         concat('/out/', conv_id, '/page-', lpad(CAST(turn + 1 AS VARCHAR), 3, '0'), '-', variant, '.png') AS image_path,
+         CASE WHEN variant = 'blank' THEN concat(' ', chr(9), chr(10), chr(160))
+              WHEN variant = 'bad' AND (conv_id * 5 + turn) % 23 = 0 THEN NULL
+              WHEN variant = 'bad' AND (conv_id * 5 + turn) % 23 = 1 THEN ''
               ELSE concat(chr(65279), ' ', chr(10), text, chr(9), chr(13), chr(10)) END AS content,
-         CASE WHEN (conv_id * 5 + turn) % 23 = 3 THEN concat('timeout on turn ', turn) END AS call_error,
+         CASE WHEN variant = 'bad' AND (conv_id * 5 + turn) % 23 = 3 THEN concat('timeout on turn ', turn) END AS call_error,
          text
-  FROM conversations),
+  FROM reply_variants),
 replies_out AS (
   SELECT doc, image_path,
          CASE WHEN call_error IS NOT NULL OR content IS NULL OR content = '' THEN 'COPILOT_MARKDOWN_FAILED' END
@@ -74,7 +88,7 @@ replies_out AS (
          CASE WHEN call_error IS NOT NULL THEN 'GitHub Copilot SDK failed to convert image to Markdown'
               WHEN content IS NULL OR content = '' THEN 'No Markdown content received from GitHub Copilot' END
            AS error_message,
-         CASE WHEN call_error IS NOT NULL THEN '{"message":"' || call_error || '"}' END AS error_context,
+         CASE WHEN call_error IS NOT NULL THEN '{{"message":"' || call_error || '"}}' END AS error_context,
          CASE WHEN call_error IS NOT NULL OR content IS NULL OR content = '' THEN NULL
               WHEN content = concat(' ', chr(9), chr(10), chr(160)) THEN ''
               ELSE text END AS content

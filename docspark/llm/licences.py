@@ -1,7 +1,7 @@
 """Licence scans, with DataFrame operations only.
 
-Lines and blocks of a file are compared with licence templates by the cosine of
-sparse TF-IDF vectors. A file without a licence of its own takes that of the
+Lines and blocks of a file are compared with licence notices by the cosine of
+sparse TF-IDF vectors, and licence files as a whole with whole licences. A file without a licence of its own takes that of the
 licence file in the nearest directory above it, found by joins on paths.
 """
 
@@ -39,8 +39,78 @@ TEMPLATES = [
         "Redistribution and use in source and binary forms, with or without modification, are permitted"
         " provided that the following conditions are met",
     ),
+    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("ISC", "Licensed under the ISC License"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("reserved", "All rights reserved"),
 ]
+_WARRANTY = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED'
+    " WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A"
+    " PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY"
+    " DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,"
+    " PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER"
+    " CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR"
+    " OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+    " following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list"
+    " of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright"
+    " notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided"
+    " with the distribution."
+)
+# Whole licence texts, which licence files are compared with as a whole
+FULL_TEXTS = [
+    (
+        "MIT",
+        "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and"
+        ' associated documentation files (the "Software"), to deal in the Software without restriction, including without'
+        " limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the"
+        " Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+        " The above copyright notice and this permission notice shall be included in all copies or substantial portions of"
+        ' the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT'
+        " NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO"
+        " EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN"
+        " ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR"
+        " OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is"
+        " hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE"
+        ' SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL'
+        " IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,"
+        " INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER"
+        " IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR"
+        " PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    ("BSD-2-Clause", _BSD + _WARRANTY),
+    (
+        "BSD-3-Clause",
+        _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or"
+        " promote products derived from this software without specific prior written permission." + _WARRANTY,
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,"
+        " use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any"
+        " purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the"
+        " author or authors of this software dedicate any and all copyright interest in the software to the public domain."
+        " We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors."
+        " We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to"
+        ' this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR'
+        " IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND"
+        " NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN"
+        " ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER"
+        " DEALINGS IN THE SOFTWARE.",
+    ),
+]
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 
 
@@ -102,6 +172,25 @@ def own_licences(files: DataFrame, templates: DataFrame, least: float = LEAST_CO
         .groupBy("path", F.xxhash64("unit").alias("unit"), "term")
         .agg(F.count("*").alias("n"))
     )
+    return _best(found, vectors, other, least)
+
+
+def whole_files(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
+    """``(path, licence, score)`` of licence files that are like a whole licence text."""
+    named = F.regexp_like(F.regexp_extract("path", "([^/]*)$", 1), F.lit(LICENCE_FILE))
+    texts = files.where("text is not null").where(named).select("path", "text")
+    vectors, other = template_vectors(templates, texts)
+    vectors = written(vectors, "licence-texts")
+    found = (
+        texts.select("path", F.xxhash64("text").alias("unit"), F.explode(terms_of(F.col("text"))).alias("term"))
+        .groupBy("path", "unit", "term")
+        .agg(F.count("*").alias("n"))
+    )
+    return _best(found, vectors, other, least)
+
+
+def _best(found: DataFrame, vectors: DataFrame, other: Column, least: float) -> DataFrame:
+    """The licence nearest to any unit of a path, from counts ``(path, unit, term, n)``."""
     weights = vectors.select("term", "idf").distinct()
     weighed = found.join(F.broadcast(weights), "term", "left").select(
         "path", "unit", "term", "n", (F.col("n") * F.coalesce("idf", other)).alias("w")
@@ -139,7 +228,12 @@ def ancestors(folder: Column) -> Column:
     )
 
 
-def scan(files: DataFrame, templates: DataFrame | None = None, least: float = LEAST_COSINE) -> DataFrame:
+def scan(
+    files: DataFrame,
+    templates: DataFrame | None = None,
+    least: float = LEAST_COSINE,
+    full_texts: DataFrame | None = None,
+) -> DataFrame:
     """``files`` with ``own_licence``, ``score``, ``licence`` and ``licence_from``.
 
     ``licence`` is a file's own one, else that of the nearest directory above (its
@@ -149,12 +243,21 @@ def scan(files: DataFrame, templates: DataFrame | None = None, least: float = LE
     null path has neither own nor inherited licence, a null or empty text no own
     one, an empty table gives an empty result. Columns of these four names in
     ``files`` are replaced. Paths are inherited per directory, not per file.
+
+    ``templates`` are notices, compared with lines and blocks of every file, ``full_texts``
+    whole licences, compared with licence files as a whole; where both are found the
+    better score counts. Both are a caller's lists, of some thousand words.
     """
     spark = files.sparkSession
     templates = templates or default_templates(spark)
+    full_texts = full_texts or _templates(spark, FULL_TEXTS)
     added = ("own_licence", "score", "licence", "licence_from", "_folder")
     rest = [c for c in files.columns if c not in added]
-    own = written(own_licences(files.where("path is not null"), templates, least), "licences")
+    placed = files.where("path is not null")
+    either = own_licences(placed, templates, least).unionByName(whole_files(placed, full_texts, least))
+    best = F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")
+    own = either.groupBy("path").agg(best).select("path", "best.licence", (-F.col("best.minus")).alias("score"))
+    own = written(own, "licences")
     name = F.regexp_extract("path", "([^/]*)$", 1)
     given = (
         own.where(F.regexp_like(name, F.lit(LICENCE_FILE)))
@@ -186,5 +289,9 @@ def scan(files: DataFrame, templates: DataFrame | None = None, least: float = LE
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    rows = [(i, licence, text) for i, (licence, text) in enumerate(TEMPLATES)]
+    return _templates(spark, TEMPLATES)
+
+
+def _templates(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
+    rows = [(i, licence, text) for i, (licence, text) in enumerate(texts)]
     return spark.createDataFrame(rows, "template int, licence string, text string")

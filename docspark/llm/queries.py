@@ -39,9 +39,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: every tenth is the licence file of its folder."""
-    name = F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE")).otherwise(F.col("doc_id").cast("string"))
-    folders = [F.col("source"), F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100 % 10").cast("string")]
+    """Documents as files three folders deep: every tenth is a licence file, in one of these folders by its id."""
+    is_licence = F.col("doc_id") % 10 == 0
+    above = F.when(is_licence, F.expr("doc_id div 10 % 3")).otherwise(0)  # folders it stands above the others
+    name = F.when(is_licence, F.lit("LICENSE")).otherwise(F.col("doc_id").cast("string"))
+    thousands, hundreds = F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100 % 10").cast("string")
+    folders = [F.col("source"), F.when(above < 2, thousands), F.when(above < 1, hundreds)]
     files = _table(spark, sf_dir, "documents").select(
         "doc_id", F.concat_ws("/", *folders, F.concat_ws("-", name, F.col("doc_id"))).alias("path"), "text"
     )

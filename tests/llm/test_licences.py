@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from docspark.llm import licences
+from docspark.llm import licences, queries
 
 
 def cosine_scan(files, templates, least):
@@ -81,3 +81,49 @@ def test_no_python_on_the_executors(spark, documents):
     files = documents.selectExpr("CAST(doc_id AS STRING) AS path", "text")
     plan = licences.scan(files)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_licence_files_as_a_whole(spark):
+    mit = licences.FULL_TEXTS[0][1]
+    wrapped = "Copyright (c) 2020 Somebody\n\n" + "\n".join(mit[i : i + 60] for i in range(0, len(mit), 60))
+    rows = [(f"{name.lower()}/LICENSE", f"Copyright 2021 Somebody Else\n{text}") for name, text in licences.FULL_TEXTS]
+    rows += [("w/COPYING.txt", mit.replace(". ", ".\n\n")), ("w/a.c", ""), ("v/readme", wrapped), ("u/LICENSE", "word " * 200)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    found = {r.path: r for r in licences.scan(files).collect()}
+    for name, _ in licences.FULL_TEXTS:
+        assert found[f"{name.lower()}/LICENSE"].licence == name
+    assert found["w/COPYING.txt"].licence == found["w/a.c"].licence == "MIT" and found["w/a.c"].licence_from == "w"
+    assert found["u/LICENSE"].licence is None
+    for name, text in (("AGPL-3.0", "licensed under the GNU Affero General Public License version 3"), ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later")):
+        one = spark.createDataFrame([("p/x", text)], "path string, text string")
+        assert licences.scan(one).first().own_licence == name
+
+
+def test_whole_texts_equal_brute_force(spark, documents):
+    rows = [(f"f{r.doc_id}/LICENSE", r.text) for r in documents.limit(60).collect()]
+    rows += [(f"g/{i}-NOTICE", text[: 300 + 200 * i]) for i, (_, text) in enumerate(licences.FULL_TEXTS)]
+    rows = [(p if "NOTICE" not in p else f"g{p[2]}/NOTICE", t.replace("\n", " ")) for p, t in rows]
+    files = spark.createDataFrame(rows, "path string, text string")
+    found = licences.whole_files(files, licences._templates(spark, licences.FULL_TEXTS)).collect()
+    want = cosine_scan(rows, licences.FULL_TEXTS, licences.LEAST_COSINE)
+    assert {r.path: (r.licence, round(r.score, 6)) for r in found} == {p: (n, round(x, 6)) for p, (n, x) in want.items()} != {}
+
+
+def test_inheritance_over_three_levels_of_the_whole_table(spark):
+    rows = queries.op4_licences(spark, "/root/testdata/sf0.01").collect()
+    best = {}
+    for r in rows:
+        folder, _, name = r.path.rpartition("/")
+        if name.startswith("LICENSE") and r.own_licence:
+            best[folder] = min(best.get(folder, (0, "")), (-r.score, r.own_licence))
+    depths = Counter()
+    for r in rows:
+        folder, want = r.path.rpartition("/")[0], (None, None)
+        while r.own_licence is None and folder:
+            if folder in best:
+                want = best[folder][1], folder
+                depths[folder.count("/")] += 1
+                break
+            folder = folder.rpartition("/")[0]
+        assert (r.licence, r.licence_from) == ((r.own_licence, None) if r.own_licence else want)
+    assert len(rows) == 1000 and set(depths) == {0, 1, 2}

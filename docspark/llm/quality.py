@@ -100,7 +100,8 @@ def quality(docs: DataFrame, host_col: str = "source", line_documents: int = LIN
     ``kept``: neither base_failed nor depleted, which is having lost more than
     half of its words. Null hosts form a host of their own, null ids
     count as no document. Null and empty texts have no words and fail. Repeated
-    rows are judged alike and count once. Other columns are not read.
+    rows are judged alike and count once. Texts of any length are read whole, and an empty
+    table gives an empty result. Other columns are not read.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host_col).alias("host"), "text")
     schema = f"doc_id long, host string, {_MEASURES}, text_hash long, lines {_LINES}"

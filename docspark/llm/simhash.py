@@ -141,8 +141,13 @@ def near_duplicates(
 def one_per_group(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group, one row each.
 
-    Rows without a doc_id name no document and go.
+    Rows without a doc_id name no document and go. Of several rows of one id that with the
+    smallest hash of its columns stays, maps and variants aside. An empty table gives an empty result.
     """
     found = near_duplicates(docs, **parameters)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = [c for c in docs.columns if c != "doc_id"]
+    plain = [c for c, kind in docs.dtypes if c in rest and "map<" not in kind and "variant" not in kind]
+    one = F.min_by(F.struct(*rest), F.xxhash64(*plain)).alias("_row")
+    whole = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(one)
+    return whole.select(*["doc_id" if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -347,7 +347,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     """Encode ``docs (doc_id, text)`` with an end id each, to files below ``folder``.
 
     Documents are written in ascending order of doc_id, null ids first, rows of
-    one id ordered by their ids. A null or empty text is the end id alone.
+    one id ordered by their ids. A null or empty text is the end id alone. Texts of any length
+    are encoded whole, in pieces cut at white space; an empty table gives empty tables.
     """
     tokenizer = tokenizer or default_tokenizer()
     kind = _id_kind(tokenizer)

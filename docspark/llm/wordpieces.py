@@ -121,7 +121,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``(doc_id, n_words, n_tokens)`` of each row of ``docs``.
 
     A null, empty or blank text has none of either. Repeated rows stay repeated,
-    ids may be null, other columns are not read. The file of the vocabulary must
+    ids may be null, other columns are not read. Texts of any length are read whole, and an
+    empty table gives an empty result. The file of the vocabulary must
     be where ``vocabulary`` says on every executor.
     """
     path = vocabulary or default_vocabulary()

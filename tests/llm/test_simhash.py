@@ -106,3 +106,12 @@ def test_bits_of_slabs_spare_pair_tests(spark):
     want = {(min(p, q), max(p, q)) for p, q in zip(prints, near) if p != q and bin((p ^ q) & (2**64 - 1)).count("1") <= 4}
     assert want <= set(found) and all(bin((a ^ b) & (2**64 - 1)).count("1") <= 4 for a, b in found)
     assert len(set(found)) == len(found) and by_bits <= len(want) and by_counts > by_bits
+
+
+def test_one_row_of_an_id_stays_whatever_the_order(spark, prose):
+    rows = [(1, prose(50, 1), "a"), (1, prose(50, 2), "b"), (1, prose(50, 1), "a"), (2, prose(60, 3), None), (None, "x", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once, again = (
+        sorted(map(tuple, simhash.one_per_group(d).collect())) for d in (docs.repartition(3), docs.orderBy("source").coalesce(1))
+    )
+    assert once == again and [r[0] for r in once] == [1, 2] and once[1] == rows[3]

@@ -230,3 +230,18 @@ def test_links_tables_and_private_characters(spark, block_chars):
     assert found.markdown == f"{marks}\n\n{linked}{drawn}\nend\n\n"
     flat = extract_docx(data, tables=False).documents.first().markdown
     assert flat == f"{marks}\n\n{linked}" + "".join(x + "\n\n" for x in ["H|1", "# H2", *plain[4:]])
+
+
+def test_files_of_one_listing_are_opened_by_many_tasks(spark, folder, monkeypatch):
+    put(folder, {f"{i}.docx": word(p(f"text {i}")) for i in range(12)} | {"bad.docx": b"zz"})
+    opened = []
+    kept = archive._kept
+    monkeypatch.setattr(archive, "_kept", lambda blocks, purpose: opened.append(blocks.rdd.getNumPartitions()) or kept(blocks, purpose))
+    monkeypatch.setattr(archive, "_FILE_BYTES", 1000)
+    listed = list_files(spark, folder, ".docx")
+    assert listed.rdd.getNumPartitions() == 1
+    found = extract_docx(listed)
+    assert {r.text for r in found.documents.collect()} == {f"text {i}\n\n" for i in range(12)}
+    assert [r.key for r in found.errors.collect()] == [f"{folder}/bad.docx"]
+    total = sum(r.length + archive._OPEN_COST for r in listed.collect())
+    assert opened == [-(-total // 1000)]

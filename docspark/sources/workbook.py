@@ -75,8 +75,8 @@ def extract_workbook_cells(files: DataFrame, requests: DataFrame | None = None)
         return _tables(blocks, blocks, sheets, blocks.where("element = 'error'"))
     index = archive_index(files, HEAD, [*BODY], REQUIRED_PART, "workbook-index")
     sheets = _asked(_sheets(index), requests)
-    present = index.where("element = 'part'").select("path", "part")
-    named = sheets.select(F.col("doc").alias("path"), "part").join(present, ["path", "part"], "left_semi")
+    present = index.where("element = 'part'").select("path", "part", F.col("start").alias("size"))
+    named = present.join(sheets.select(F.col("doc").alias("path"), "part"), ["path", "part"], "left_semi")
     strings = present.where(F.col("part") == STRINGS_PART).join(named, "path", "left_semi")
     body = part_blocks(named.unionByName(strings), BODY, "workbook-parts")
     late = body.where("element = 'error'")

@@ -245,3 +245,16 @@ def test_files_of_one_listing_are_opened_by_many_tasks(spark, folder, monkeypatc
     assert [r.key for r in found.errors.collect()] == [f"{folder}/bad.docx"]
     total = sum(r.length + archive._OPEN_COST for r in listed.collect())
     assert opened == [-(-total // 1000)]
+
+
+def test_parts_are_read_by_as_many_tasks_as_their_bytes_ask_for(spark, folder, monkeypatch):
+    put(folder, {f"{i}.xlsx": book({"One": ROW.format(i), "Two": ROW.format(-i)}) for i in range(6)})
+    opened = []
+    kept = archive._kept
+    monkeypatch.setattr(archive, "_kept", lambda blocks, purpose: opened.append((purpose, blocks.rdd.getNumPartitions())) or kept(blocks, purpose))
+    monkeypatch.setattr(archive, "_PART_BYTES", 1000)
+    tables = extract_workbook_cells(list_files(spark, folder))
+    assert sorted(int(r.value) for r in tables.cells.collect()) == sorted([*range(6), *range(-5, 1)])
+    assert tables.errors.isEmpty()
+    # twelve sheets, each of a few bytes and the cost to open it
+    assert dict(opened)["workbook-parts"] >= 12 * archive._OPEN_COST / 1000

@@ -70,10 +70,15 @@ def place_cells(cells: DataFrame) -> DataFrame:
 
 
 def dedupe_cells(cells: DataFrame) -> DataFrame:
-    """One row per address: the last one in (row_ord, cell_ord) order wins."""
+    """One row per address: the last one in (row_ord, cell_ord) order wins.
+
+    Texts combine map-side by sorting, so tasks get even shares of the cells first: what a
+    task reads may become many times as many bytes of cells.
+    """
     kept = [c for c in cells.columns if c not in (*SHEET, "address")]
     return (
-        cells.groupBy(*SHEET, "address")
+        cells.hint("rebalance")
+        .groupBy(*SHEET, "address")
         .agg(F.max_by(F.struct(*kept), F.struct("row_ord", "cell_ord")).alias("_last"))
         .select(*SHEET, "address", *[F.col(f"_last.{c}").alias(c) for c in kept])
     )

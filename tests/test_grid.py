@@ -164,3 +164,13 @@ def test_counts_and_notes(spark):
     assert grid.merged_note(merges).first().note == "A1:B1, C3:D4"
     last = grid.dedupe_cells(cells.withColumn("cell_ord", F.explode(F.array(F.lit(0), F.lit(4))))).collect()
     assert [(r.address, r.cell_ord) for r in last] == [("A1", 4)]
+
+
+def test_duplicates_combine_in_even_shares_of_the_cells(spark):
+    cells = spark.range(2000).selectExpr(
+        "'d' AS doc", "'s' AS sheet", "cast(id AS int) AS row_ord", "0 AS cell_ord",
+        "concat('A', id % 1000) AS address", "cast(id AS string) AS value",
+    )
+    last = grid.dedupe_cells(cells.coalesce(1))
+    assert "REBALANCE_PARTITIONS" in last._jdf.queryExecution().toString()
+    assert {(r.address, r.row_ord) for r in last.collect()} == {(f"A{i}", 1000 + i) for i in range(1000)}

@@ -313,3 +313,16 @@ def test_sink_refuses_a_used_folder(spark, folder):
     assert spark.read.parquet(out).count() == 5
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         write_results(df, out)
+
+
+def test_word_files_are_built_a_few_mb_at_a_time():
+    import pyarrow as pa
+
+    from catalog import archives
+
+    text = "some words\n" * 100_000
+    batch = pa.record_batch({"doc_id": [1, 2, 3, 4, 5, 6], "path": [f"/word/{i}.docx" for i in range(1, 7)], "text": [text] * 6})
+    made = [*archives._docx_builder()([batch])]
+    assert max(b.num_rows for b in made) < 6
+    paths = [p for b in made for p in b.column("path").to_pylist()]
+    assert paths == [*(f"/word/{i}.docx" for i in range(1, 5)), "/word/broken-5.docx", "/word/5.docx", "/word/6.docx", "/word/6.doc"]

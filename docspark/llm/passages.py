@@ -13,6 +13,7 @@ functions, with overlapping intervals, are candidates; their tokens are compared
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right, insort
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import components, id_bitmap, mapped, mixed, window_hashes, words_of, written
+from docspark.llm.common import LOWER_ASCII, components, id_bitmap, mapped, mixed, text_bytes, window_hashes, written
 from docspark.session import write_and_read
 
 SHINGLE = 5
@@ -33,32 +34,76 @@ AGREE = 2  # hash functions that a candidate's windows must share; all are verif
 SIMILARITY = 0.8
 CROWD = 6  # windows of a min-hash that are all paired with each other; more are split
 SPLITS = 8  # further hash functions that split the windows of a crowded min-hash
-_CACHE_WORDS = 800_000
+RUN, RUN_ROOM = 10, 9  # tokens of a run by which classes meet, and neighbours of which one is taken
 _BITS = 28
 _SEEDS = (mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _SLICE = 1 << 18  # tokens whose windows are found at once
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+_LETTER = np.ones(256, bool)
+_LETTER[[32, *range(9, 14)]] = False
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
+_STEP = 0x9E3779B97F4A7C15
+_PIECE = 1 << 19  # bytes whose words are hashed at once
+
+
+def _powers(step: int, n: int) -> np.ndarray:
+    steps = np.full(n, step, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
 class Hasher:
-    """64-bit hashes of words; those seen are kept, up to a fixed number."""
+    """64-bit hashes of words and of their runs, for many texts in a few array steps."""
 
     def __init__(self):
-        self.at: dict[bytes, int] = {}
+        self.up, self.down = _powers(_STEP, 1), _powers(_STEP, 1)
+
+    def sums(self, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of some stretches of numbers."""
+        n = len(numbers) + 1
+        if n > len(self.up):
+            self.up, self.down = _powers(_STEP, n), _powers(pow(_STEP, -1, 1 << 64), n)
+        sums = np.zeros(n, np.uint64)
+        np.cumsum(numbers * self.up[: n - 1], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.down[starts])
+
+    def _words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of a piece of text, and where they start.
+
+        A word's hash is the sum of its bytes' numbers times powers by place in the word: a
+        difference of two running sums over the piece, over the power of the word's start.
+        """
+        data = np.frombuffer(raw, np.uint8)
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = _LETTER[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        return self.sums(_BYTE[data], starts, ends), starts
+
+    def all_tokens(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the five-word runs of some texts, one after another, and how many each has."""
+        raw = b" ".join(raws).translate(LOWER_ASCII)
+        begins = np.cumsum([0, *(len(r) + 1 for r in raws[:-1])])
+        hashes, texts, at = [], [], 0
+        while at < len(raw):
+            blank = _BLANK.search(raw, at + _PIECE)
+            end = blank.start() if blank else len(raw)
+            own, starts = self._words(raw[at:end])
+            hashes.append(own)
+            texts.append(np.searchsorted(begins, starts + at, "right") - 1)
+            at = end
+        if not hashes:
+            return np.zeros(0, np.uint64), np.zeros(len(raws), np.int64)
+        text = np.concatenate(texts)
+        inside = text[: 1 - SHINGLE] == text[SHINGLE - 1 :]
+        tokens = window_hashes(np.concatenate(hashes), SHINGLE)[inside]
+        return tokens, np.bincount(text[: 1 - SHINGLE][inside], minlength=len(raws))
 
     def tokens(self, text: str | None) -> np.ndarray:
         """Hashes of the five-word runs of a whole text, A-Z in small letters."""
-        import xxhash
-
-        words = words_of(text, lower=True)
-        if len(words) < SHINGLE:
-            return np.zeros(0, np.uint64)
-        at = self.at
-        if len(at) > _CACHE_WORDS:
-            at.clear()
-        for w in set(words):
-            if w not in at:
-                at[w] = xxhash.xxh64_intdigest(w)
-        return window_hashes(np.fromiter(map(at.__getitem__, words), np.uint64, len(words)), SHINGLE)
+        return self.all_tokens([text_bytes(text)])[0]
 
 
 def sliding_minimum(values: np.ndarray, size: int) -> np.ndarray:
@@ -113,18 +158,26 @@ _WINDOW_ROW = "key long, doc long, span long, doc2 long, span2 long"
 def _token_rows(frames):
     """Tokens of whole texts, four bytes each, for texts that may hold a passage."""
     hasher = Hasher()
+
+    def record(docs, raws):
+        tokens, sizes = hasher.all_tokens(raws)
+        tokens = (tokens >> np.uint64(32)).astype("<u4")
+        ends = np.cumsum(sizes)
+        long = np.flatnonzero(sizes >= LEAST_TOKENS).tolist()
+        data = [tokens[ends[i] - sizes[i] : ends[i]].tobytes() for i in long]
+        return _record(doc=pa.array([docs[i] for i in long], pa.int64()), tokens=pa.array(data, pa.binary()))
+
     for frame in frames:
-        docs, data = [], []
+        docs, raws, size = [], [], 0
         for i, doc in enumerate(frame.column(0).to_pylist()):
-            tokens = hasher.tokens(frame.column(1)[i].as_py())
-            if len(tokens) >= LEAST_TOKENS:
-                docs.append(doc)
-                data.append((tokens >> np.uint64(32)).astype("<u4").tobytes())
-            if len(docs) >= 512:
-                yield _record(doc=pa.array(docs, pa.int64()), tokens=pa.array(data, pa.binary()))
-                docs, data = [], []
+            docs.append(doc)
+            raws.append(text_bytes(frame.column(1)[i].as_py()))
+            size += len(raws[-1])
+            if size >= _PIECE:
+                yield record(docs, raws)
+                docs, raws, size = [], [], 0
         if docs:
-            yield _record(doc=pa.array(docs, pa.int64()), tokens=pa.array(data, pa.binary()))
+            yield record(docs, raws)
 
 
 def _record(**columns) -> pa.RecordBatch:
@@ -221,7 +274,69 @@ def _split_windows(bitmap, bits):
     return batches
 
 
-def _regions(frames):
+def _marked_runs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of RUN tokens, and which of them are the least of RUN_ROOM neighbours.
+
+    Of any RUN_ROOM neighbouring runs one is marked, by its tokens alone: two texts that have
+    RUN + RUN_ROOM - 1 tokens in a row in common have a marked run in common.
+    """
+    hashes = window_hashes(tokens.astype(np.uint64), RUN)
+    if len(hashes) < RUN_ROOM:
+        return hashes, np.ones(len(hashes), bool)
+    end = np.full(RUN_ROOM - 1, 0, np.uint64)
+    least = np.concatenate((end, sliding_minimum(hashes, RUN_ROOM), end))
+    return hashes, ~sliding_minimum(~least, RUN_ROOM) == hashes
+
+
+def _crowded_runs(bitmap, bits):
+    """Marked runs in the windows whose min-hash is crowded, with a hash of the region around each."""
+
+    def batches(frames):
+        filled = np.frombuffer(bitmap.value, np.uint8)
+        hasher = Hasher()
+        for docs, tokens, sizes in _texts(frames):
+            key, _, _, which, first, last = _keyed(docs, tokens, sizes)
+            at = mixed(key) >> np.uint64(64 - bits)
+            crowded = np.flatnonzero((filled[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+            if not len(crowded):
+                continue
+            begin = np.cumsum(sizes) - sizes
+            text = which[crowded]
+            cover = np.zeros(len(tokens) + 1, np.int64)
+            np.add.at(cover, begin[text] + first[crowded], 1)
+            np.add.at(cover, begin[text] + last[crowded] + 1, -1)
+            hashes, marked = _marked_runs(tokens)
+            inside = np.cumsum(cover)[: len(hashes)] > 0
+            place = np.flatnonzero(marked & inside)
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            place = place[own[place] == own[place + RUN - 1]]
+            run, own = hashes[place], own[place]
+            place = place - begin[own]
+            # a run that comes again so near lies in the region of the one before
+            order = np.lexsort((place, own, run))
+            near = np.zeros(len(order), bool)
+            a, b = order[:-1], order[1:]
+            near[1:] = (run[a] == run[b]) & (own[a] == own[b]) & (place[b] - place[a] < LEAST_TOKENS)
+            kept = np.sort(order[~near])
+            run, own, place = run[kept], own[kept], place[kept]
+            span = _spans(np.zeros_like(place), place, np.minimum(place + LEAST_TOKENS, sizes[own]) - 1)
+            low = begin[own] + np.maximum(place - LEAST_TOKENS, 0)
+            high = begin[own] + np.minimum(place + 2 * LEAST_TOKENS, sizes[own])
+            around = hasher.sums(mixed(tokens.astype(np.uint64)), low, high)
+            whole = _record(
+                key=pa.array(run.view(np.int64)),
+                doc=pa.array(docs[own]),
+                span=pa.array(span),
+                place=pa.array(place),
+                around=pa.array(around.view(np.int64)),
+            )
+            for at in range(0, whole.num_rows, 1 << 18):
+                yield whole.slice(at, 1 << 18)
+
+    return batches
+
+
+def _regions(frames, least: int = AGREE):
     """Intervals of each pair of documents in which enough hash functions agree."""
     for frame in frames:
         rows = []
@@ -249,7 +364,7 @@ def _regions(frames):
             rows += [
                 (a, b, max(0, g[0] - LEAST_TOKENS), g[1] + LEAST_TOKENS, max(0, g[2] - LEAST_TOKENS), g[3] + LEAST_TOKENS)
                 for g in groups
-                if len(g[4]) >= AGREE
+                if len(g[4]) >= least
             ]
         yield pd.DataFrame(rows, columns=["a", "b", "a0", "a1", "b0", "b1"])
 
@@ -570,35 +685,22 @@ def _paired(windows: DataFrame, crowded: bool) -> DataFrame:
     )
 
 
-def similar_passages(docs: DataFrame) -> DataFrame:
-    """Verified pairs ``(a, a0, a1, b, b0, b1)`` of passages, in tokens, a < b.
-
-    Windows of a min-hash are all paired with each other. Where it is crowded, its windows
-    are split by further min-hashes of their own tokens, and all are paired that share one
-    of these; only those that share it with many others as well, as copies of one passage
-    do, are paired with the first of them and the one before.
-    """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens = written(mapped(rows, _token_rows, "doc long, tokens binary", arrow=True), "passage-tokens")
-    tokens = _one_text_per_id(tokens)
-    first = _paired(mapped(tokens, _windows, _WINDOW_ROW, arrow=True), False)
-    first = write_and_read(first.withColumn("crowded", F.col("o").isNull()), "llm-passage-pairs", "crowded")
-    bitmap, bits = id_bitmap(first.where("crowded").select("key"))
-    split = mapped(tokens, _split_windows(bitmap, bits), _WINDOW_ROW, arrow=True)
-    found = first.where("not crowded").select("doc", "span", "o").unionByName(_paired(split, True).select("doc", "span", "o"))
-    pairs = (
-        found.where("o.doc is not null and o.doc <> doc")
-        .select(
-            F.least("doc", "o.doc").alias("a"),
-            F.greatest("doc", "o.doc").alias("b"),
-            F.when(F.col("doc") < F.col("o.doc"), F.col("span")).otherwise(F.col("o.span")).alias("sa"),
-            F.when(F.col("doc") < F.col("o.doc"), F.col("o.span")).otherwise(F.col("span")).alias("sb"),
-        )
+def _oriented(found: DataFrame) -> DataFrame:
+    """Pairs ``a, b, sa, sb`` of rows ``doc, span, o``, with a < b."""
+    return found.select(
+        F.least("doc", "o.doc").alias("a"),
+        F.greatest("doc", "o.doc").alias("b"),
+        F.when(F.col("doc") < F.col("o.doc"), F.col("span")).otherwise(F.col("o.span")).alias("sa"),
+        F.when(F.col("doc") < F.col("o.doc"), F.col("o.span")).otherwise(F.col("span")).alias("sb"),
     )
+
+
+def _compared(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
+    """Verified pairs of passages of candidates ``a, b, sa, sb`` that ``least`` functions give."""
     grouped = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("sa", "sb")).alias("spans"))
-    enough = grouped.where(F.size("spans") >= AGREE)
+    enough = grouped.where(F.size("spans") >= least)
     asked = written(
-        mapped(enough, _regions, "a long, b long, a0 int, a1 int, b0 int, b1 int"), "passage-regions"
+        mapped(enough, lambda frames: _regions(frames, least), "a long, b long, a0 int, a1 int, b0 int, b1 int"), "passage-regions"
     )
     wanted = asked.select(F.col("a").alias("id")).union(asked.select("b"))
     held_ids, bits = id_bitmap(wanted)
@@ -616,20 +718,68 @@ def similar_passages(docs: DataFrame) -> DataFrame:
     return mapped(held, _verified, "a long, a0 int, a1 int, b long, b0 int, b1 int")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """``(doc_id, first_word, n_words, class_id, n_links)`` of passages that repeat.
+def _apart(runs: DataFrame, links: DataFrame) -> DataFrame:
+    """Candidates ``a, b, sa, sb`` that share a run and whose passages there are in no common class.
 
-    A passage has 50 words or more and a five-word Jaccard similarity of 0.8 or
-    more to a passage of another document. Overlapping passages of a document
-    are one. ``class_id`` is the same for all that are linked, directly or by
-    others: the smallest id of a document among them, with its first word.
-    Documents without such a passage have no row. Null, empty and short texts
-    and rows with a null id have none; rows of one id are one document, of several texts the
-    longest. Texts of any length are read whole, four bytes a token; pairs of long texts that
-    repeat themselves with changes take the longest. Empty tables give an empty result, and
-    other columns are not read.
+    Members of a class with the same tokens all around the run stand for each other. Classes
+    meet first, and only for those that differ their members do, so a large class alone at a
+    run makes no rows.
     """
-    links = written(similar_passages(docs), "passage-links")
+    spans, edges = _spans_and_edges(links)
+    classes = spans.join(components(edges, "near-passages"), "node").select(
+        F.col("doc").alias("d"), "first", "last", "component"
+    )
+    # a stretch with the run in it overlaps the passages that the run overlaps, and so is one with them
+    here = (F.col("doc") == F.col("d")) & F.col("place").between(F.col("first") - (RUN - 1), F.col("last"))
+    alone = F.xxhash64("doc", F.lit("alone"))
+    rows = written(
+        runs.join(classes, here, "left")
+        .groupBy("key", F.coalesce("component", alone).alias("class"), "around")
+        .agg(F.min(F.struct("doc", "span")).alias("r"))
+        .select("key", "class", "r.*"),
+        "passage-runs",
+    )
+    shared = rows.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y")
+    rows = written(rows.join(shared.select("key"), "key", "left_semi"), "passage-shared-runs")
+    held = rows.select("key", "class").distinct()
+    met = held.join(held.select("key", F.col("class").alias("other")), "key").where("class < other")
+    one = met.join(rows, ["key", "class"]).select("key", "other", "doc", "span")
+    # few rows make many pairs, so their tasks are not to be put together by their bytes
+    one = one.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "other")
+    two = rows.select("key", F.col("class").alias("other"), F.struct("doc", "span").alias("o"))
+    return _oriented(one.join(two, ["key", "other"]).where("doc <> o.doc"))
+
+
+def similar_passages(docs: DataFrame) -> DataFrame:
+    """Verified pairs ``(a, a0, a1, b, b0, b1)`` of passages, in tokens, a < b.
+
+    Windows of a min-hash are all paired with each other. Where it is crowded, its windows
+    are split by further min-hashes of their own tokens, and all are paired that share one
+    of these; those that share it with many others as well, as copies of one passage
+    do, are paired with the first of them and the one before. What these pairs do not bring
+    into one class is then compared whole: in windows of crowded min-hashes, all documents
+    that share runs of tokens, as similar passages must, and whose passages there are in
+    different classes or in none.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tokens = written(mapped(rows, _token_rows, "doc long, tokens binary", arrow=True), "passage-tokens")
+    tokens = _one_text_per_id(tokens)
+    first = _paired(mapped(tokens, _windows, _WINDOW_ROW, arrow=True), False)
+    first = write_and_read(first.withColumn("crowded", F.col("o").isNull()), "llm-passage-pairs", "crowded")
+    crowded = first.where("crowded").select("key")
+    bitmap, bits = id_bitmap(crowded)
+    split = mapped(tokens, _split_windows(bitmap, bits), _WINDOW_ROW, arrow=True)
+    found = first.where("not crowded").select("doc", "span", "o").unionByName(_paired(split, True).select("doc", "span", "o"))
+    near = _compared(_oriented(found.where("o.doc is not null and o.doc <> doc")), tokens, AGREE)
+    if crowded.isEmpty():
+        return near
+    near = written(near, "passage-near-links")
+    runs = mapped(tokens, _crowded_runs(bitmap, bits), "key long, doc long, span long, place long, around long", arrow=True)
+    return near.unionByName(_compared(_apart(runs, near), tokens, 1))
+
+
+def _spans_and_edges(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Passages ``doc, first, last, node`` that overlapping sides of links make, and links ``a, b`` of nodes."""
     sides = links.select(F.col("a").alias("doc"), F.col("a0").alias("lo"), F.col("a1").alias("hi")).union(
         links.select("b", "b0", "b1")
     )
@@ -652,6 +802,24 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     edges = links.join(spans, on_a).select("b", "b0", F.col("node").alias("x"))
     on_b, spans = node("b", "b0")
     edges = written(edges.join(spans, on_b).select(F.col("x").alias("a"), F.col("node").alias("b")), "passage-edges")
+    return whole, edges
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """``(doc_id, first_word, n_words, class_id, n_links)`` of passages that repeat.
+
+    A passage has 50 words or more and a five-word Jaccard similarity of 0.8 or
+    more to a passage of another document. Overlapping passages of a document
+    are one. ``class_id`` is the same for all that are linked, directly or by
+    others: the smallest id of a document among them, with its first word.
+    Documents without such a passage have no row. Null, empty and short texts
+    and rows with a null id have none; rows of one id are one document, of several texts the
+    longest. Texts of any length are read whole, four bytes a token; pairs of long texts that
+    repeat themselves with changes take the longest. Empty tables give an empty result, and
+    other columns are not read.
+    """
+    links = written(similar_passages(docs), "passage-links")
+    whole, edges = _spans_and_edges(links)
     groups = components(edges, "passages")
     degree = edges.select("a", "b").union(edges.select("b", "a")).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
     named = whole.join(groups, "node").join(degree, whole.node == degree.a)

@@ -236,6 +236,43 @@ def test_pairs_among_documents_that_share_boilerplate(spark, beside_boilerplate)
     assert results[0] == results[1]
 
 
+def test_every_pair_of_a_crowded_group_comes_into_one_class(spark, prose):
+    """150 pairs with a passage of 52 words, of which all documents hold 48: too few to be alike to all."""
+    common = prose(48, 1)
+
+    def text(i, side):
+        tail = " ".join(f"tail{i}x{k}" for k in range(4))
+        return f"{prose(30, 2 * i + side)} a{i}x{side} b{i}x{side} {common} {tail} c{i}x{side} {prose(30, 4000 + 2 * i + side)}"
+
+    rows = [(2 * i + side, text(i, side)) for i in range(150) for side in range(2)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    classes = {}
+    for r in found:
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+    assert sorted(map(sorted, classes.values())) == [[2 * i, 2 * i + 1] for i in range(150)]
+
+
+def test_similar_texts_share_a_marked_run():
+    draw = np.random.default_rng(4)
+    for n in (18, 19, 40):
+        same = draw.integers(0, 2**32, n, dtype=np.uint32)
+        own = []
+        for _ in range(2):
+            around = [draw.integers(0, 2**32, draw.integers(0, 60), dtype=np.uint32) for _ in range(2)]
+            hashes, marked = passages._marked_runs(np.concatenate((around[0], same, around[1])))
+            own.append(set(hashes[marked].tolist()))
+        assert own[0] & own[1]
+
+
+def test_words_hash_alike_wherever_they_stand():
+    hasher = passages.Hasher()
+    own = hasher.tokens("A b\x0bc d e f\u0130")
+    long = hasher.tokens("zz yy " * 200_000 + "a B c\td e f\u0130")
+    assert len(own) == 2 and len(long) == 400_002 and long[-2:].tolist() == own.tolist()
+    tokens, sizes = hasher.all_tokens([b"a b c d e", b"", b"a b c d", b"a b c d e a"])
+    assert sizes.tolist() == [1, 0, 0, 2] and tokens[0] == tokens[1] == own[0] != tokens[2]
+
+
 def test_texts_of_one_id(spark, prose):
     """The longest text of an id is the document; rows that repeat are one."""
     passage = prose(60, 3)

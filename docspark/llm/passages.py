@@ -339,34 +339,67 @@ def _crowded_runs(bitmap, bits):
 def _regions(frames, least: int = AGREE):
     """Intervals of each pair of documents in which enough hash functions agree."""
     for frame in frames:
-        rows = []
-        for a, b, spans in zip(frame["a"], frame["b"], frame["spans"]):
-            found = sorted((*_unpacked(s["sa"])[1:], *_unpacked(s["sb"])) for s in spans)
-            groups, reached = [], {}  # groups by the parts of b that they reach
-            for la, ra, f, lb, rb in found:
-                parts = range(lb // LEAST_TOKENS, rb // LEAST_TOKENS + 1)
-                own = -1
-                for p in parts:
-                    # windows come in the order of a, so groups that ended before this one are done
-                    reached[p] = live = [i for i in reached.get(p, ()) if groups[i][1] >= la]
-                    own = max([own, *(i for i in live if lb <= groups[i][3] and rb >= groups[i][2])])
-                if own < 0:
-                    own = len(groups)
-                    groups.append([la, ra, lb, rb, {f}])
-                else:
-                    g = groups[own]
-                    g[1], g[2], g[3] = max(g[1], ra), min(g[2], lb), max(g[3], rb)
-                    g[4].add(f)
-                for p in parts:
-                    if own not in reached[p]:
-                        reached[p].append(own)
-            # a window may end inside a passage: look as far as one passage beyond each
-            rows += [
-                (a, b, max(0, g[0] - LEAST_TOKENS), g[1] + LEAST_TOKENS, max(0, g[2] - LEAST_TOKENS), g[3] + LEAST_TOKENS)
-                for g in groups
-                if len(g[4]) >= least
-            ]
-        yield pd.DataFrame(rows, columns=["a", "b", "a0", "a1", "b0", "b1"])
+        spans = pa.array(frame["spans"].tolist(), pa.list_(pa.struct({"sa": pa.int64(), "sb": pa.int64()})))
+        given = _record(a=pa.array(frame["a"], pa.int64()), b=pa.array(frame["b"], pa.int64()), spans=spans)
+        yield from (found.to_pandas() for found in _region_records([given], least))
+
+
+def _region_records(frames, least: int):
+    """``_regions`` of record batches."""
+    mask = (1 << _BITS) - 1
+    for frame in frames:
+        sizes = pc.list_value_length(frame.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+        sa, sb = (x.to_numpy(zero_copy_only=False) for x in frame.column(2).flatten().flatten())
+        la, ra, lb, rb = sa >> _BITS & mask, sa & mask, sb >> _BITS & mask, sb & mask
+        f = sb >> 2 * _BITS
+        ends = np.cumsum(sizes)
+        # pairs with too few functions are left out at once, and those with one row need no groups
+        flags = np.bitwise_or.reduceat(1 << f, ends - sizes) if len(ends) else ends
+        agree = sum(flags >> i & 1 for i in range(HASHES)) >= least
+        one = np.flatnonzero(agree & (sizes == 1))
+        first = (ends - sizes)[one]
+        rows = [one, la[first], ra[first], lb[first], rb[first]]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((rb, lb, f, ra, la, row))
+        found = list(zip(*(x[order].tolist() for x in (la, ra, f, lb, rb))))
+        more: list[tuple[int, ...]] = []
+        for i in np.flatnonzero(agree & (sizes > 1)).tolist():
+            more += [(i, *g[:4]) for g in _groups(found[ends[i] - sizes[i] : ends[i]]) if len(g[4]) >= least]
+        if more:
+            rows = [np.concatenate((x, y)) for x, y in zip(rows, np.array(more, np.int64).T)]
+        # a window may end inside a passage: look as far as one passage beyond each
+        low, high = lambda x: pa.array(np.maximum(x - LEAST_TOKENS, 0), pa.int32()), lambda x: pa.array(x + LEAST_TOKENS, pa.int32())
+        yield _record(
+            a=frame.column(0).take(pa.array(rows[0])),
+            b=frame.column(1).take(pa.array(rows[0])),
+            a0=low(rows[1]),
+            a1=high(rows[2]),
+            b0=low(rows[3]),
+            b1=high(rows[4]),
+        )
+
+
+def _groups(found: list[tuple[int, ...]]) -> list[list]:
+    """Groups ``[first in a, last in a, first in b, last in b, functions]`` of windows that overlap in both."""
+    groups, reached = [], {}  # groups by the parts of b that they reach
+    for la, ra, f, lb, rb in found:
+        parts = range(lb // LEAST_TOKENS, rb // LEAST_TOKENS + 1)
+        own = -1
+        for p in parts:
+            # windows come in the order of a, so groups that ended before this one are done
+            reached[p] = live = [i for i in reached.get(p, ()) if groups[i][1] >= la]
+            own = max([own, *(i for i in live if lb <= groups[i][3] and rb >= groups[i][2])])
+        if own < 0:
+            own = len(groups)
+            groups.append([la, ra, lb, rb, {f}])
+        else:
+            g = groups[own]
+            g[1], g[2], g[3] = max(g[1], ra), min(g[2], lb), max(g[3], rb)
+            g[4].add(f)
+        for p in parts:
+            if own not in reached[p]:
+                reached[p].append(own)
+    return groups
 
 
 def _distinct(values: np.ndarray, kinds: int) -> np.ndarray:
@@ -632,13 +665,82 @@ def similar_stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int,
     return list(out)
 
 
+_NEVER = 1 << 20
+
+
+def _dense(gain: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which texts have LEAST_TOKENS neighbouring tokens or more whose gains add up to 0 or more.
+
+    If any have, some that are fewer than 2 * LEAST_TOKENS have: a longer stretch has such a half.
+    """
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    # a place before each text that no stretch can make up for keeps stretches within texts
+    weights = np.full(len(gain) + len(sizes), -_NEVER)
+    inside = np.ones(len(weights), bool)
+    inside[starts] = False
+    weights[inside] = gain
+    sums = np.concatenate((np.full(LEAST_TOKENS - 1, 1 << 62), [0], np.cumsum(weights)))
+    ended = np.zeros(len(weights), bool)
+    if len(weights) >= LEAST_TOKENS:
+        least = sliding_minimum(sums, LEAST_TOKENS)[: len(weights) - LEAST_TOKENS + 1]
+        ended[LEAST_TOKENS - 1 :] = least <= sums[2 * LEAST_TOKENS - 1 :]
+    return np.logical_or.reduceat(ended, starts)
+
+
+def may_be_similar(a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+    """Which pairs of texts may have similar stretches; the others have none.
+
+    Tokens are those of all texts of a side, one after another. Stretches of m and n different
+    tokens have at least 4/9 (m + n) in common: 8/9 of those of one side, 4/5 of the other's. So
+    in some 46 neighbouring tokens or more of both texts, different tokens that the other text
+    lacks are a quarter or less of those it holds, and on one side an eighth. A token
+    that stands often counts each time if the other text holds it, and once if not. Texts
+    with fewer than four different tokens in common may lack none there.
+    """
+    n, rows = len(a), np.arange(len(sizes_a), dtype=np.uint64) << np.uint64(33)
+    side = np.concatenate((np.zeros(n, np.uint64), np.ones(len(b), np.uint64)))
+    keys = np.concatenate((np.repeat(rows, sizes_a), np.repeat(rows, sizes_b)))
+    keys |= np.concatenate((a, b)).astype(np.uint64) << np.uint64(1) | side
+    order = np.argsort(keys)
+    kept = keys[order]
+    one = np.ones(len(keys), bool)
+    one[1:] = kept[1:] != kept[:-1]
+    both = kept[one] >> np.uint64(1)
+    met = np.zeros(len(both), bool)
+    met[1:] = both[1:] == both[:-1]
+    met[:-1] |= met[1:]
+    shared, counted = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    shared[order] = met[np.cumsum(one) - 1]
+    counted[order] = one
+    few = np.bincount((both[met] >> np.uint64(32)).astype(np.int64), minlength=len(rows)) < 2 * 4
+    strict = np.concatenate((np.repeat(few, sizes_a), np.repeat(few, sizes_b)))
+
+    def dense(part):
+        gain = np.where(shared, 1, np.where(strict, -_NEVER, np.where(counted, -part, 0)))
+        return _dense(gain[:n], sizes_a), _dense(gain[n:], sizes_b)
+
+    return np.logical_and(*dense(4)) & np.logical_or(*dense(8))
+
+
 def _verified(frames):
     for frame in frames:
-        rows = []
-        for r in frame.itertuples(index=False):
-            found = similar_stretches(np.frombuffer(r.sa, "<u4"), np.frombuffer(r.sb, "<u4"))
-            rows += [(r.a, r.a0 + p, r.a0 + q, r.b, r.b0 + s, r.b0 + t) for p, q, s, t in found]
-        yield pd.DataFrame(rows, columns=["a", "a0", "a1", "b", "b0", "b1"])
+        given = {name: frame.column(i) for i, name in enumerate(frame.schema.names)}
+        sizes = {k: pc.binary_length(given[k]).to_numpy(zero_copy_only=False).astype(np.int64) // 4 for k in ("sa", "sb")}
+        total = sizes["sa"] + sizes["sb"]
+        part = (np.cumsum(total) - total) // _SLICE
+        starts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(total)] if len(total) else []
+        rows: list[tuple[int, ...]] = []
+        for at, end in zip(starts, starts[1:]):
+            raw = {k: given[k].slice(at, end - at).to_pylist() for k in sizes}
+            tokens = {k: np.frombuffer(b"".join(raw[k]), "<u4") for k in sizes}
+            asked = np.flatnonzero(may_be_similar(tokens["sa"], sizes["sa"][at:end], tokens["sb"], sizes["sb"][at:end]))
+            own = [given[k].slice(at, end - at).take(pa.array(asked)).to_pylist() for k in ("a", "a0", "b", "b0")]
+            for i, a, a0, b, b0 in zip(asked.tolist(), *own):
+                found = similar_stretches(np.frombuffer(raw["sa"][i], "<u4"), np.frombuffer(raw["sb"][i], "<u4"))
+                rows += [(a, a0 + p, a0 + q, b, b0 + s, b0 + t) for p, q, s, t in found]
+        columns = zip(*rows) if rows else [()] * 6
+        kinds = {"a": pa.int64(), "a0": pa.int32(), "a1": pa.int32(), "b": pa.int64(), "b0": pa.int32(), "b1": pa.int32()}
+        yield _record(**{k: pa.array(c, kind) for c, (k, kind) in zip(columns, kinds.items())})
 
 
 def _asked_tokens(bitmap, bits):
@@ -674,11 +776,13 @@ def _paired(windows: DataFrame, crowded: bool) -> DataFrame:
     """
     by = Window.partitionBy("key").orderBy("doc", "span")
     row = F.struct("doc", "span")
-    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    # most keys have one row: these go before anything is made of the others
+    windows = windows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    windows = windows.where((F.col("size") > 1) | F.col("doc2").isNotNull())
     all_before = F.array(*[F.lag(row, n).over(by) for n in range(1, CROWD)])
     two = F.array(F.first(row).over(by), F.lag(row).over(by))
     beyond = two if crowded else F.when(F.row_number().over(by) == 1, F.array(F.lit(None).cast("struct<doc:long,span:long>")))
-    near = F.when(size <= CROWD, F.filter(all_before, lambda o: o.isNotNull())).otherwise(beyond)
+    near = F.when(F.col("size") <= CROWD, F.filter(all_before, lambda o: o.isNotNull())).otherwise(beyond)
     given = F.when(F.col("doc2").isNotNull(), F.array(F.struct(F.col("doc2").alias("doc"), F.col("span2").alias("span"))))
     return windows.select("key", "doc", "span", F.coalesce(given, near).alias("near")).select(
         "key", "doc", "span", F.explode(F.array_distinct("near")).alias("o")
@@ -700,7 +804,8 @@ def _compared(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
     grouped = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("sa", "sb")).alias("spans"))
     enough = grouped.where(F.size("spans") >= least)
     asked = written(
-        mapped(enough, lambda frames: _regions(frames, least), "a long, b long, a0 int, a1 int, b0 int, b1 int"), "passage-regions"
+        mapped(enough, lambda frames: _region_records(frames, least), "a long, b long, a0 int, a1 int, b0 int, b1 int", arrow=True),
+        "passage-regions",
     )
     wanted = asked.select(F.col("a").alias("id")).union(asked.select("b"))
     held_ids, bits = id_bitmap(wanted)
@@ -715,7 +820,7 @@ def _compared(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
         .join(tokens, F.col("b") == F.col("doc"))
         .select(*asked.columns, "sa", part("b0", "b1").alias("sb"))
     )
-    return mapped(held, _verified, "a long, a0 int, a1 int, b long, b0 int, b1 int")
+    return mapped(held, _verified, "a long, a0 int, a1 int, b long, b0 int, b1 int", arrow=True)
 
 
 def _apart(runs: DataFrame, links: DataFrame) -> DataFrame:

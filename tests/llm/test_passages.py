@@ -297,3 +297,26 @@ def test_single_tokens_by_matrices_equal_the_search(monkeypatch):
         cover = lambda found, i: {p for s in found for p in range(s[i], s[i + 1] + 1)}
         slow = passages.similar_stretches(x, y)
         assert cover(fast, 0) == cover(slow, 0) and cover(fast, 2) == cover(slow, 2)
+
+
+def test_pairs_that_cannot_be_similar_are_left_out_at_once():
+    """No pair with similar stretches is left out; texts that share a line, or a word that comes again and again, are."""
+    draw = np.random.default_rng(11)
+    fresh = lambda n: draw.integers(0, 2**32, n, dtype=np.uint32)
+    pairs = []
+    for i in range(300):
+        same, other = fresh(60), fresh(60)
+        if i % 3 == 0:  # a passage of which some tokens differ
+            other = same.copy()
+            other[draw.choice(60, i % 12, replace=False)] = fresh(i % 12)
+        elif i % 3 == 1:  # few tokens that come again
+            same, other = (draw.choice(fresh(1 + i % 7), 60) for _ in range(2))
+            other[: i % 60] = same[: i % 60]
+        pairs.append([np.concatenate((fresh(i % 50), x, fresh(i % 40))) for x in (same, other)])
+    line, word = fresh(40), fresh(1)
+    useless = [[np.concatenate((fresh(50), line, fresh(50))) for _ in range(2)], [np.concatenate((fresh(30), np.tile(np.append(fresh(9), word), 9))) for _ in range(2)]]
+    sides = [(np.concatenate(x), np.array([len(y) for y in x])) for x in zip(*pairs, *useless)]
+    let = passages.may_be_similar(*sides[0], *sides[1]).tolist()
+    found = [bool(passages.similar_stretches(a, b)) for a, b in pairs]
+    assert 50 < sum(found) < 250 and all(m for m, f in zip(let, found) if f)
+    assert let[-2:] == [False, False]

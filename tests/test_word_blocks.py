@@ -25,4 +25,4 @@ def test_runs_come_in_groups(spark):
     ]
     (found,) = docx.extract_docx(files).documents.collect()
     assert found.text == "\ta\n\n\n\n"
-    assert found.markdown == "\t[a](https://a.b)\n\n\n\n"
+    assert found.markdown == "**_\t_**[a](https://a.b)\n\n\n\n"

@@ -35,6 +35,8 @@ SIMILARITY = 0.8
 CROWD = 6  # windows of a min-hash that are all paired with each other; more are split
 SPLITS = 8  # further hash functions that split the windows of a crowded min-hash
 RUN, RUN_ROOM = 10, 9  # tokens of a run by which classes meet, and neighbours of which one is taken
+REACH = 5 * LEAST_TOKENS // 2  # tokens on each side of a run by which its rows are compared
+BLOCK = 1024  # rows of a run that meet in one task; more are cut to blocks that meet two by two
 _BITS = 28
 _SEEDS = (mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _SLICE = 1 << 18  # tokens whose windows are found at once
@@ -743,6 +745,238 @@ def _verified(frames):
         yield _record(**{k: pa.array(c, kind) for c, (k, kind) in zip(columns, kinds.items())})
 
 
+def _around(found: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Rows of tokens, those of the run in the middle columns, by number, and -1 where a text has none."""
+    out = np.full((len(sizes), 2 * REACH + RUN), -1, np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    column = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + REACH - before[row]
+    out[row, column] = np.unique(found, return_inverse=True)[1]
+    return out
+
+
+def _repeated(around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of token numbers, where each token stands before, or -1; and the rows in which one stands twice."""
+    order = np.argsort(around, axis=1, kind="stable")
+    kept = np.take_along_axis(around, order, axis=1)
+    same = (kept[:, 1:] == kept[:, :-1]) & (kept[:, 1:] >= 0)
+    before = np.full(around.shape, -1)
+    row, at = np.nonzero(same)
+    before[row, order[row, at + 1]] = order[row, at]
+    return before, same.any(axis=1)
+
+
+def _fewest(around: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The smallest number of different tokens in any LEAST_TOKENS neighbouring ones, for each row."""
+    n, width = around.shape
+    row, at = np.nonzero(around >= 0)
+    # a place counts in the stretches that begin after its token's last place before it
+    change = np.zeros((n, width + 1), np.int64)
+    np.add.at(change, (row, np.maximum(before[row, at] + 1, at - LEAST_TOKENS + 1).clip(0)), 1)
+    np.add.at(change, (row, at + 1), -1)
+    kinds = np.cumsum(change, axis=1)[:, : width - LEAST_TOKENS + 1]
+    whole = (around[:, : kinds.shape[1]] >= 0) & (around[:, LEAST_TOKENS - 1 :] >= 0)
+    return np.where(whole, kinds, LEAST_TOKENS).min(axis=1, initial=LEAST_TOKENS)
+
+
+def _room(alone: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches of LEAST_TOKENS or more around the run: the most of four times the tokens
+    that may lack on both sides that are left to the other side, and the fewest tokens that are ``alone``."""
+    absent = around < 0
+    gain = np.where(absent, -_NEVER, np.where(alone, -4, 1)).astype(np.int32)
+    lacks = np.where(absent, _NEVER, alone).astype(np.int32)
+    zero = np.zeros((len(around), 1), np.int32)
+    left, right = slice(REACH - 1, None, -1), slice(REACH + RUN, None)
+
+    def sums(values, side):
+        return np.concatenate((zero, np.cumsum(values[:, side], axis=1, dtype=np.int32)), axis=1)
+
+    need = LEAST_TOKENS - RUN
+    a, b = sums(gain, left), sums(gain, right)
+    best = np.maximum.accumulate(b[:, ::-1], axis=1)[:, ::-1]
+    most = (a + best[:, np.maximum(need - np.arange(REACH + 1), 0)]).max(axis=1) + RUN
+    a, b = sums(lacks, left), sums(lacks, right)
+    return most, (a[:, : need + 1] + b[:, need::-1]).min(axis=1)
+
+
+_OFTEN = 16  # rows that hold a token from which on it is counted by a product of matrices
+
+
+def _in_common(row: np.ndarray, kind: np.ndarray, n: int) -> np.ndarray:
+    """How many kinds each two of n rows have in common, given each row's kinds once, in order of kinds."""
+    new = np.flatnonzero(np.diff(kind, prepend=-1))
+    often = np.diff(np.append(new, len(kind)))
+    out = np.zeros(n * n, np.float32)
+    for size in range(2, min(_OFTEN, often.max(initial=0) + 1)):
+        rows = row[new[often == size][:, None] + np.arange(size)]
+        i, j = np.triu_indices(size, 1)
+        out += np.bincount((rows[:, i] * n + rows[:, j]).ravel(), minlength=n * n)
+    out = out.reshape(n, n)
+    out += out.T
+    many = np.flatnonzero(often >= _OFTEN)
+    for part in np.array_split(many, len(many) * n // (1 << 22) + 1) if len(many) else ():
+        held = np.zeros((n, len(part)), np.float32)
+        size = often[part]
+        column = np.repeat(np.arange(len(part)), size)
+        at = np.arange(len(column)) - np.repeat(np.cumsum(size) - size, size) + new[part][column]
+        held[row[at], column] = 1
+        out += held @ held.T
+    return out
+
+
+class _Meeting:
+    """Some texts that all hold a run of tokens, and which two of them may be similar around it.
+
+    ``found`` are the tokens of all texts, one after another, and ``before`` how many of a text stand before the run.
+    Similar stretches have 4/9 of the different tokens of both in common, and those that one lacks are a quarter
+    of these or less. So two texts may only be similar around the run if they have enough tokens in common,
+    and if enough are left by what no other text holds, or not the other one, counted once. Where a token
+    comes again, the run may too, and all stretches count.
+    """
+
+    def __init__(self, found: np.ndarray, sizes: np.ndarray, before: np.ndarray):
+        self.found, self.sizes, self.before = found, sizes, before
+        self.ends = np.cumsum(sizes)
+        self.around = _around(found, sizes, before)
+        earlier, self.again = _repeated(self.around)
+        self.fewest = np.full(len(sizes), LEAST_TOKENS)
+        self.fewest[self.again] = _fewest(self.around[self.again], earlier[self.again])
+        self.first = (self.around >= 0) & (earlier < 0)
+
+    def _rooms(self, alone: np.ndarray, rows) -> tuple[np.ndarray, np.ndarray]:
+        most, lacks = _room(alone, self.around[rows])
+        return np.where(self.again[rows], _NEVER, most), np.where(self.again[rows], 0, lacks)
+
+    def common(self) -> np.ndarray:
+        """What each two that may be similar have in common, or 0."""
+        n = len(self.sizes)
+        row, column = np.nonzero(self.first)
+        kind = self.around[row, column]
+        order = np.argsort(kind, kind="stable")
+        row, column, kind = row[order], column[order], kind[order]
+        live = np.ones(n, bool)
+        while True:
+            kept = live[row]
+            often = np.bincount(kind[kept], minlength=len(self.found))
+            alone = np.zeros(self.around.shape, bool)
+            alone[row, column] = often[kind] < 2
+            most, lacks = self._rooms(alone, slice(None))
+            left = live & (most >= 4 * lacks[live].min(initial=_NEVER))
+            if left.sum() == live.sum():
+                break
+            live = left
+        own = np.flatnonzero(live)
+        place = np.cumsum(live) - 1
+        kept &= often[kind] > 1
+        shared = _in_common(place[row[kept]], kind[kept], len(own))
+        fewest, most, lacks = self.fewest[own], most[own], 4 * lacks[own]
+        enough = shared >= (fewest[:, None] + fewest) * (SIMILARITY / (1 + SIMILARITY)) - 1e-3
+        enough &= (most[:, None] >= lacks) & (most >= lacks[:, None])
+        out = np.zeros((n, n), np.float32)
+        out[np.ix_(own, own)] = np.where(enough, shared, 0)
+        return out
+
+    def may_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs may be similar around the run by the tokens that one holds and not the other."""
+        kinds = int(self.around.max()) + 1
+        row, column = np.nonzero(self.first)
+        held = row * kinds + self.around[row, column]
+        if len(self.sizes) * kinds <= 1 << 26:
+            flags = np.zeros(len(self.sizes) * kinds, bool)
+            flags[held] = True
+            holds = lambda rows, tokens: flags[rows[:, None] * kinds + tokens]
+        else:
+            held.sort()
+            holds = lambda rows, tokens: np.append(held, -1)[np.searchsorted(held, k := rows[:, None] * kinds + tokens)] == k
+        most_x, lacks_x = self._rooms(self.first[x] & ~holds(y, self.around[x]), x)
+        most_y, lacks_y = self._rooms(self.first[y] & ~holds(x, self.around[y]), y)
+        return (most_x >= 4 * lacks_y) & (most_y >= 4 * lacks_x)
+
+    def link(self, i: int, j: int) -> tuple[bool, bool]:
+        """Whether two texts have similar stretches, and whether some hold the run."""
+        (a, b), (p, q) = (self.found[self.ends[k] - self.sizes[k] : self.ends[k]] for k in (i, j)), self.before[[i, j]]
+        found = similar_stretches(a, b)
+        holds = any(s[0] < p + RUN and p <= s[1] and s[2] < q + RUN and q <= s[3] for s in found)
+        return holds or bool(found) and bool(self.again[i] | self.again[j]), holds
+
+
+def _linking(texts: _Meeting, classes: np.ndarray, common: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of texts that are similar around their run and bring all classes together that any pair does there.
+
+    ``common`` is what each two to be compared have in common: those with most come
+    first, and classes that a link around the run has made one need no more.
+    """
+    classes = np.unique(classes, return_inverse=True)[1]
+    x, y = np.nonzero(np.triu(common, 1))
+    order = np.argsort(-common[x, y], kind="stable")
+    x, y, out = x[order], y[order], []
+    while len(x):
+        i, j = x[:4096], y[:4096]
+        x, y = x[4096:], y[4096:]
+        may = texts.may_link(i, j)
+        for a, b in zip(i[may].tolist(), j[may].tolist()):
+            if classes[a] == classes[b]:
+                continue
+            linked, holds = texts.link(a, b)
+            if linked:
+                out.append((a, b))
+            if holds:
+                classes[classes == classes[b]] = classes[a]
+        apart = classes[x] != classes[y]
+        x, y = x[apart], y[apart]
+    return out
+
+
+_AT_ONCE = 256  # rows of several runs that are looked at together
+
+
+def _met(frames):
+    """Pairs of rows of one run that are similar around it and link the classes that meet there."""
+
+    def pairs(rows: pa.Table):
+        key, one, two, block, kind, doc, span, before = (
+            rows[c].to_numpy() for c in ("key", "one", "two", "block", "class", "doc", "span", "before")
+        )
+        raw = rows["tokens"].to_pylist()
+        sizes = np.array([len(x) // 4 for x in raw], np.int64)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        meeting = np.cumsum(new)
+        ends = [*np.flatnonzero(new)[1:].tolist(), len(key)]
+        lo = 0
+        for hi in ends:
+            if hi - lo < _AT_ONCE and hi < len(key):
+                continue
+            # meetings of few rows are looked at together, their tokens numbered apart
+            own, kinds = meeting[lo:hi], kind[lo:hi]
+            met = (own[:, None] == own) & (kinds[:, None] != kinds) & (doc[lo:hi, None] != doc[lo:hi])
+            met &= ((one == two)[lo:hi, None]) | (block[lo:hi, None] != block[lo:hi])
+            tokens = np.frombuffer(b"".join(raw[lo:hi]), "<u4") | np.repeat(own, sizes[lo:hi]).astype(np.uint64) << np.uint64(32)
+            texts = _Meeting(tokens, sizes[lo:hi], before[lo:hi])
+            classes = mixed(own.astype(np.uint64)) ^ kinds.view(np.uint64)
+            pair = np.array(_linking(texts, classes, np.where(met, texts.common(), 0)), np.int64).reshape(-1, 2)
+            x, y = lo + pair.T
+            lo = hi
+            x, y = np.where(doc[x] < doc[y], x, y), np.where(doc[x] < doc[y], y, x)
+            for at in range(0, len(x), 1 << 18):
+                i, j = x[at : at + (1 << 18)], y[at : at + (1 << 18)]
+                yield _record(a=pa.array(doc[i]), b=pa.array(doc[j]), sa=pa.array(span[i]), sb=pa.array(span[j]))
+
+    rest = None
+    for frame in frames:
+        table = pa.Table.from_batches([frame])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        if not table.num_rows:
+            continue
+        ids = [table[c].to_numpy() for c in ("key", "one", "two")]
+        last = np.logical_and.reduce([x == x[-1] for x in ids])
+        cut = int(np.argmax(last))  # rows are in order, so those of the last block stand at the end
+        if cut:
+            yield from pairs(table.slice(0, cut))
+        rest = table.slice(cut)
+    if rest is not None:
+        yield from pairs(rest)
+
+
 def _asked_tokens(bitmap, bits):
     """Token rows of the documents in a filter of ids."""
 
@@ -823,12 +1057,13 @@ def _compared(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
     return mapped(held, _verified, "a long, a0 int, a1 int, b long, b0 int, b1 int", arrow=True)
 
 
-def _apart(runs: DataFrame, links: DataFrame) -> DataFrame:
+def _apart(runs: DataFrame, links: DataFrame, tokens: DataFrame) -> DataFrame:
     """Candidates ``a, b, sa, sb`` that share a run and whose passages there are in no common class.
 
-    Members of a class with the same tokens all around the run stand for each other. Classes
-    meet first, and only for those that differ their members do, so a large class alone at a
-    run makes no rows.
+    Members of a class with the same tokens all around the run stand for each other. All
+    others of a run meet within tasks, in blocks, and only those that are similar around it
+    become rows, and of two classes no more once they are linked there. So neither
+    large classes nor a line in otherwise different texts make many.
     """
     spans, edges = _spans_and_edges(links)
     classes = spans.join(components(edges, "near-passages"), "node").select(
@@ -840,19 +1075,32 @@ def _apart(runs: DataFrame, links: DataFrame) -> DataFrame:
     rows = written(
         runs.join(classes, here, "left")
         .groupBy("key", F.coalesce("component", alone).alias("class"), "around")
-        .agg(F.min(F.struct("doc", "span")).alias("r"))
+        .agg(F.min(F.struct("doc", "span", "place")).alias("r"))
         .select("key", "class", "r.*"),
         "passage-runs",
     )
-    shared = rows.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y")
-    rows = written(rows.join(shared.select("key"), "key", "left_semi"), "passage-shared-runs")
-    held = rows.select("key", "class").distinct()
-    met = held.join(held.select("key", F.col("class").alias("other")), "key").where("class < other")
-    one = met.join(rows, ["key", "class"]).select("key", "other", "doc", "span")
+    shared = rows.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).where("x <> y")
+    blocks = shared.select(F.col("key").alias("k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, F.col("key") == F.col("k")).drop("k")
+    rows = written(rows.withColumn("block", F.expr("cast(pmod(xxhash64(doc, span), blocks) as int)")), "passage-shared-runs")
+    held_ids, bits = id_bitmap(rows.select("doc"))
+    texts = mapped(tokens, _asked_tokens(held_ids, bits), "doc long, tokens binary", arrow=True)
+    low = f"greatest(place - {REACH}, 0)"
+    around = rows.join(texts, "doc").select(
+        "key",
+        "block",
+        "class",
+        "doc",
+        "span",
+        F.expr(f"cast(place - {low} as int)").alias("before"),
+        F.expr(f"substring(tokens, cast(4 * {low} + 1 as int), cast(4 * (place - {low} + {RUN + REACH}) as int))").alias("tokens"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    )
+    meeting = around.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     # few rows make many pairs, so their tasks are not to be put together by their bytes
-    one = one.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "other")
-    two = rows.select("key", F.col("class").alias("other"), F.struct("doc", "span").alias("o"))
-    return _oriented(one.join(two, ["key", "other"]).where("doc <> o.doc"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    meeting = meeting.drop("other").repartition(parts, "key", "one", "two").sortWithinPartitions("key", "one", "two")
+    return mapped(meeting, _met, "a long, b long, sa long, sb long", arrow=True)
 
 
 def similar_passages(docs: DataFrame) -> DataFrame:
@@ -880,7 +1128,7 @@ def similar_passages(docs: DataFrame) -> DataFrame:
         return near
     near = written(near, "passage-near-links")
     runs = mapped(tokens, _crowded_runs(bitmap, bits), "key long, doc long, span long, place long, around long", arrow=True)
-    return near.unionByName(_compared(_apart(runs, near), tokens, 1))
+    return near.unionByName(_compared(_apart(runs, near, tokens), tokens, 1))
 
 
 def _spans_and_edges(links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -252,6 +252,61 @@ def test_every_pair_of_a_crowded_group_comes_into_one_class(spark, prose):
     assert sorted(map(sorted, classes.values())) == [[2 * i, 2 * i + 1] for i in range(150)]
 
 
+def test_a_line_and_edited_copies_make_few_candidates(spark, prose, monkeypatch):
+    """Texts with a common line, and copies edited in many places, meet without a row for each two of them."""
+    line, copied, draw = prose(24, 1), prose(150, 2).split(), random.Random(6)
+    rows = [(i, f"{prose(40 + i % 50, 10 + i)} {line} {prose(60, 5000 + i)}") for i in range(200)]
+    for i in range(150):
+        own = list(copied)
+        for at in draw.sample(range(150), 5):
+            own[at] = f"x{i}y{at}"
+        rows.append((1000 + i, " ".join(own)))
+    same = prose(30, 3)
+    rows += [(2000 + i, f"{prose(30, 9000 + i)} {line} {same} {prose(30, 9100 + i)}") for i in range(2)]
+    counts, compared = [], passages._compared
+
+    def counted(pairs, tokens, least):
+        pairs = passages.written(pairs, "test-pairs")
+        counts.append(pairs.select("a", "b").distinct().count())
+        return compared(pairs, tokens, least)
+
+    monkeypatch.setattr(passages, "_compared", counted)
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(counts) == 2 and counts[1] <= 3 * 350
+    classes = {}
+    for r in found:
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+    assert {2000, 2001} in classes.values() and not any(r.doc_id < 200 for r in found)
+
+
+@pytest.mark.parametrize("kinds", [10**6, 12])
+def test_texts_that_meet_at_a_run_lose_no_similar_ones(kinds):
+    """Whatever is similar around the run is let pass, one by one and with all others."""
+    draw = np.random.default_rng(kinds)
+    run, core = draw.integers(10**7, 10**8, passages.RUN), draw.integers(0, kinds, 60)
+    texts, before = [], []
+    for i in range(40):
+        own = core.copy()
+        at = draw.integers(0, 60, i % 9)
+        own[at] = 10**8 + draw.integers(0, kinds, len(at))
+        cut = draw.integers(10, 50)
+        around = [10**9 + draw.integers(0, 10**6, draw.integers(0, passages.REACH - 70)) for _ in range(2)]
+        texts.append(np.concatenate((around[0], own[:30], run, own[30:] if i % 2 else own[30:cut], around[1])))
+        before.append(len(around[0]) + 30)
+    meeting = passages._Meeting(np.concatenate(texts).astype(np.uint64), np.array([len(t) for t in texts]), np.array(before))
+    common = meeting.common()
+    x, y = np.triu_indices(len(texts), 1)
+    want = np.array([meeting.link(i, j)[1] for i, j in zip(x.tolist(), y.tolist())])
+    assert 20 < want.sum() and (common[x, y] > 0)[want].all() and meeting.may_link(x, y)[want].all()
+    pairs = passages._linking(meeting, np.arange(len(texts)), common)
+    group = list(range(len(texts)))
+    for i, j in [*pairs]:
+        group = [group[i] if g == group[j] else g for g in group]
+    assert all(group[i] == group[j] for i, j in zip(x[want], y[want]))
+    if kinds > 12:
+        assert len(pairs) < len(texts) and want.sum() < len(x)
+
+
 def test_similar_texts_share_a_marked_run():
     draw = np.random.default_rng(4)
     for n in (18, 19, 40):

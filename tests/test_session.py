@@ -1,6 +1,6 @@
 import os
 
-from docspark.session import remove_work, work_folder, write_and_read
+from docspark.session import _CLEANUP, remove_work, work_folder, write_and_read
 
 
 def test_work_tables_can_be_removed(spark):
@@ -11,3 +11,12 @@ def test_work_tables_can_be_removed(spark):
     assert os.path.isdir(path) and not os.path.exists(folder)
     assert remove_work(spark) >= 2
     assert not os.path.exists(path) and remove_work(spark) == 0
+
+
+def test_shuffle_files_go_once_their_table_is_written(spark):
+    """What is written needs its shuffles no more; the session's own setting stays."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, had = spark.conf.get(_CLEANUP, None), disk.getAllFiles().toString().count("/shuffle_")
+    table = write_and_read(spark.range(1000).repartition(5, "id").groupBy("id").count(), "shuffled")
+    assert disk.getAllFiles().toString().count("/shuffle_") <= had
+    assert table.count() == 1000 and spark.conf.get(_CLEANUP, None) == before

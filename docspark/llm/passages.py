@@ -745,26 +745,6 @@ def _verified(frames):
         yield _record(**{k: pa.array(c, kind) for c, (k, kind) in zip(columns, kinds.items())})
 
 
-def _around(found: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Rows of tokens, those of the run in the middle columns, by number, and -1 where a text has none."""
-    out = np.full((len(sizes), 2 * REACH + RUN), -1, np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    column = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + REACH - before[row]
-    out[row, column] = np.unique(found, return_inverse=True)[1]
-    return out
-
-
-def _repeated(around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of token numbers, where each token stands before, or -1; and the rows in which one stands twice."""
-    order = np.argsort(around, axis=1, kind="stable")
-    kept = np.take_along_axis(around, order, axis=1)
-    same = (kept[:, 1:] == kept[:, :-1]) & (kept[:, 1:] >= 0)
-    before = np.full(around.shape, -1)
-    row, at = np.nonzero(same)
-    before[row, order[row, at + 1]] = order[row, at]
-    return before, same.any(axis=1)
-
-
 def _fewest(around: np.ndarray, before: np.ndarray) -> np.ndarray:
     """The smallest number of different tokens in any LEAST_TOKENS neighbouring ones, for each row."""
     n, width = around.shape
@@ -836,11 +816,30 @@ class _Meeting:
     def __init__(self, found: np.ndarray, sizes: np.ndarray, before: np.ndarray):
         self.found, self.sizes, self.before = found, sizes, before
         self.ends = np.cumsum(sizes)
-        self.around = _around(found, sizes, before)
-        earlier, self.again = _repeated(self.around)
-        self.fewest = np.full(len(sizes), LEAST_TOKENS)
-        self.fewest[self.again] = _fewest(self.around[self.again], earlier[self.again])
-        self.first = (self.around >= 0) & (earlier < 0)
+        n, width = len(sizes), 2 * REACH + RUN
+        row = np.repeat(np.arange(n), sizes)
+        # the run stands in the middle columns
+        column = np.arange(len(found)) - np.repeat(self.ends - sizes, sizes) + REACH - before[row]
+        order = np.argsort(found, kind="stable")
+        kept, row, column = found[order], row[order], column[order]
+        new = np.ones(len(kept), bool)
+        new[1:] = kept[1:] != kept[:-1]
+        once = new.copy()
+        once[1:] |= row[1:] != row[:-1]
+        kind = np.cumsum(new) - 1
+        self.around = np.full((n, width), -1, np.int32)
+        self.around[row, column] = kind
+        self.first = np.zeros((n, width), bool)
+        self.first[row[once], column[once]] = True
+        self.kinds = row[once], column[once], kind[once]
+        twice = np.flatnonzero(~once)
+        self.again = np.zeros(n, bool)
+        self.again[row[twice]] = True
+        self.fewest = np.full(n, LEAST_TOKENS)
+        if len(twice):
+            earlier = np.full((n, width), -1)
+            earlier[row[twice], column[twice]] = column[twice - 1]
+            self.fewest[self.again] = _fewest(self.around[self.again], earlier[self.again])
 
     def _rooms(self, alone: np.ndarray, rows) -> tuple[np.ndarray, np.ndarray]:
         most, lacks = _room(alone, self.around[rows])
@@ -849,10 +848,7 @@ class _Meeting:
     def common(self) -> np.ndarray:
         """What each two that may be similar have in common, or 0."""
         n = len(self.sizes)
-        row, column = np.nonzero(self.first)
-        kind = self.around[row, column]
-        order = np.argsort(kind, kind="stable")
-        row, column, kind = row[order], column[order], kind[order]
+        row, column, kind = self.kinds
         live = np.ones(n, bool)
         while True:
             kept = live[row]
@@ -878,8 +874,7 @@ class _Meeting:
     def may_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Which pairs may be similar around the run by the tokens that one holds and not the other."""
         kinds = int(self.around.max()) + 1
-        row, column = np.nonzero(self.first)
-        held = row * kinds + self.around[row, column]
+        held = self.kinds[0] * kinds + self.kinds[2]
         if len(self.sizes) * kinds <= 1 << 26:
             flags = np.zeros(len(self.sizes) * kinds, bool)
             flags[held] = True

@@ -74,6 +74,7 @@ def linked(fingerprints: DataFrame, max_bits: int = MAX_BITS, slabs: int = SLABS
 
     ``fingerprints`` has one row per distinct ``fp``. A pair is given once, by the
     cell of its lowest slabs with equal bits. Spark splits the cells of skewed joins.
+    Cells are never broadcast: Spark takes them for one row a fingerprint, 70 times too few.
     """
     if not max_bits < slabs <= 32:
         raise ValueError("the number of slabs must be above max_bits and at most 32")
@@ -106,7 +107,7 @@ def linked(fingerprints: DataFrame, max_bits: int = MAX_BITS, slabs: int = SLABS
     same = F.lit(True)
     for name in ("slabs", "cell", "bits"):
         same &= F.col(f"a.{name}") == F.col(f"b.{name}")
-    return a.join(b, same & near).select(fa.alias("a"), fb.alias("b"))
+    return a.join(b.hint("merge"), same & near).select(fa.alias("a"), fb.alias("b"))
 
 
 def near_duplicates(

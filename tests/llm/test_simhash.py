@@ -115,3 +115,11 @@ def test_one_row_of_an_id_stays_whatever_the_order(spark, prose):
         sorted(map(tuple, simhash.one_per_group(d).collect())) for d in (docs.repartition(3), docs.orderBy("source").coalesce(1))
     )
     assert once == again and [r[0] for r in once] == [1, 2] and once[1] == rows[3]
+
+
+def test_cells_are_never_broadcast(spark, folder):
+    """A small table of fingerprints has 70 cells each, which Spark does not count when it sizes a join."""
+    spark.range(2000).selectExpr("xxhash64(id) AS fp").write.parquet(f"{folder}/prints")
+    found = simhash.linked(spark.read.parquet(f"{folder}/prints"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

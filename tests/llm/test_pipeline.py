@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from docspark.llm import decontamination, tokens
+from docspark.llm import decontamination, simhash, tokens
 from tests.llm.test_simhash import components_of, plain_fingerprint
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -57,3 +57,17 @@ def test_odd_rows(odd_docs, no_docs, spark, folder):
         stage(spark, docs, SF_DIR).write.parquet(f"{folder}/empty-{name}")
         docs = spark.read.parquet(f"{folder}/empty-{name}")
     assert docs.count() == 0
+
+
+def test_near_copies_never_broadcast_their_cells(spark, documents, monkeypatch):
+    """Spark sizes the 70 cells of a fingerprint as one, at any size of the corpus."""
+    plans, linked = [], simhash.linked
+
+    def seen(*given):
+        found = linked(*given)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(simhash, "linked", seen)
+    corpus_pipeline.drop_near_copies(spark, documents, None).count()
+    assert plans and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)

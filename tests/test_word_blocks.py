@@ -26,3 +26,24 @@ def test_runs_come_in_groups(spark):
     (found,) = docx.extract_docx(files).documents.collect()
     assert found.text == "\ta\n\n\n\n"
     assert found.markdown == "**_\t_**[a](https://a.b)\n\n\n\n"
+
+
+def test_xml_is_shuffled_once(spark):
+    """By document: not to leave out files that failed, to meet list numbers, nor to fold texts."""
+
+    def word(rels):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr("word/document.xml", '<w:document xmlns:w="w"><w:p><w:r><w:t>a</w:t></w:r></w:p></w:document>')
+            archive.writestr("word/_rels/document.xml.rels", rels)
+        return bytearray(out.getvalue())
+
+    for broken in ([], [("b.docx", word("<Relationships>"))]):
+        files = spark.createDataFrame([("a.docx", word("<Relationships/>")), *broken], "path string, content binary")
+        found = docx.extract_docx(files)
+        plan = found.documents._jdf.queryExecution().executedPlan().toString()
+        sent = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_COL" in line]
+        assert len(sent) == 2 and plan.count("SortMergeJoin") > 0  # of the XML, and of numbers and links
+        assert not [line for line in plan.splitlines() if "SortMergeJoin" in line and "LeftAnti" in line]
+        assert [tuple(r) for r in found.documents.collect()] == [("a.docx", 1, 1, "a\n\n", "a\n\n")]
+        assert [r.key for r in found.errors.collect()] == [path for path, _ in broken]

@@ -114,6 +114,39 @@ def test_recall_at_the_threshold(spark):
     assert found.where("n_links = 1 and component_id = vec_id % 600").count() >= 1198
 
 
+def test_no_pair_is_left_out(spark):
+    """Pairs above the threshold that share no bucket in any table of random directions."""
+    draw = np.random.default_rng(4)
+    base = vectors.unit_rows(draw.standard_normal((60_000, 64)))
+    side = draw.standard_normal(base.shape)
+    side = vectors.unit_rows(side - (side * base).sum(1, keepdims=True) * base)
+    near = (0.9502 * base + (1 - 0.9502**2) ** 0.5 * side).astype(np.float32)
+    base = base.astype(np.float32)
+    bits, tables = vectors.table_plan(600, 0.95, 1e-4, 16)
+    one, two = (vectors.bucket_keys(vectors.quantised(vectors.unit_rows(x.astype(np.float64)))[0], bits, tables) for x in (base, near))
+    unmet = np.flatnonzero((one != two).all(axis=1))[:300]
+    assert len(unmet) >= 2
+    others = np.setdiff1d(np.arange(300), unmet)[: 300 - len(unmet)]
+    rows = np.concatenate((base[unmet], base[others], near[unmet], near[others]))
+    df = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(rows)], SCHEMA)
+    found = vectors.near_duplicates(df, bucket=16, tile=32)
+    assert found.where("n_links = 1 and component_id = vec_id % 300").count() == 600
+
+
+def test_large_dense_regions_in_blocks_of_their_own(spark):
+    """Two regions above a block, one of them at the edge of the other, and pairs between."""
+    draw = np.random.default_rng(6)
+    centre = vectors.unit_rows(draw.standard_normal((1, 16)))
+    turned = draw.standard_normal((1, 16))
+    turned = vectors.unit_rows(turned - (turned * centre).sum() * centre)
+    angle = np.arccos(0.95) * 1.1
+    other = np.cos(angle) * centre + np.sin(angle) * turned
+    rows = np.concatenate([c + draw.standard_normal((120, 16)) * 0.02 for c in (centre, other)] + [draw.standard_normal((60, 16))])
+    rows = rows.astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(rows)], SCHEMA)
+    assert rows_of(vectors.near_duplicates(df, tile=25)) == by_hand(list(range(len(rows))), [r.tolist() for r in rows])
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
